@@ -5,8 +5,11 @@ from __future__ import annotations
 from kbspark.llm.bpe import encode_documents
 from kbspark.llm.common import table
 from kbspark.llm.fingerprints import fingerprint_digest
+from kbspark.llm.langid import identify
+from kbspark.llm.minhash import near_duplicates
 from kbspark.llm.mixing import mix
 from kbspark.llm.secrets import scan_digest
+from kbspark.llm.suffixes import remove_repeats
 
 
 def tokenizer_path() -> str:
@@ -19,10 +22,22 @@ def op2_secret_scan(spark, sf_dir):
     return scan_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents")).drop("shares")
+
+
 def op4_mix_sources(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=0.85)
+
+
 def op8_fingerprints(spark, sf_dir):
     return fingerprint_digest(table(spark, sf_dir, "documents"))
 
@@ -31,5 +46,5 @@ def op10_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False, decoded=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_mix_sources, op8_fingerprints, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_language_id, op4_mix_sources, op6_suffix_dedup, op7_minhash_dedup, op8_fingerprints, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
