@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from kbspark.llm.bpe import encode_documents
 from kbspark.llm.common import table
 from kbspark.llm.fingerprints import fingerprint_digest
@@ -10,6 +12,7 @@ from kbspark.llm.minhash import near_duplicates
 from kbspark.llm.mixing import mix
 from kbspark.llm.secrets import scan_digest
 from kbspark.llm.suffixes import remove_repeats
+from kbspark.llm.topk import top_k, whole_numbers
 
 
 def tokenizer_path() -> str:
@@ -18,6 +21,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_top_k(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("embedding", whole_numbers(F.col("embedding")))
+    return top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op2_secret_scan(spark, sf_dir):
     return scan_digest(table(spark, sf_dir, "documents"))
 
@@ -46,5 +54,5 @@ def op10_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False, decoded=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_language_id, op4_mix_sources, op6_suffix_dedup, op7_minhash_dedup, op8_fingerprints, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_language_id, op4_mix_sources, op6_suffix_dedup, op7_minhash_dedup, op8_fingerprints, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
