@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.llm.bpe import encode_documents
-from kbspark.llm.common import table
+from kbspark.llm.common import shared_dir, table
 from kbspark.llm.fingerprints import fingerprint_digest
 from kbspark.llm.langid import identify
+from kbspark.llm.licenses import scan_licenses
 from kbspark.llm.minhash import near_duplicates
 from kbspark.llm.mixing import mix
 from kbspark.llm.secrets import scan_digest
+from kbspark.llm.shards import store_documents
 from kbspark.llm.suffixes import remove_repeats
 from kbspark.llm.topk import top_k, whole_numbers
 
@@ -38,6 +40,10 @@ def op4_mix_sources(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op5_shards(spark, sf_dir):
+    return store_documents(table(spark, sf_dir, "documents"), shared_dir(spark))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -50,9 +56,15 @@ def op8_fingerprints(spark, sf_dir):
     return fingerprint_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark, sf_dir):
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    listed = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["first_word"], x["last_word"]))
+    return found.withColumn("licenses", F.array_join(listed, ","))
+
+
 def op10_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False, decoded=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_language_id, op4_mix_sources, op6_suffix_dedup, op7_minhash_dedup, op8_fingerprints, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_language_id, op4_mix_sources, op5_shards, op6_suffix_dedup, op7_minhash_dedup, op8_fingerprints, op9_license_scan, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
