@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,10 +22,6 @@ def ingest(spark: SparkSession, path: str, checkpoint: str, sink: Callable[[Data
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _seconds():
-    return F.col("ts").cast("timestamp").cast("double")
-
-
 def admit(times: list[float], now: float, limit: int, seconds: float) -> tuple[bool, float, list[float]]:
     """Whether an event may pass, seconds to wait if not, and the accepted times that still count."""
     live = [t for t in times if now - t < seconds]
@@ -53,33 +49,44 @@ def rate_limit_stream(events: DataFrame, limit: int = 3, seconds: float = 60) ->
     return events.select("repo_id", "event_id", "ts").groupBy("repo_id").applyInPandasWithState(run, RATE_SCHEMA, "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def rate_limit(events: DataFrame, limit: int = 3, seconds: float = 60) -> DataFrame:
-    """The batch twin.
+def _in_order(events: DataFrame, key: str, columns: list[str], schema: str, step: Callable) -> DataFrame:
+    """Runs step(rows of one key in order, its state) -> (rows, state) over each key's rows, batch by batch.
 
-    A gap of `seconds` without an event clears the window, so each repository's events are cut there:
-    a group is one busy stretch, not a repository's whole history.
+    A task holds one batch and the state of the key at hand, however many rows a key has.
     """
-    by_time = Window.partitionBy("repo_id").orderBy("ts", "event_id")
-    gap = _seconds() - F.lag(_seconds()).over(by_time) >= seconds
-    rows = events.select("repo_id", "event_id", "ts").withColumn("stretch", F.sum(F.coalesce(gap.cast("int"), F.lit(1))).over(by_time))
-    return rows.groupBy("repo_id", "stretch").applyInPandas(lambda pdf: _rated(pdf, [], limit, seconds)[0], RATE_SCHEMA)
+
+    def run(batches):
+        at = state = None
+        for pdf in batches:
+            out = []
+            for k, rows in pdf.groupby(key, sort=False):
+                state = state if k == at else None
+                at = k
+                part, state = step(rows, state)
+                out.append(part)
+            if out:
+                yield pd.concat(out)
+
+    return events.select(*columns).repartition(key).sortWithinPartitions(key, *[c for c in ("ts", "event_id") if c in columns]).mapInPandas(run, schema)
+
+
+def rate_limit(events: DataFrame, limit: int = 3, seconds: float = 60) -> DataFrame:
+    """The batch twin of rate_limit_stream."""
+    return _in_order(events, "repo_id", ["repo_id", "event_id", "ts"], RATE_SCHEMA, lambda rows, times: _rated(rows, times or [], limit, seconds))
 
 
 def last_used(events: DataFrame, seconds: float = 60) -> DataFrame:
-    """(token_id, ts) of uses that are recorded: one a token, then the next a minute or more later."""
+    """(token_id, ts) of uses that are recorded: the first of a token, then the next a minute or more later."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for ts in pdf["ts"].sort_values():
+    def step(rows: pd.DataFrame, last):
+        kept = []
+        for ts in rows["ts"]:
             if last is None or (ts - last).total_seconds() >= seconds:
                 kept.append(ts)
                 last = ts
-        return pd.DataFrame({"token_id": pdf["token_id"].iloc[0], "ts": kept})
+        return pd.DataFrame({"token_id": rows["token_id"].iloc[0], "ts": kept}), last
 
-    by_time = Window.partitionBy("token_id").orderBy("ts")
-    gap = _seconds() - F.lag(_seconds()).over(by_time) >= seconds
-    rows = events.select("token_id", "ts").withColumn("stretch", F.sum(F.coalesce(gap.cast("int"), F.lit(1))).over(by_time))
-    return rows.groupBy("token_id", "stretch").applyInPandas(run, "token_id long, ts timestamp")
+    return _in_order(events, "token_id", ["token_id", "ts"], "token_id long, ts timestamp", step)
 
 
 def last_used_stream(events: DataFrame, seconds: float = 60) -> DataFrame:
