@@ -17,8 +17,8 @@ SHINGLE_WORDS = 5
 #: Hashes are hexadecimal; those below this are kept: one in eight.
 BELOW = "2"
 HASH_DIGITS = 12
-#: Documents in one bucket of ids, on average.
-BUCKET_ROWS = 1000
+#: Documents in one bucket of ids, on average, at least; and buckets at most, whatever the table.
+BUCKET_ROWS, MOST_BUCKETS = 1000, 500_000
 
 
 def shingle_hashes(text: Column, k: int = SHINGLE_WORDS) -> Column:
@@ -64,14 +64,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(containment(a, b), containment(b, a))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """Adds next_<column>: its value in the next row by descending id (null ids last); after the last row comes the first.
+def with_next(docs: DataFrame, id_col: str, columns: list[str], derived: dict[str, Column]) -> DataFrame:
+    """Adds derived columns, and next_<column>: its value in the next row by descending id (null ids last); after the last row comes the first.
 
     Ids are dealt into buckets, and each bucket gets a copy of the first row of the one that follows,
-    so every bucket is a window of its own. Rows that share an id are ordered by the columns.
+    so every bucket is a window of its own, and the texts are shuffled once. The ids of the buckets'
+    first rows are broadcast: there are MOST_BUCKETS + 2 of them at most. Rows that share an id are
+    ordered by the columns.
     """
     low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    width = float(max(1, -(-(high - low + 1) // max(1, n // BUCKET_ROWS)))) if low is not None else 1.0
+    width = float(max(1, -(-(high - low + 1) // min(MOST_BUCKETS, max(1, n // BUCKET_ROWS))))) if low is not None else 1.0
     # never falls as ids rise, whatever their range
     bucket = F.coalesce(F.floor(F.col("__id").cast("double") / F.lit(width)), F.lit(-(1 << 62)))
     rows = docs.select(F.col(id_col).alias("__id"), *columns).withColumn("__bucket", bucket)
@@ -79,10 +81,10 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     down = Window.orderBy(F.col("__bucket").desc())
     overall = F.first("__first").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     borders = firsts.select(F.col("__bucket").alias("__to"), F.coalesce(F.lead("__first").over(down), overall)["id"].alias("__border"))
-    copies = rows.join(borders, F.col("__id").eqNullSafe(F.col("__border"))).select("__id", *columns, F.col("__to").alias("__bucket"), F.lit(True).alias("__copy"))
-    together = rows.withColumn("__copy", F.lit(False)).unionByName(copies)
+    copies = rows.join(F.broadcast(borders), F.col("__id").eqNullSafe(F.col("__border"))).select("__id", *columns, F.col("__to").alias("__bucket"), F.lit(True).alias("__copy"))
+    together = rows.withColumn("__copy", F.lit(False)).unionByName(copies).withColumns(derived)
     order = Window.partitionBy("__bucket").orderBy("__copy", F.col("__id").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in columns])
-    for c in columns:
+    for c in [*columns, *derived]:
         together = together.withColumn(f"next_{c}", F.lead(c).over(order))
     return together.filter(~F.col("__copy")).withColumnRenamed("__id", id_col).drop("__bucket", "__copy")
 
@@ -97,7 +99,7 @@ def fingerprint_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("print", sketch(F.col("text"))), "doc_id", ["text", "print"])
+    rows = with_next(rows, "doc_id", ["text"], {"print": sketch(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
