@@ -11,6 +11,7 @@ from kbspark.llm.langid import identify
 from kbspark.llm.licenses import scan_licenses
 from kbspark.llm.minhash import near_duplicates
 from kbspark.llm.mixing import mix
+from kbspark.llm.oracles import ORACLE_SQL  # noqa: F401
 from kbspark.llm.secrets import scan_digest
 from kbspark.llm.shards import store_documents
 from kbspark.llm.suffixes import remove_repeats
@@ -67,4 +68,3 @@ def op10_bpe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_language_id, op4_mix_sources, op5_shards, op6_suffix_dedup, op7_minhash_dedup, op8_fingerprints, op9_license_scan, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
