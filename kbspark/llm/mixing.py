@@ -25,6 +25,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _number(digest: Column) -> Column:
+    """The first 32 bits of a hexadecimal digest."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, share: float, cap: float, weights=WEIGHTS) -> DataFrame:
     """sizes: (source, source_size), one row each. Adds weight and target.
 
@@ -60,12 +65,14 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7, id
     gives an empty one, and a source without words is taken no times.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
-    rows = written(rows.withColumn("__class", F.floor(16 * F.log2(F.col("size") + F.lit(1.0))).cast("int")))
+    digest = F.md5(F.to_json(F.struct(F.lit(seed).alias("seed"), "doc_id", "size")).cast("binary"))
+    # the small addend keeps exact powers of two in their own class
+    size_class = F.floor(16 * F.log2(F.col("size") + F.lit(1.0)) + F.lit(1e-9)).cast("int")
+    rows = written(rows.withColumn("__h", digest).withColumn("__class", size_class))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, share, cap)
     salts = max(64, rows.count() // (16 * GROUP_ROWS))
-    salted = rows.withColumn("__salt", F.pmod("__h", F.lit(salts)).cast("int"))
+    salted = rows.withColumn("__salt", F.pmod(_number(F.col("__h")), F.lit(salts)).cast("int"))
     counts = salted.groupBy("source", "__class", "__salt").agg(F.count("*").alias("__n"))
     in_class = Window.partitionBy("source", "__class").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(in_class), F.lit(0)))
@@ -80,7 +87,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7, id
     found = ranked.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.__class") == F.col("p.__class")) & (F.col("r.__salt") == F.col("p.__salt")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # a multiple of 1/1024: the sums below stay exact at rates such as 1 or 2
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("r.source")), F.lit(1024)) / F.lit(1024.0)
+    offset = F.pmod(_number(F.md5(F.concat_ws(":", F.lit(seed), F.lit("offset"), F.col("r.source")).cast("binary"))), F.lit(1024)) / F.lit(1024.0)
     end = F.floor((F.col("__start") + F.col("__rank")) * rate + offset)
     begin = F.floor((F.col("__start") + F.col("__rank") - 1) * rate + offset)
     copies = F.least(end - begin, F.lit(int(-(-cap // 1)))).cast("int")

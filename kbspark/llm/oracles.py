@@ -38,4 +38,14 @@ SELECT e.doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, array_to_str
  CASE WHEN ts = es THEN 1.0 WHEN len(ts) = 0 OR len(es) = 0 THEN 0.0 ELSE len(list_intersect(ts, es)) / least(len(ts), len(es)) END AS near_edited,
  CASE WHEN ts = ns THEN 1.0 WHEN len(ts) = 0 OR len(ns) = 0 THEN 0.0 ELSE len(list_intersect(ts, ns)) / least(len(ts), len(ns)) END AS near_next FROM e JOIN j ON j.doc_id = e.doc_id"""
 
-ORACLE_SQL = {"op1_top_k": TOP_K, "op2_secret_scan": secret_scan(), "op8_fingerprints": FINGERPRINTS}
+MIX = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+r AS (SELECT *, md5('{"seed":7' || coalesce(',"doc_id":' || doc_id, '') || ',"size":' || size || '}') AS h, CAST(floor(16 * log2(size + 1.0::DOUBLE) + 1e-9::DOUBLE) AS INTEGER) AS class, greatest(64, count(*) OVER () // 320000) AS salts FROM d),
+w AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+l AS (SELECT *, source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2.0::DOUBLE) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w WINDOW b AS (ORDER BY source_size * 2.0::DOUBLE / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(max(level) OVER () * weight, cap) AS target FROM l),
+k AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, (('0x' || substr(md5('7:offset' || coalesce(':' || r.source, '')), 1, 8))::BIGINT % 1024) / 1024.0::DOUBLE AS shift,
+ row_number() OVER (PARTITION BY r.source ORDER BY class, ('0x' || substr(h, 1, 8))::BIGINT % salts, h, doc_id, size) AS n FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source),
+c AS (SELECT *, least(floor(n * rate + shift) - floor((n - 1) * rate + shift), 2) AS copies FROM k)
+SELECT doc_id, source, size, source_size, target, CAST(copies AS INTEGER) AS copies, CAST(copies * size AS BIGINT) AS taken FROM c"""
+
+ORACLE_SQL = {"op1_top_k": TOP_K, "op2_secret_scan": secret_scan(), "op4_mix_sources": MIX, "op8_fingerprints": FINGERPRINTS}
