@@ -32,7 +32,10 @@ def tf_cte(k: int, name: str = "tfs") -> str:
 
 
 def postings(spark, sf_dir):
-    return lexical.build_postings(t.corpus(spark, sf_dir), "id", "text")
+    """The documents' index. Its largest table is used several times by each query, so it is kept."""
+    p = lexical.build_postings(t.corpus(spark, sf_dir), "id", "text")
+    p.tf.persist()
+    return p
 
 
 def _bm25(spark, sf_dir, k=20):
