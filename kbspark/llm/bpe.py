@@ -26,7 +26,7 @@ from kbspark.llm.common import slices
 #: Code points of a leaf of a text, and of a leaf of a run without blanks.
 LEAF_CHARS, RUN_CHARS = 2048, 256
 #: Words whose encodings a Python worker keeps at most.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 _encoders: dict[str, TreeEncoder] = {}
 
 
@@ -159,7 +159,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     decimal ids joined by one space), decoded_sha256, and if asked for `ids` and `decoded`. A null
     text counts as empty: no tokens. Ids may be null or repeated; other columns of docs play no part.
     An empty table gives an empty one. Works on each partition alone, without a shuffle; one text is
-    held at a time, and 8 MB of texts at most unless one is longer.
+    held at a time, and 1 MB of texts at most unless one is longer.
 
     The tokenizer must drop blanks and have no decoder (its decode() joins tokens by a space), which
     is checked: others aren't encoded blank by blank.

@@ -35,7 +35,16 @@ def written(df: DataFrame) -> DataFrame:
     """The rows of df as a table in the shared folder: computed once, with no lineage behind it."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kbspark_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing that is still to be computed reads it."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kbspark_folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text):
@@ -44,7 +53,7 @@ def ascii_lower(text):
     return F.translate(text, upper, upper.lower())
 
 
-def slices(batches, column: int, max_bytes: int = 8 << 20):
+def slices(batches, column: int, max_bytes: int = 1 << 20):
     """Cuts Arrow batches so that the texts of one piece hold max_bytes at most, or are a single row."""
     for batch in batches:
         if not batch.num_rows:

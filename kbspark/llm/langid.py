@@ -254,7 +254,7 @@ def identify(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id"
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))])
 
     def run(batches):
-        for batch in slices(batches, len(kept) + 1, 4 << 20):
+        for batch in slices(batches, len(kept) + 1):
             texts = [t or "" for t in batch.column(len(kept) + 1).to_pylist()]
             lang, score, shares = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if field is not None:

@@ -6,7 +6,7 @@ buckets; documents of one bucket are compared on their full sets.
 
 No bucket is ever turned into pairs. In each, one document (that with the most company in all its
 buckets) is compared with the others; buckets that still hold several components are then compared
-block by block, inside tasks that hold two blocks. So no two documents of a bucket are left apart
+block by block, inside tasks that hold two blocks of bounded size. So no two documents of a bucket are left apart
 unless they were compared or are connected through others.
 """
 
@@ -28,7 +28,8 @@ from kbspark.llm.hashing import mix, shingle_sets
 BAND_ROWS = 4
 #: Chance of two documents at the threshold to share no bucket, at most.
 MISSED = 1e-5
-BLOCK_ROWS = 256
+#: Shingles of the documents in a block, on average.
+BLOCK_ITEMS = 100_000
 
 
 def bands_for(similarity: float, rows: int = BAND_ROWS, missed: float = MISSED) -> int:
@@ -142,9 +143,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     """
     percent = round(100 * similarity)
     rows = written(_sketches(docs, id_col, text_col, words, bands_for(similarity)))
-    sets = written(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    sets = written(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
-    bucketed = sets.select("key", F.explode("bands").alias("bucket"))
+    bucketed = sets.select("key", "n", F.explode("bands").alias("bucket"))
     shared = bucketed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(bucketed.join(shared, "bucket"))
     company = members.groupBy("key").agg(F.sum("size").alias("company"))
@@ -159,9 +160,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     # buckets of three and more whose documents are still in several components; of equal ones, one
     labelled = members.filter("size > 2").join(labels, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
-    apart = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"))
-    apart = apart.filter("x != y").groupBy("size", "who").agg(F.min("bucket").alias("bucket"))
-    parts = F.ceil(F.col("size") / BLOCK_ROWS)
+    apart = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.sum("n").alias("items"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"))
+    apart = apart.filter("x != y").groupBy("size", "items", "who").agg(F.min("bucket").alias("bucket"))
+    parts = F.ceil(F.col("items") / BLOCK_ITEMS)
     blocks = labelled.drop("size").join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), parts).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), parts.cast("int") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     blocks = blocks.select("bucket", "key", "label", "block", F.inline(pairs)).join(full, "key")
