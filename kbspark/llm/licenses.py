@@ -79,12 +79,19 @@ def _longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def windows(n: int, size: int) -> list[tuple[int, int]]:
-    """Stretches of twice a template's size that overlap by one size: each stretch of that size is whole in one of them."""
-    return [(i, min(n, i + 2 * size)) for i in range(0, max(1, n - size), size)] if n else []
+    """Stretches of a text of n words to compare with a template of `size` words.
+
+    Those of twice the size overlap by one size: each stretch of the template's size is whole in one of
+    them. Those of the size itself part notices that stand next to each other, where a longer stretch
+    would hold each word twice.
+    """
+    long = [(i, min(n, i + 2 * size)) for i in range(0, max(1, n - size), size)]
+    short = [(i, min(n, i + size)) for i in range(0, max(1, n - size + 1), max(1, size // 8))]
+    return long + short if n else []
 
 
 def best_match(words: list[str], template: list[str], hits: list[int] | None = None, least: float = 0.0) -> tuple[int, int, int]:
-    """(aligned words, first, last place) in the best window, the earliest of equal ones; (0, -1, -1) if none.
+    """(aligned words, first, last place) in the best window, the first of equal ones; (0, -1, -1) if none.
 
     hits: places of the template's words in the text, rising. With it, windows that hold too few of
     them to reach `least` of the template are passed over.
