@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from bisect import bisect_right
 from dataclasses import asdict, dataclass
+from itertools import accumulate
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 #: Of a file's whole path, what a shard's path holds: folder, partition and name.
 _PLACE = r"([^/]+/[^/]+/[^/]+)$"
 TARGET_BYTES, FAN_IN, LEAST_BYTES = 128 << 20, 4, 64 << 10
+#: Files that one pass merges, and entries of a manifest that are broadcast, at most.
+PASS_FILES = 50_000
 
 
 class CommitConflict(RuntimeError):
@@ -41,6 +45,11 @@ def _place():
     return F.regexp_extract(F.col("_metadata.file_path"), _PLACE, 1)
 
 
+def _listed(listing: DataFrame, n: int) -> DataFrame:
+    """A listing of n files, broadcast if it is short enough."""
+    return F.broadcast(listing) if n <= PASS_FILES else listing
+
+
 class ShardStore:
     """A table of documents in a folder that Spark can read and write."""
 
@@ -143,9 +152,10 @@ class ShardStore:
         """Merges until no tier has a run left; all runs of one pass are merged by one job. Returns the version."""
         while runs := self.plan(target_bytes):
             base = self.version()
+            ends = list(accumulate(len(r) for r in runs))
+            runs = runs[: max(1, bisect_right(ends, PASS_FILES))]
             place = [(s.path, i) for i, run in enumerate(runs) for s in run]
-            # as many rows as there are files to merge
-            groups = self.spark.createDataFrame(place, "__file string, __run int")
+            groups = _listed(self.spark.createDataFrame(place, "__file string, __run int"), len(place))
             old = [s for run in runs for s in run]
             rows = self.spark.read.parquet(*[f"{self.path}/data/{s.path}" for s in old]).withColumn("__file", _place())
             merged = self._write(rows.join(groups, "__file").drop("__file").repartition(len(runs), "__run"), "__run")
@@ -161,7 +171,7 @@ class ShardStore:
         shards = self.shards(version)
         if not shards:
             return None
-        listed = self.spark.createDataFrame([(s.path, i, s.rows) for i, s in enumerate(shards)], "__file string, __shard int, __shard_rows long")
+        listed = _listed(self.spark.createDataFrame([(s.path, i, s.rows) for i, s in enumerate(shards)], "__file string, __shard int, __shard_rows long"), len(shards))
         rows = self.spark.read.parquet(*[f"{self.path}/data/{s.path}" for s in shards]).withColumn("__file", _place())
         return rows.join(listed, "__file").drop("__file")
 
