@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import slices, written
+from kbspark.llm.common import discard, slices, written
 from kbspark.llm.hashing import Prefixes, mix
 
 GRAM, CELL = 32, 16
-BATCHES = 4
+BATCHES = 3
+#: Bytes of text whose anchors are looked for at once; a longer text is taken in stretches.
+STRETCH_BYTES = 1 << 20
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, prefixes: Prefixes):
@@ -58,26 +60,35 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
 
 
 def _emit_keys(length: int, schema: T.StructType):
-    half = (length - GRAM) // 2
+    half = (length - GRAM) // 2 // CELL * CELL  # so that no cell is cut in two
 
-    def run(batches):
-        for batch in slices(batches, 2, 4 << 20):
+    def stretches(batches):
+        """(batch, row of each stretch, its place in the text, its bytes): strings begin in one stretch each."""
+        for batch in slices(batches, 2, STRETCH_BYTES):
             texts = batch.column(2).to_pylist()
+            if len(texts) > 1 or len(texts[0]) <= STRETCH_BYTES:
+                yield batch, np.arange(len(texts)), np.zeros(len(texts), np.int64), texts
+                continue
+            for i in range(0, len(texts[0]), STRETCH_BYTES):
+                yield batch, np.zeros(1, np.int64), np.array([i]), [texts[0][i : i + STRETCH_BYTES + length - 1]]
+
+    def run(batches):
+        for batch, rows, places, texts in stretches(batches):
             data = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum([len(t) for t in texts])
             starts = ends - [len(t) for t in texts]
             prefixes = Prefixes(data)
             at, first, last = anchors(data, starts, ends, length, prefixes)
-            row = np.searchsorted(ends, at, "right")
+            own = np.searchsorted(ends, at, "right")
             # a string that begins `half` or more before its anchor holds the left key, others the right one
             left = at - first >= half
             right = at - last < half
             key = np.r_[mix(prefixes.of(at[left] - half, half + GRAM), 52), mix(prefixes.of(at[right], length - half + 1), 53)]
-            row, base = np.r_[row[left], row[right]], np.r_[starts[row[left]], starts[row[right]]]
+            own = np.r_[own[left], own[right]]
             first, last = np.r_[first[left], np.maximum(first[right], at[right] - half + 1)], np.r_[np.minimum(last[left], at[left] - half), last[right]]
-            at = np.r_[at[left], at[right]]
+            at, base, row = np.r_[at[left], at[right]], starts[own] - places[own], pa.array(rows[own])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *[pa.array((x - base).astype(np.int32)) for x in (at, first, last)]],
+                [pa.array(key.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), *[pa.array((x - base).astype(np.int32)) for x in (at, first, last)]],
                 names=schema.names,
             )
 
@@ -101,7 +112,9 @@ class SuffixLevels:
         self.matches.append(written(found))
         while self.levels and self.levels[-1][0] == rank:
             _, old = self.levels.pop()
-            rank, new = rank + 1, written(self._level(old.union(new)))
+            merged = written(self._level(old.union(new)))
+            discard(old, new)
+            rank, new = rank + 1, merged
         self.levels.append((rank, new))
 
     @staticmethod
@@ -115,6 +128,10 @@ class SuffixLevels:
             out = out.union(m)
         return out.distinct()
 
+    def discard(self) -> None:
+        """Deletes the levels and the scans' results."""
+        discard(*self.matches, *(level for _, level in self.levels))
+
 
 def _lists(column: pa.Array, *fields: str):
     """The rows of a list<struct> column as tuples of NumPy arrays."""
@@ -199,21 +216,26 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int = BATCHES, i
     around = suffixes.join(family.matched(), "key").groupBy("t").agg(F.min("doc_id").alias("__first"), F.collect_set(F.struct("at", "first", "last")).alias("around"))
     # one of the rows that hold the text, or those that share its id
     one = texts.select("t", F.col("doc_id"), "text").join(around.withColumnRenamed("t", "__t"), (F.col("t") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__first")))
-    held = written(one.select("t", "text", "around"))
+    held = written(one.select("t", "text", "around").dropDuplicates(["t"]))
+    family.discard()
+    discard(suffixes)
 
-    cells = written(held.select("t", "text", "around").mapInArrow(_emit_cells(length), "t binary, core bigint, whole bigint, begin int, end int").distinct())
+    # one anchor may come with both of its keys, each with the strings on its side
+    cells = written(held.select("t", "text", "around").mapInArrow(_emit_cells(length), "t binary, core bigint, whole bigint, begin int, end int"))
     wholes = cells.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("t").alias("one"))
     cores = wholes.groupBy("core").agg(F.count("*").alias("kinds"))
     known = wholes.join(cores, "core").filter("n > 1 or kinds > 1").withColumnRenamed("core", "__core")
     judged = written(cells.join(known, "whole").filter("core = __core").select("t", "begin", "end", (F.col("n") > 1).alias("settled"), F.expr("kinds > 1 and (n = 1 or t = one)").alias("open")))
+    discard(cells)
     opened = judged.filter("open").groupBy("t").agg(F.collect_list(F.struct("begin", "end")).alias("cells"))
-    strings = written(held.join(opened, "t").select("t", "text", "cells").mapInArrow(_emit_strings(length), "t binary, string bigint, s int").distinct())
+    strings = written(held.join(opened, "t").select("t", "text", "cells").mapInArrow(_emit_strings(length), "t binary, string bigint, s int"))
     twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
     singles = strings.join(twice, "string").select("t", F.col("s").alias("begin"), F.col("s").alias("end"))
     spans = judged.filter("settled").select("t", "begin", "end").union(singles).groupBy("t").agg(F.collect_set(F.struct("begin", "end")).alias("cuts"))
     cut = held.join(spans, "t").select("t", "text", "cuts").mapInArrow(_remove(length), "t binary, removed bigint, spans bigint, sha string, kept binary")
     cut = cut.select("t", "removed", "spans", F.col("sha").alias("cut_sha"), "kept") if kept_bytes else cut.select("t", "removed", "spans", F.col("sha").alias("cut_sha"))
-    cut = written(cut.dropDuplicates(["t"]))
+    cut = written(cut)
+    discard(held, judged, strings)
 
     copies = base.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1")
     found = base.join(copies, "t", "left").join(cut, "t", "left")
