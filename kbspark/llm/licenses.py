@@ -3,7 +3,8 @@
 A text is compared with a license template in windows. Words that occur once in the window and once
 in the template are anchors; the longest run of anchors that stand in the same order in both is kept,
 and the gaps between them are aligned in the same way, until no word is unique in both. The share of
-the template's words that are aligned is the coverage.
+the template's words that are aligned is the coverage. A template stands for its license only if the
+phrases that tell it from other versions and variants (notices.TOLD) are aligned too.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,23 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbspark.llm.common import slices
+from kbspark.llm.notices import MENTIONS, TEMPLATES, TOLD
 
 COVERAGE = 0.8
-#: Notices that stand for a license, by SPDX name.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "Licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
-}
-
 _words = re.compile(r"[^\W_]+").findall
 
 
@@ -90,8 +78,44 @@ def windows(n: int, size: int) -> list[tuple[int, int]]:
     return long + short if n else []
 
 
-def best_match(words: list[str], template: list[str], hits: list[int] | None = None, least: float = 0.0) -> tuple[int, int, int]:
-    """(aligned words, first, last place) in the best window, the first of equal ones; (0, -1, -1) if none.
+def _places(words: list[str], phrase: tuple[str, ...]) -> list[int]:
+    return [i for i, w in enumerate(words) if w == phrase[0] and tuple(words[i : i + len(phrase)]) == phrase]
+
+
+#: Words by which a phrase that could not be aligned may be off from its aligned neighbour.
+_DRIFT = 3
+
+
+def told_apart(pairs: list[tuple[int, int]], words: list[str], template: list[str], phrases: tuple[str, ...]) -> bool:
+    """Whether every phrase stands in the text where the template has it, and none with a ! between the first and last aligned words or just after.
+
+    A phrase may hold words that occur twice, which are never anchors: it counts if it fits between the
+    aligned pairs, next to the nearest of them, and no word of it is aligned with anything else.
+    """
+    for phrase in phrases:
+        wanted = _phrase_words(phrase)
+        n = len(wanted)
+        if phrase.startswith("!"):
+            if _places(words[pairs[0][0] : pairs[-1][0] + 1 + n], wanted):
+                return False
+            continue
+        found = _places(words, wanted)
+        for j in _places(template, wanted) if found else ():
+            lo, hi = bisect_left(pairs, j, key=lambda p: p[1]), bisect_left(pairs, j + n, key=lambda p: p[1])
+            near = [p for p in pairs[max(0, lo - 1) : hi + 1]]
+            if any(
+                all((x < i) if y < j else (x >= i + n) if y >= j + n else (x - i == y - j) for x, y in near)
+                and (lo < hi or any(abs((x - i) - (y - j)) <= _DRIFT for x, y in near))
+                for i in found
+            ):
+                break
+        else:
+            return False
+    return True
+
+
+def best_match(words: list[str], template: list[str], hits: list[int] | None = None, least: float = 0.0, phrases: tuple[str, ...] = ()) -> tuple[int, int, int]:
+    """(aligned words, first, last place) in the best window that phrases allow, the first of equal ones; (0, -1, -1) if none.
 
     hits: places of the template's words in the text, rising. With it, windows that hold too few of
     them to reach `least` of the template are passed over.
@@ -101,44 +125,70 @@ def best_match(words: list[str], template: list[str], hits: list[int] | None = N
         if hits is not None and bisect_left(hits, b) - bisect_left(hits, a) < least * len(template):
             continue
         pairs = align(words[a:b], template)
-        if len(pairs) > best[0]:
+        # what bars a template may follow the window
+        if len(pairs) > best[0] and len(pairs) >= least * len(template) and told_apart(pairs, words[a : b + 12], template, phrases):
             best = (len(pairs), a + pairs[0][0], a + pairs[-1][0])
     return best
 
 
-def scan_text(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, first, last word) of each template that the text covers."""
-    words = words_of(text)
-    present, out = set(words), []
+def by_key(templates: dict[str, list[str]], told: dict[str, tuple[str, ...]]) -> dict[str | None, list[tuple[str, set[str], set[str]]]]:
+    """(name, words that its phrases need, distinct words) of the templates, by the longest of the words needed."""
+    out: dict[str | None, list[tuple[str, set[str], set[str]]]] = {}
     for name, template in sorted(templates.items()):
-        distinct = set(template)
+        needed = {w for p in told.get(name, ()) if not p.startswith("!") for w in _phrase_words(p)}
+        out.setdefault(max(needed, key=lambda w: (len(w), w), default=None), []).append((name, needed, set(template)))
+    return out
+
+
+def scan_text(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE, told: dict[str, tuple[str, ...]] = TOLD, keyed: dict | None = None) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, first, last word) of each license of which the text covers a template: by the largest coverage, then the longest template, then the first by name. keyed: by_key(templates, told)."""
+    words = words_of(text)
+    present, found = set(words), {}
+    keyed = by_key(templates, told) if keyed is None else keyed
+    for name, needed, distinct in [x for k in keyed if k is None or k in present for x in keyed[k]]:
+        template = templates[name]
         # a word that is missing costs at least one of the template's words
-        if len(template) - len(distinct - present) < coverage * len(template):
+        if not needed <= present or len(template) - len(distinct - present) < coverage * len(template):
             continue
-        n, first, last = best_match(words, template, [i for i, w in enumerate(words) if w in distinct], coverage)
-        if n >= coverage * len(template):
-            out.append((name, n / len(template), first, last))
-    return out
+        n, first, last = best_match(words, template, [i for i, w in enumerate(words) if w in distinct], coverage, told.get(name, ()))
+        if n and n >= coverage * len(template):
+            license = name.partition(":")[0] if name in told else name
+            found.setdefault(license, []).append((-n / len(template), -len(template), name, first, last))
+    best = {k: min(v) for k, v in found.items()}
+    for k, inside in MENTIONS.items() if told else ():
+        whole = next((v for v in found.get(k, ()) if v[2] == f"{k}:text"), None)
+        for x in inside & best.keys() if whole else ():
+            if whole[3] <= best[x][3] and best[x][4] <= whole[4]:
+                del best[x]
+    return [(k, -v[0], v[3], v[4]) for k, v in sorted(best.items())]
+
+
+@cache
+def _phrase_words(phrase: str) -> tuple[str, ...]:
+    return tuple(words_of(phrase))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, license, coverage, n_licenses, licenses.
 
-    licenses holds (license, coverage, first_word, last_word) of every template that the whole text
-    covers to the given share, by name; license is the one with the largest coverage, of equal ones
-    the one with the longest template, then the first by name. A null or empty text, or one that covers
+    licenses holds (license, coverage, first_word, last_word) of every license of which the text covers
+    a template to the given share and holds the phrases that tell it apart, by name; license is the one
+    with the largest coverage, of equal ones that with the longest stretch, then the first by name.
+    templates: others than the whole texts and notices in notices.TEMPLATES, each a license by itself. A null or empty text, or one that covers
     none, has a null license, coverage 0 and an empty list. Ids may be null or repeated; other columns
     play no part. An empty table gives an empty one. Works on each partition alone.
     """
     wanted = {k: words_of(v) for k, v in (TEMPLATES if templates is None else templates).items()}
+    told = TOLD if templates is None else {}
     item = T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())])
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_licenses", T.IntegerType()), T.StructField("licenses", T.ArrayType(item))])
     arrow = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
 
     def run(batches):
+        keyed = by_key(wanted, told)
         for batch in slices(batches, 1):
-            found = [scan_text(t or "", wanted, coverage) for t in batch.column(1).to_pylist()]
-            best = [min(f, key=lambda x: (-x[1], -len(wanted[x[0]]), x[0])) if f else (None, 0.0) for f in found]
+            found = [scan_text(t or "", wanted, coverage, told, keyed) for t in batch.column(1).to_pylist()]
+            best = [min(f, key=lambda x: (-x[1], x[2] - x[3], x[0])) if f else (None, 0.0) for f in found]
             rows = [[dict(zip(("license", "coverage", "first_word", "last_word"), x)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64()), pa.array([len(f) for f in found], pa.int32()), pa.array(rows, arrow)],
