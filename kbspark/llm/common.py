@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of the contracts: blank and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that Spark hands to a Python worker at once, unless one row is larger.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df as a table in the shared folder: computed once, with no lineage behind it."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows of df as a table in the shared folder (in folders by the column `by`): computed once, with no lineage behind it."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kbspark_folder = path
     return out
@@ -47,6 +51,56 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until df has no such column, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+@cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of BATCH_BYTES; a worker gives its free memory back when a task ends.
+
+    The session keeps the batch size, which Spark reads when the rows are computed.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _trim() is not None:
+                _trim()(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
+#: Keys with more than this share of all rows are hot, so there are as many at most; tasks that each of them is spread over.
+HOT_KEYS, SALTS = 100_000, 64
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Inner join of rows with the written table `keyed`: one row for each key, with n, the number of its rows (about).
+
+    The rows of a hot key are spread over SALTS tasks by `spread`; keys that have more than one in
+    HOT_KEYS of the rows are few, so they are broadcast.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(1000, total // HOT_KEYS)
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    listed = F.broadcast(keyed.filter(hot).select(F.col(key).alias("__hot")))
+    salted = rows.join(listed, F.col(key) == F.col("__hot"), "left")
+    salted = salted.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.lit(SALTS)).cast("int"))).drop("__hot")
+    return salted.join(keyed.withColumn("__salt", F.explode(salts)), [key, "__salt"]).drop("__salt")
+
+
 def ascii_lower(text):
     """Lower-cases A to Z alone, whatever the locale or script."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

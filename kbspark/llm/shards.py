@@ -11,19 +11,20 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from bisect import bisect_right
 from dataclasses import asdict, dataclass
-from itertools import accumulate
 
-from py4j.protocol import Py4JJavaError
+from py4j.protocol import Py4JError, Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Of a file's whole path, what a shard's path holds: folder, partition and name.
 _PLACE = r"([^/]+/[^/]+/[^/]+)$"
 TARGET_BYTES, FAN_IN, LEAST_BYTES = 128 << 20, 4, 64 << 10
-#: Files that one pass merges, and entries of a manifest that are broadcast, at most.
+#: Files that one pass merges, and entries of a manifest that are broadcast (of about 150 bytes), at most.
 PASS_FILES = 50_000
+#: A pass merges about this part of the store: the disk holds the store, that part merged, and the shuffles of the last passes.
+PASS_PARTS = 4
 
 
 class CommitConflict(RuntimeError):
@@ -102,9 +103,8 @@ class ShardStore:
 
     # -- data
 
-    def _write(self, df: DataFrame, by: str) -> dict[str, list[Shard]]:
+    def _write(self, df: DataFrame, by: str, folder: str) -> dict[str, list[Shard]]:
         """Writes df into a new folder; the files by the value of the column `by`."""
-        folder = uuid.uuid4().hex
         df.write.partitionBy(by).parquet(f"{self.path}/data/{folder}")
         files = self._files(folder)
         rows = {}
@@ -127,14 +127,23 @@ class ShardStore:
     def append(self, df: DataFrame, batch=None) -> int:
         """Adds the rows of df as new files. batch: a column; each of its values becomes a version of its own, in order."""
         version = self.version()
-        for _, shards in sorted(self._write(df.withColumn("__batch", F.lit(0) if batch is None else batch), "__batch").items()):
-            version = self.commit(version, [*self.shards(version), *shards])
+        for _, shards in sorted(self._write(df.withColumn("__batch", F.lit(0) if batch is None else batch), "__batch", uuid.uuid4().hex).items()):
+            version = self._add(shards)
         return version
 
-    def plan(self, target_bytes: int = TARGET_BYTES) -> list[list[Shard]]:
+    def _add(self, shards: list[Shard]) -> int:
+        """Commits the files on top of whatever is the last version."""
+        while True:
+            base = self.version()
+            try:
+                return self.commit(base, [*self.shards(base), *shards])
+            except CommitConflict:
+                continue
+
+    def plan(self, target_bytes: int = TARGET_BYTES, version: int | None = None) -> list[list[Shard]]:
         """Runs of FAN_IN or more files of one tier, each run up to the target size."""
         tiers: dict[int, list[Shard]] = {}
-        for s in self.shards():
+        for s in self.shards(version):
             if s.bytes < target_bytes / 2:
                 tiers.setdefault(s.tier(), []).append(s)
         runs: list[list[Shard]] = []
@@ -149,22 +158,48 @@ class ShardStore:
         return [r for r in runs if len(r) >= FAN_IN or sum(x.bytes for x in r) >= target_bytes / 2 and len(r) > 1]
 
     def compact(self, target_bytes: int = TARGET_BYTES, keep_old: bool = False) -> int:
-        """Merges until no tier has a run left; all runs of one pass are merged by one job. Returns the version."""
-        while runs := self.plan(target_bytes):
+        """Merges until no tier has a run left. Returns the version.
+
+        A pass plans from one version, merges runs of 1 / PASS_PARTS of its bytes in one job and commits on
+        that version; the merged files' inputs are deleted before the next pass. If another writer has
+        committed meanwhile, what the pass wrote is deleted and it is planned anew.
+        """
+        while True:
             base = self.version()
-            ends = list(accumulate(len(r) for r in runs))
-            runs = runs[: max(1, bisect_right(ends, PASS_FILES))]
-            place = [(s.path, i) for i, run in enumerate(runs) for s in run]
-            groups = _listed(self.spark.createDataFrame(place, "__file string, __run int"), len(place))
-            old = [s for run in runs for s in run]
-            rows = self.spark.read.parquet(*[f"{self.path}/data/{s.path}" for s in old]).withColumn("__file", _place())
-            merged = self._write(rows.join(groups, "__file").drop("__file").repartition(len(runs), "__run"), "__run")
-            rest = [s for s in self.shards(base) if s not in set(old)]
-            self.commit(base, [*rest, *(s for run in merged.values() for s in run)])
+            runs = self._pass(self.plan(target_bytes, base), sum(s.bytes for s in self.shards(base)) // PASS_PARTS)
+            if not runs:
+                return base
+            folder = uuid.uuid4().hex
+            try:
+                self._merge(base, runs, folder)
+            except (CommitConflict, PySparkException, Py4JError):
+                self._fs.delete(self._at(f"data/{folder}"), True)
+                if self.version() == base:  # nobody else has changed or deleted anything
+                    raise
+                continue
             if not keep_old:
-                for s in old:
+                for s in (s for run in runs for s in run):
                     self._fs.delete(self._at(f"data/{s.path}"), False)
-        return self.version()
+
+    @staticmethod
+    def _pass(runs: list[list[Shard]], most_bytes: int) -> list[list[Shard]]:
+        """The first of the runs: one at least, of most_bytes and PASS_FILES in all at most."""
+        n = files = size = 0
+        for run in runs:
+            files, size = files + len(run), size + sum(s.bytes for s in run)
+            if n and (files > PASS_FILES or size > most_bytes):
+                break
+            n += 1
+        return runs[:n]
+
+    def _merge(self, base: int, runs: list[list[Shard]], folder: str) -> int:
+        """Writes each run as one file, by a task of its own, and commits on the version `base`."""
+        place = [(s.path, i) for i, run in enumerate(runs) for s in run]
+        groups = _listed(self.spark.createDataFrame(place, "__file string, __run int"), len(place))
+        old = {s for run in runs for s in run}
+        rows = self.spark.read.parquet(*[f"{self.path}/data/{s.path}" for s in sorted(old, key=lambda s: s.path)]).withColumn("__file", _place())
+        merged = self._write(rows.join(groups, "__file").drop("__file").repartitionById(len(runs), "__run"), "__run", folder)
+        return self.commit(base, [*(s for s in self.shards(base) if s not in old), *(s for run in merged.values() for s in run)])
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version, with __shard (its number in the manifest) and __shard_rows; None if it has no file."""
