@@ -36,18 +36,50 @@ def strip_frontmatter(text: Column) -> Column:
     return F.regexp_replace(clean, r"(?s)\A---\n.*?\n---\n*", "")
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with the value worked out once: a lambda's argument is, a column that a lambda names is not."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _bare(value: Column) -> Column:
+    return F.regexp_replace(value, r"""^["']|["']?\s*$""", "")
+
+
 def frontmatter(text: Column) -> Column:
-    """The flat `key: value` lines of a leading block as a map; empty if there is none or no such line.
+    """The `key: value` lines of a leading block as a map; empty if there is none or no such line.
 
-    A code fence around the whole text is tolerated.
+    A list under a key, one `- item` to a line, becomes `[item, item]`, as it is written on one line;
+    list_items() parts both. Of keys that are repeated the last one counts. A code fence around the
+    whole text is tolerated.
     """
     body = F.regexp_replace(F.ltrim(text), r"\A```[^\n]*\n\s*", "")
     block = F.regexp_extract(body, r"(?s)\A---(.*?)---", 1)
-    lines = F.filter(F.split(block, "\n"), lambda x: F.rlike(x, F.lit(r"^[A-Za-z_][A-Za-z0-9_-]*:\s*\S")))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.regexp_replace(F.regexp_replace(x, r"^[^:]*:\s*", ""), r"""^["']|["']?\s*$""", "").alias("v")))
-    # of keys that are repeated the last one counts
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    item = "\u0001"
+
+    def listed(raw: Column) -> Column:
+        items = F.transform(F.split(F.substring(raw, 2, 1 << 30), item), _bare)
+        return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+    def pair(line: Column) -> Column:
+        value = F.regexp_replace(line, r"^[^:]*:[ \t\r]*", "")
+        return F.struct(F.trim(F.substring_index(line, ":", 1)).alias("k"), F.when(F.startswith(value, F.lit(item)), listed(value)).otherwise(_bare(value)).alias("v"))
+
+    def parsed(block: Column) -> Column:
+        lines = F.split(F.regexp_replace(block, r"\r?\n[ \t]*-[ \t]+", item), "\n")
+        return F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(r"^[A-Za-z_][A-Za-z0-9_-]*:\s*\S"))), pair)
+
+    def mapped(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+
+    return _once(_once(block, parsed), mapped)
+
+
+def list_items(value: Column) -> Column:
+    """The items of a frontmatter list `[a, b]`; any other value is one item, none of a null."""
+    inner = F.regexp_extract(value, r"^\[(.*)\]$", 1)
+    items = F.filter(F.transform(F.split(inner, ","), lambda x: _bare(F.trim(x))), lambda x: x != "")
+    return F.when(value.isNull(), F.array().cast("array<string>")).when(F.rlike(value, F.lit(r"^\[.*\]$")), items).otherwise(F.array(value))
 
 
 def frontmatter_body(text: Column) -> Column:

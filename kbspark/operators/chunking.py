@@ -58,7 +58,7 @@ def pieces(body: str, cfg: ChunkConfig) -> Iterator[str]:
 
 
 def chunk_pages(pages: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """(repo_id, filename, chunk_id, heading, chunk_text, position) of pages (repo_id, filename, content)."""
+    """(repo_id, filename, chunk_id, heading, chunk_text, position) of pages (repo_id, filename, content). The texts are whole; stored() cuts them."""
 
     def run(batches):
         for pdf in batches:
@@ -70,7 +70,12 @@ def chunk_pages(pages: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame
 
     texts = pages.select("repo_id", "filename", X.strip_frontmatter(F.col("content")).alias("text"))
     chunks = texts.mapInPandas(run, "repo_id long, filename string, heading string, chunk_text string, position int")
-    return chunks.withColumn("chunk_id", F.concat("filename", F.lit("#"), "position")).withColumn("chunk_text", F.substring("chunk_text", 1, PAYLOAD_CHARS))
+    return chunks.withColumn("chunk_id", F.concat("filename", F.lit("#"), "position"))
+
+
+def stored(chunks: DataFrame, limit: int = PAYLOAD_CHARS) -> DataFrame:
+    """Chunks as they are kept beside their vectors: the text is cut after it was embedded whole."""
+    return chunks.withColumn("chunk_text", F.substring("chunk_text", 1, limit))
 
 
 def embed_text(title: Column, heading: Column, text: Column) -> Column:

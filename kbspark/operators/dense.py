@@ -13,6 +13,17 @@ from kbspark.operators.lexical import best
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
 
 
+def semantic_search(queries: DataFrame, page_vectors: DataFrame, k: int = 15) -> DataFrame:
+    """Whole pages by cosine: the k best, without a threshold. page_vectors: (repo_id, filename, embedding)."""
+    return dense_topk(queries, page_vectors.select("repo_id", F.col("filename").alias("id"), F.col("filename").alias("file"), "embedding"), k)
+
+
+def with_metadata(hits: DataFrame, metadata: DataFrame, key: str = "point_id") -> DataFrame:
+    """Hits with the rows that a local table holds on them; hits without one are dropped."""
+    clash = [c for c in metadata.columns if c != key and c in hits.columns]
+    return hits.join(metadata.drop(*clash), key)
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, per_file: int | None = None, oversample: int = 1, exclude_self: bool = False, blocks: int | None = None) -> DataFrame:
     """(repo_id, query_id, id, file, score, rank) by cosine.
 
@@ -24,6 +35,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
     wide = k * oversample
     n_blocks = blocks or max(1, -(-vectors.count() // BLOCK_ROWS))
     n_asked = max(1, -(-queries.count() // QUERY_ROWS))
+    queries, vectors = queries.filter(F.col("embedding").isNotNull()), vectors.filter(F.col("embedding").isNotNull())
     left = queries.select("repo_id", "query_id", F.col("embedding").alias("q")).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = vectors.select("repo_id", "id", "file", F.col("embedding").alias("v")).withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
 

@@ -42,10 +42,10 @@ def fact_text(source: Column, sheet: Column, row: Column, keys: Column, fields:
     return F.concat_ws("; ", head, F.nullif(F.array_join(pairs, "; "), F.lit("")))
 
 
-def sheets_to_facts(sheets: DataFrame, markdown_name: Column | None = None) -> DataFrame:
-    """One record for each data row: fields without empty cells, numbered from 1 after the empty rows are gone."""
+def sheets_to_facts(sheets: DataFrame, markdown_name: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One record for each data row: fields without empty cells, numbered from 1 after the empty rows are gone; with the columns in keep."""
     parsed = parse_sheets(sheets.withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit("Sheet1"))))
-    rows = parsed.select("source_file", F.col("name").alias("sheet"), "headers", F.posexplode("rows").alias("i", "cells"))
+    rows = parsed.select(*keep, "source_file", F.col("name").alias("sheet"), "headers", F.posexplode("rows").alias("i", "cells"))
     width = F.size("headers")
     cells = F.transform(F.sequence(F.lit(1), width), lambda i: F.get(F.col("cells"), i - 1))
     names = F.array_distinct("headers")
@@ -55,7 +55,7 @@ def sheets_to_facts(sheets: DataFrame, markdown_name: Column | None = None) -> D
     source_md = F.lit(None).cast("string") if markdown_name is None else markdown_name
     rows = rows.withColumn("record_id", F.concat(X.slugify(F.col("sheet")), F.lit(":"), F.col("row_index"))).withColumn("source_markdown_filename", F.coalesce(source_md, F.concat(F.regexp_replace("source_file", r"\.[^.]+$", ""), F.lit(".md"))))
     text = fact_text(F.col("source_file"), F.col("sheet"), F.col("row_index"), F.col("keys"), F.col("fields"))
-    return rows.select("record_id", "source_file", "source_markdown_filename", "sheet", "row_index", "fields", text.alias("fact_text"))
+    return rows.select(*keep, "record_id", "source_file", "source_markdown_filename", "sheet", "row_index", "fields", text.alias("fact_text"))
 
 
 def sheets_to_markdown(sheets: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def embed_text(source: Column, sheet: Column, row: Column, text: Column) -> Colu
     return F.when(F.size(parts) > 0, F.concat(F.lit("["), F.array_join(parts, " | "), F.lit("]\n"), text)).otherwise(text)
 
 
-def search_text(facts: DataFrame, limit: int = 800) -> DataFrame:
+def search_text(facts: DataFrame, limit: int = 2000) -> DataFrame:
     """Adds fact_search_text: origin, sheet, row twice, each field as k=v and as k v, and the text."""
     pair = lambda e: F.when((F.trim(e["key"]) != "") & (F.trim(e["value"]) != ""), F.array(F.concat(F.trim(e["key"]), F.lit("="), F.trim(e["value"])), F.concat(F.trim(e["key"]), F.lit(" "), F.trim(e["value"])))).otherwise(F.filter(F.array(F.trim(e["key"]), F.trim(e["value"])), lambda v: v != ""))
     fields = F.flatten(F.transform(F.map_entries("fields"), pair))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
-from kbspark.operators.lexical import best, bm25_topk, build_postings
+from kbspark.operators.facts import search_text
+from kbspark.operators.lexical import Postings, best, bm25_topk, build_postings
 from kbspark.plans.config import RetrievalConfig
 
 Q = ["repo_id", "query_id"]
@@ -89,20 +90,39 @@ def merged_pages(selected: DataFrame, dense: DataFrame, pages: DataFrame, max_n:
     return ordered_distinct(both.join(pages.select("repo_id", "filename"), ["repo_id", "filename"], "left_semi"), "filename", max_n)
 
 
-def retrieve_chunks(queries: DataFrame, chunks: DataFrame, dense: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), limit: Column | None = None) -> DataFrame:
+def retrieve_chunks(queries: DataFrame, chunks: DataFrame, dense: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), limit: Column | None = None, postings: Postings | None = None) -> DataFrame:
     """Chunks of each query: dense and keyword channels fused, capped by file, cut, and their neighbours.
 
-    chunks: (repo_id, filename, position, chunk_id, chunk_text); dense: a ranked channel whose id is chunk_id.
+    chunks: (repo_id, filename, position, chunk_id, chunk_text); dense: a ranked channel whose id is
+    chunk_id, of cfg.chunk_candidates hits; postings: the chunks' index, if it was written.
     """
-    words = bm25_topk(queries, build_postings(chunks, "chunk_id", "chunk_text"), cfg.bm25_top_k)
-    fused = rrf_fuse({"dense": dense, "bm25": words}, k=cfg.rrf_k).join(chunks.select("repo_id", F.col("chunk_id").alias("id"), "filename", "position"), ["repo_id", "id"])
-    kept = cap_per_file(ranked(fused, "id"), cfg.per_file, cfg.chunk_top_k if limit is None else limit)
-    return expand_neighbors(kept, chunks, cfg.neighbors)
+    channels = {"dense": dense}
+    if cfg.enable_bm25:
+        channels["bm25"] = bm25_topk(queries, postings or build_postings(chunks, "chunk_id", "chunk_text"), cfg.bm25_top_k)
+    fused = rrf_fuse(channels, k=cfg.rrf_k).join(chunks.select("repo_id", F.col("chunk_id").alias("id"), "filename", "position"), ["repo_id", "id"])
+    kept = cap_per_file(ranked(fused, "id"), cfg.max_chunks_per_file, cfg.chunk_top_k if limit is None else limit)
+    return expand_neighbors(kept, chunks, cfg.context_expand_neighbors)
 
 
 # -- facts
 
 
+def merge_attributes(channels: dict[str, DataFrame], attributes: list[str], key: str = "id") -> DataFrame:
+    """(repo_id, query_id, key, attributes): of each hit, the first value of each attribute that isn't empty, in the order of the channels and their ranks.
+
+    Empty are null, the empty string, an empty map or array, and 0.
+    """
+    rows = [df.select(*Q, key, F.struct(F.lit(i).alias("c"), F.col("rank").cast("int").alias("r")).alias("__o"), *attributes) for i, df in enumerate(channels.values())]
+    rows = reduce(DataFrame.unionByName, rows)
+
+    def empty(c: str) -> Column:
+        kind = rows.schema[c].dataType.typeName()
+        full = F.size(c) > 0 if kind in ("map", "array") else F.col(c) != "" if kind == "string" else F.col(c) != 0
+        return F.coalesce(~full, F.lit(True))
+
+    return rows.groupBy(*Q, key).agg(*[F.min_by(c, F.when(~empty(c), F.col("__o"))).alias(c) for c in attributes])
+
+
 def exact_fact_scores(queries: DataFrame, facts: DataFrame, repo: str = "repo_id") -> DataFrame:
     """(repo_id, query_id, id, score): points for field values, names and origins that occur in the question.
 
@@ -125,15 +145,24 @@ def exact_fact_scores(queries: DataFrame, facts: DataFrame, repo: str = "repo_id
     return tally.filter("values + origins > 0").select(repo, "query_id", "id", score.alias("score"))
 
 
-def retrieve_facts(queries: DataFrame, facts: DataFrame, dense: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), limit: Column | int | None = None) -> DataFrame:
+def retrieve_facts(queries: DataFrame, facts: DataFrame, dense: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), limit: Column | int | None = None, postings: Postings | None = None) -> DataFrame:
     """Facts of each query: dense, keyword and exact channels fused.
 
-    A query that neither keywords nor fields match keeps its dense hits as they are. facts: (repo_id,
-    id, fields, fact_search_text, source_file, source_markdown_filename, sheet).
+    A query that neither keywords nor fields match keeps its dense hits as they are, and so do queries
+    of repositories with more facts than cfg.fact_keyword_max_records. facts: (repo_id, id, fields,
+    fact_text, row_index, source_file, source_markdown_filename, sheet).
     """
     k = cfg.fact_top_k
-    words = bm25_topk(queries, build_postings(facts, "id", "fact_search_text"), max(k, 100))
-    exact = best(exact_fact_scores(queries, facts), max(k, 100))
+    if not cfg.enable_fact_keyword:
+        return ranked(rrf_fuse({"dense": dense}, k=cfg.rrf_k).withColumn("fused", F.col("dense_score")), "id", k if limit is None else limit)
+    if cfg.fact_keyword_max_records is not None:
+        few = facts.groupBy("repo_id").agg(F.count("*").alias("n")).filter(F.col("n") <= cfg.fact_keyword_max_records).select("repo_id")
+        facts, asked = facts.join(few, "repo_id", "left_semi"), queries.join(few, "repo_id", "left_semi")
+    else:
+        asked = queries
+    wide = max(k, cfg.fact_keyword_top_k)
+    words = bm25_topk(asked, postings or build_postings(search_text(facts, cfg.fact_search_text_chars), "id", "fact_search_text"), wide)
+    exact = best(exact_fact_scores(asked, facts), wide)
     matched = words.select(*Q).union(exact.select(*Q)).distinct()
     fused = rrf_fuse({"dense": dense.join(matched, Q, "left_semi"), "bm25": words, "exact": exact}, k=cfg.rrf_k, add_score=("exact",))
     alone = rrf_fuse({"dense": dense.join(matched, Q, "left_anti")}, k=cfg.rrf_k).withColumns({"bm25_score": F.lit(0.0), "exact_score": F.lit(0.0), "fused": F.col("dense_score")})

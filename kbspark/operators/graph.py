@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
@@ -44,21 +44,58 @@ def broken_links(pages: DataFrame) -> DataFrame:
     return edges(pages).join(pages.select("repo_id", F.col("filename").alias("target")), ["repo_id", "target"], "left_anti").select("repo_id", "source", "target").distinct()
 
 
+def vocabulary(repos: DataFrame, templates: DataFrame) -> DataFrame:
+    """(repo_id, type): the page types of each repository's template. repos: (repo_id, template); templates: (template, types)."""
+    return repos.join(F.broadcast(templates), "template").select("repo_id", F.explode("types").alias("type"))
+
+
 def lint(pages: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(repo_id, type, page, description) of structural faults. vocabulary: (type), the types that a page may have."""
-    issue = lambda df, kind, page, text: df.select("repo_id", F.lit(kind).alias("type"), F.col(page).alias("page"), text.alias("description"))
-    front = pages.withColumn("f", X.frontmatter(F.col("content"))).filter(~F.col("filename").isin(*SYSTEM_PAGES))
-    missing = F.array_join(F.filter(F.array(*[F.when(~F.map_contains_key("f", c), F.lit(c)) for c in ("title", "type", "updated")]), lambda x: x.isNotNull()), ", ")
-    typed = front.filter(F.map_contains_key("f", "type")).withColumn("t", F.element_at("f", "type"))
+    """(repo_id, type, page, description) of structural faults. vocabulary: (repo_id, type), the types that a repository's pages may have."""
+    issue = lambda kind, page, text: F.struct(F.lit(kind).alias("type"), page.alias("page"), text.alias("description"))
+    get = lambda c: F.try_element_at(F.col("f"), F.lit(c))
+    page = F.col("filename")
+    # a page's own faults in one pass over its leading block
+    front = pages.filter(~page.isin(*SYSTEM_PAGES)).select("repo_id", "filename", X.frontmatter(F.col("content")).alias("f"))
+    front = front.select("repo_id", "filename", get("title").alias("title"), get("type").alias("type"), get("updated").alias("updated"))
+    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("title", "type", "updated")])
+    known = vocabulary.select("repo_id", "type").distinct().withColumn("__known", F.lit(True))
+    own = F.array_compact(
+        F.array(
+            F.when(missing != "", issue("bad_frontmatter", page, F.concat(F.lit("lacks "), missing))),
+            F.when(F.col("type").isNotNull() & F.col("__known").isNull(), issue("wrong_type", page, F.concat(F.lit("unknown type "), F.col("type")))),
+        )
+    )
     rows = [
-        issue(orphans(pages), "orphan", "filename", F.lit("no page links here")),
-        issue(broken_links(pages), "broken_link", "source", F.concat(F.lit("links to "), F.col("target"))),
-        issue(front.withColumn("m", missing).filter("m != ''"), "bad_frontmatter", "filename", F.concat(F.lit("lacks "), F.col("m"))),
-        issue(typed.join(vocabulary.select(F.col("type").alias("t")), "t", "left_anti"), "wrong_type", "filename", F.concat(F.lit("unknown type "), F.col("t"))),
+        front.join(known, ["repo_id", "type"], "left").select("repo_id", F.inline(own)),
+        orphans(pages).select("repo_id", F.inline(F.array(issue("orphan", page, F.lit("no page links here"))))),
+        broken_links(pages).select("repo_id", F.inline(F.array(issue("broken_link", F.col("source"), F.concat(F.lit("links to "), F.col("target")))))),
     ]
     return reduce(DataFrame.unionByName, rows)
 
 
+#: The part of a lint report that an issue belongs to, and the issues that can be mended.
+REPORT_PARTS = {"contradiction": "contradictions", "orphan": "orphan_pages", "missing_link": "missing_refs", "bad_frontmatter": "missing_refs", "wrong_type": "missing_refs"}
+FIXABLE = ("bad_frontmatter", "orphan", "missing_link", "wrong_type")
+
+
+def report_part(kind: Column) -> Column:
+    """The part of the report for an issue's type, missing_refs for any other."""
+    named = F.create_map(*[F.lit(x) for pair in REPORT_PARTS.items() for x in pair])
+    return F.coalesce(F.try_element_at(named, F.coalesce(kind, F.lit(""))), F.lit("missing_refs"))
+
+
+def lint_report(issues: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:
+    """(repo_id, part, page_slug, message, fixable) of structural issues and those that a model found (repo_id, type, page, description).
+
+    suggestions: (repo_id, message), the model's advice that belongs to no page.
+    """
+    slug = F.nullif(F.replace(F.coalesce("page", F.lit("")), F.lit(".md"), F.lit("")), F.lit(""))
+    rows = issues.select("repo_id", report_part(F.col("type")).alias("part"), slug.alias("page_slug"), F.col("description").alias("message"), F.coalesce(F.col("type").isin(*FIXABLE), F.lit(False)).alias("fixable"))
+    if suggestions is None:
+        return rows
+    return rows.unionByName(suggestions.select("repo_id", F.lit("suggestions").alias("part"), F.lit(None).cast("string").alias("page_slug"), "message", F.lit(False).alias("fixable")))
+
+
 def exact_duplicates(sources: DataFrame, key: str = "filename", content: str = "content") -> DataFrame:
     """(repo_id, key, kept): sources with the content of another one, and the first of these."""
     hashed = sources.select("repo_id", key, F.md5(F.col(content).cast("binary")).alias("md5"))
@@ -135,14 +172,23 @@ def affected_pages(state: DataFrame, log: DataFrame) -> DataFrame:
     return joined.select("repo_id", "source", F.filter(pages, lambda p: ~p.isin(*SYSTEM_PAGES)).alias("pages"))
 
 
-def delete_documents(gone: DataFrame, pages: DataFrame, chunks: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
-    """The tables without the given documents (repo_id, source_file), the pages made of them, and their chunks and facts."""
+def delete_documents(gone: DataFrame, pages: DataFrame, chunks: DataFrame, facts: DataFrame, logs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables without the given documents (repo_id, source_file), the pages made of them, and their chunks and facts.
+
+    The index pages (repo_id, content) are made anew from the pages that stay. logs: (repo_id, content),
+    the ingest logs, of which the documents' sections go.
+    """
     made = pages_from_sources(pages, gone).select("repo_id", "filename")
-    return {
-        "pages": pages.join(made, ["repo_id", "filename"], "left_anti"),
+    left = pages.join(made, ["repo_id", "filename"], "left_anti")
+    out = {
+        "pages": left,
         "chunks": chunks.join(made, ["repo_id", "filename"], "left_anti"),
         "facts": facts.join(gone.select("repo_id", "source_file"), ["repo_id", "source_file"], "left_anti"),
+        "index": index_page(left),
     }
+    if logs is not None:
+        out["logs"] = drop_log_sections(logs, gone.select("repo_id", F.col("source_file").alias("source")))
+    return out
 
 
 def pages_by_type(pages: DataFrame) -> DataFrame:

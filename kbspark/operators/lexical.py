@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.functions.text import tokens
+from kbspark.functions.text import excerpt, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -21,21 +21,26 @@ class Postings:
     stats: DataFrame
 
     def write(self, path: str) -> None:
-        for name in ("tf", "terms", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """Works the index out once; its rows are sorted by term, so that a search reads few of them."""
+        self.tf.repartitionByRange("repo_id", "term").sortWithinPartitions("repo_id", "term").write.mode("overwrite").parquet(f"{path}/tf")
+        _terms(self.tf.sparkSession.read.parquet(f"{path}/tf")).write.mode("overwrite").parquet(f"{path}/terms")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def read(spark, path: str) -> Postings:
         return Postings(*(spark.read.parquet(f"{path}/{name}") for name in ("tf", "terms", "stats")))
 
 
+def _terms(tf: DataFrame) -> DataFrame:
+    return tf.groupBy("repo_id", "term").agg(F.count("*").alias("df"))
+
+
 def build_postings(docs: DataFrame, id_col: str, text_col: str, segmenter=None) -> Postings:
     """docs: (repo_id, id, text). Documents without tokens count with length 0."""
     rows = docs.select("repo_id", F.col(id_col).alias("id"), tokens(F.col(text_col), segmenter).alias("words")).withColumn("length", F.size("words"))
     tf = rows.select("repo_id", "id", "length", F.explode("words").alias("term")).groupBy("repo_id", "term", "id", "length").agg(F.count("*").alias("tf"))
-    terms = tf.groupBy("repo_id", "term").agg(F.count("*").alias("df"))
     stats = rows.groupBy("repo_id").agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("avgdl"))
-    return Postings(tf, terms, stats)
+    return Postings(tf, _terms(tf), stats)
 
 
 def term_weights(postings: Postings) -> DataFrame:
@@ -57,6 +62,15 @@ def best(scored: DataFrame, k: int, score: str = "score", key: str = "id") -> Da
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def select_pages(queries: DataFrame, pages: DataFrame, k: int = 8, chars: int = 400) -> DataFrame:
+    """The k pages (repo_id, query_id, id, score, rank) whose title and first words fit a question best.
+
+    It stands in for a model that chooses from an index of all pages.
+    """
+    docs = pages.select("repo_id", "filename", F.concat_ws("\n", "title", excerpt(F.col("content"), chars)).alias("text"))
+    return bm25_topk(queries, build_postings(docs, "filename", "text"), k)
+
+
 def bm25_topk(queries: DataFrame, postings: Postings, k: int = 20, variant: str = "okapi", text_col: str = "question") -> DataFrame:
     """(repo_id, query_id, id, score, rank) of the documents with a positive score.
 

@@ -57,9 +57,10 @@ def _sources(spark, sf_dir):
     return t.tasks(spark, sf_dir).select("repo_id", "source_file").distinct()
 
 
-@query(f"WITH {TASKS} SELECT DISTINCT repo_id, source_file FROM tasks s WHERE NOT EXISTS (SELECT 1 FROM tasks x WHERE x.repo_id = s.repo_id AND x.source_file = s.source_file AND status IN ('done', 'queued', 'running'))")
+@query(f"WITH {TASKS}, src AS (SELECT repo_id, source_file FROM tasks UNION SELECT doc_id % 20, 'upload-' || (doc_id % 900) || '.pdf' FROM documents) SELECT DISTINCT repo_id, source_file FROM src s WHERE NOT EXISTS (SELECT 1 FROM tasks x WHERE x.repo_id = s.repo_id AND x.source_file = s.source_file AND status IN ('done', 'queued', 'running'))")
 def pending_sources(spark, sf_dir):
-    return logs.pending_sources(_sources(spark, sf_dir), t.tasks(spark, sf_dir))
+    raw = t.given(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("repo_id"), F.concat(F.lit("upload-"), F.col("doc_id") % 900, F.lit(".pdf")).alias("source_file"))
+    return logs.pending_sources(_sources(spark, sf_dir).union(raw).distinct(), t.tasks(spark, sf_dir))
 
 
 @query(f"""WITH {TASKS}, a AS (SELECT repo_id, source_file, max(CASE WHEN status = 'done' THEN 1 ELSE 0 END) = 1 AS ingested, arg_max(task_id, task_id) FILTER (status IN ('queued', 'running')) AS task_id, arg_max(status, task_id) FILTER (status IN ('queued', 'running')) AS task_status FROM tasks GROUP BY ALL) SELECT * FROM a""")
@@ -102,9 +103,10 @@ def log_tail(spark, sf_dir):
     return logs.search_log(rows, "9", level="medium").select("trace_id", "question", "confidence", "query_mode", "created_at")
 
 
-@query("SELECT mode, count(*) AS n FROM (SELECT CASE WHEN contains(lower(text), 'top') THEN 'fact' ELSE 'narrative' END AS mode FROM conversations) GROUP BY ALL")
+@query(f"SELECT mode, count(*) AS n FROM ({t.MODES}) GROUP BY ALL")
 def query_mode(spark, sf_dir):
-    return t.given(spark, sf_dir, "conversations").select(X.query_mode(F.col("text")).alias("mode")).groupBy("mode").agg(F.count("*").alias("n"))
+    rows = t.given(spark, sf_dir, "conversations")
+    return rows.select(X.query_mode(F.col("text"), *t.MODE_WORDS).alias("mode")).groupBy("mode").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN contains(lower(text), 'vs') THEN 'comparison' ELSE 'generic' END AS intent FROM conversations")
@@ -188,11 +190,16 @@ def _rated(spark, sf_dir):
     return t.given(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("repo_id"), "event_id", "ts")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 50 AS repo_id, event_id, ts, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT repo_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::BOOLEAN AS accepted, NULL::DOUBLE AS retry_after, []::DOUBLE[] AS times FROM (SELECT DISTINCT repo_id FROM e) UNION ALL
+ SELECT repo_id, n, event_id, ts, len(live) < 3, CASE WHEN len(live) < 3 THEN 0 ELSE 3600 - (s - live[1]) END, CASE WHEN len(live) < 3 THEN list_append(live, s) ELSE live END
+ FROM (SELECT e.*, list_filter(r.times, lambda x: e.s - x < 3600) AS live FROM r JOIN e ON e.repo_id = r.repo_id AND e.n = r.n + 1))
+SELECT repo_id, event_id, ts, accepted, round(retry_after, 3) AS retry_after FROM r WHERE n > 0""")
 def rate_limit(spark, sf_dir):
-    return streams.rate_limit(_rated(spark, sf_dir), 3, 3600)
+    return streams.rate_limit(_rated(spark, sf_dir), 3, 3600).withColumn("retry_after", F.round("retry_after", 3))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS token_id, ts FROM events), r AS (SELECT token_id, min(ts) AS ts FROM e GROUP BY token_id UNION ALL
+ SELECT r.token_id, min(e.ts) FROM r JOIN e ON e.token_id = r.token_id AND e.ts >= r.ts + INTERVAL 3600 SECOND GROUP BY r.token_id) SELECT token_id, ts FROM r""")
 def last_used(spark, sf_dir):
     return streams.last_used(t.given(spark, sf_dir, "events").select(F.col("user_id").alias("token_id"), "ts"), 3600)

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as X
 from kbspark.operators import chunking, dense, evaluate, evidence, facts, fusion, lexical, models
 from kbspark.plans import tables as t
+from kbspark.plans.config import RetrievalConfig
 from kbspark.plans.registry import query
+from kbspark.sources import store
 
 K = 10
+CHUNKS = RetrievalConfig(context_expand_neighbors=1)
 TOKENS = """tok AS (SELECT d.doc_id AS id, lower(w.term) AS term FROM documents d, unnest(regexp_extract_all(d.text, '[A-Za-z0-9_]+')) AS w(term)),
 lens AS (SELECT d.doc_id AS id, len(regexp_extract_all(d.text, '[A-Za-z0-9_]+')) AS length FROM documents d),
 tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL),
@@ -31,11 +34,17 @@ def tf_cte(k: int, name: str = "tfs") -> str:
   SELECT query_id, tf.id, CAST(sum(tf) AS DOUBLE) AS score FROM asked JOIN tf USING (term) GROUP BY query_id, tf.id)) WHERE rank <= {k})"""
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def postings(spark, sf_dir):
-    """The documents' index. Its largest table is used several times by each query, so it is kept."""
-    p = lexical.build_postings(t.corpus(spark, sf_dir), "id", "text")
-    p.tf.persist()
-    return p
+    """The documents' index: built and written once by an application, then read by all of its queries."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _written:
+        path = store.scratch(spark)
+        lexical.build_postings(t.corpus(spark, sf_dir), "id", "text").write(path)
+        _written[key] = path
+    return lexical.Postings.read(spark, _written[key])
 
 
 def _bm25(spark, sf_dir, k=20):
@@ -145,12 +154,9 @@ def neighbor_expand(spark, sf_dir):
     return fusion.expand_neighbors(_capped(spark, sf_dir), _placed(spark, sf_dir), 1).drop("repo_id")
 
 
-@query("""SELECT mode, chunk_k, fact_k, count(*) AS n FROM (SELECT mode, CASE mode WHEN 'fact' THEN 6 WHEN 'narrative' THEN 14 ELSE 12 END AS chunk_k, CASE mode WHEN 'fact' THEN 18 WHEN 'narrative' THEN 6 ELSE 12 END AS fact_k FROM
- (SELECT CASE WHEN contains(lower(text), 'top') OR contains(lower(text), 'nt') AND contains(lower(text), '10') THEN 'fact' ELSE 'narrative' END AS mode FROM conversations)) GROUP BY ALL""")
+@query(f"SELECT mode, CASE mode WHEN 'fact' THEN 6 WHEN 'narrative' THEN 14 ELSE 12 END AS chunk_k, CASE mode WHEN 'fact' THEN 18 WHEN 'narrative' THEN 6 ELSE 12 END AS fact_k, count(*) AS n FROM ({t.MODES}) GROUP BY ALL")
 def topk_by_mode(spark, sf_dir):
-    q = F.lower("text")
-    mode = F.when(F.contains(q, F.lit("nt")) & F.contains(q, F.lit("10")), "fact").otherwise(X.query_mode(F.col("text")))
-    rows = t.given(spark, sf_dir, "conversations").withColumn("mode", mode)
+    rows = t.given(spark, sf_dir, "conversations").withColumn("mode", X.query_mode(F.col("text"), *t.MODE_WORDS))
     chunk_k, fact_k = fusion.topk_by_mode(F.col("mode"))
     return rows.select("mode", chunk_k.alias("chunk_k"), fact_k.alias("fact_k")).groupBy("mode", "chunk_k", "fact_k").agg(F.count("*").alias("n"))
 
@@ -185,7 +191,7 @@ def fact_markdown(spark, sf_dir):
 
 
 SEARCH_TEXT = f"""{t.PART_FACTS}, st AS (SELECT *, substr('parts.csv' || chr(10) || 'parts.md' || chr(10) || 'part' || chr(10) || 'row_index=' || row_index || chr(10) || '行=' || row_index || chr(10) ||
- 'name=' || p_name || chr(10) || 'name ' || p_name || chr(10) || 'brand=' || p_brand || chr(10) || 'brand ' || p_brand || chr(10) || 'type=' || p_type || chr(10) || 'type ' || p_type || chr(10) || 'size=' || p_size || chr(10) || 'size ' || p_size || chr(10) || fact_text, 1, 800) AS fact_search_text FROM part_facts)"""
+ 'name=' || p_name || chr(10) || 'name ' || p_name || chr(10) || 'brand=' || p_brand || chr(10) || 'brand ' || p_brand || chr(10) || 'type=' || p_type || chr(10) || 'type ' || p_type || chr(10) || 'size=' || p_size || chr(10) || 'size ' || p_size || chr(10) || fact_text, 1, 2000) AS fact_search_text FROM part_facts)"""
 
 
 @query(f"WITH {SEARCH_TEXT} SELECT id, record_id, fact_search_text FROM st")
@@ -203,20 +209,19 @@ fstats AS (SELECT count(*) AS n, sum(length) / count(*) AS avgdl FROM flen),
 fraw AS (SELECT term, ln((SELECT n FROM fstats) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS r FROM ftf GROUP BY term),
 fidf AS (SELECT term, CASE WHEN r < 0 THEN (SELECT avg(r) * 0.25::DOUBLE FROM fraw) ELSE r END AS idf FROM fraw),
 fasked AS (SELECT query_id, lower(w.term) AS term, count(*) AS qtf FROM part_questions, unnest(regexp_extract_all(question, '[A-Za-z0-9_]+')) AS w(term) GROUP BY ALL),
-fbm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM (SELECT query_id, ftf.id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avgdl))) AS score
+fbm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT query_id, ftf.id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avgdl))) AS score
   FROM fasked JOIN ftf USING (term) JOIN fidf USING (term) JOIN flen ON flen.id = ftf.id, fstats GROUP BY query_id, ftf.id) WHERE score > 0) WHERE rank <= 20)"""
 
 
 def _fact_bm25(spark, sf_dir):
     rows = facts.search_text(t.part_facts(spark, sf_dir))
     p = lexical.build_postings(rows, "id", "fact_search_text")
-    hits = lexical.bm25_topk(t.part_questions(spark, sf_dir), p, 1 << 30).withColumn("score", F.round("score", 6)).drop("rank")
-    return lexical.best(hits, 20)
+    return lexical.bm25_topk(t.part_questions(spark, sf_dir), p, 20)
 
 
 @query(f"WITH {FACT_BM25} SELECT query_id, id, rank, round(score, 6) AS score FROM fbm25")
 def fact_bm25(spark, sf_dir):
-    return _fact_bm25(spark, sf_dir).select("query_id", "id", "rank", "score")
+    return _fact_bm25(spark, sf_dir).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 EXACT = """norm AS (SELECT query_id, regexp_replace(lower(question), '\\s+', '', 'g') AS q FROM part_questions),
@@ -242,6 +247,28 @@ def fact_fusion(spark, sf_dir):
     return fusion.ranked(fused.withColumn("fused", F.round("fused", 6)), "id", 12).select("query_id", "id", "fused", "rank")
 
 
+@query(f"""WITH {FACT_BM25}, {EXACT}, extop AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM exact) WHERE rank <= 20),
+u AS (SELECT query_id, id, 0 AS c FROM fbm25 UNION SELECT query_id, id, 1 FROM extop), k AS (SELECT query_id, id, min(c) AS c, count(*) AS both_c FROM u GROUP BY ALL)
+SELECT query_id, k.id, CASE WHEN k.c = 1 OR both_c = 2 THEN record_id WHEN k.id % 2 = 0 THEN record_id END AS record_id, CASE WHEN k.c = 0 THEN row_index ELSE NULL END AS row_index FROM k JOIN part_facts p ON p.id = k.id""")
+def fact_merge(spark, sf_dir):
+    """Attributes that one channel's hits lack come from the other's."""
+    asked, rows = t.part_questions(spark, sf_dir), t.part_facts(spark, sf_dir)
+    known = rows.select("repo_id", "id", "record_id", "row_index")
+    words = _fact_bm25(spark, sf_dir).join(known, ["repo_id", "id"]).withColumn("record_id", F.when(F.col("id") % 2 == 0, F.col("record_id")).otherwise(""))
+    exact = lexical.best(fusion.exact_fact_scores(asked, rows).withColumn("score", F.round("score", 6)), 20).join(known, ["repo_id", "id"]).withColumn("row_index", F.lit(0))
+    return fusion.merge_attributes({"bm25": words, "exact": exact}, ["record_id", "row_index"]).drop("repo_id")
+
+
+PAGES_READ = f"{t.WIKI}, documents AS (SELECT filename AS doc_id, title || chr(10) || substr(trim(regexp_replace(CASE WHEN doc_id % 11 = 0 THEN content ELSE regexp_replace(content, '(?s)^---\\n.*?\\n---\\n*', '') END, '\\s+', ' ', 'g')), 1, 400) AS text FROM wiki)"
+
+
+@query(f"WITH {PAGES_READ}, {TOKENS}, {ASKED}, {bm25_cte(8)} SELECT query_id, id AS filename, round(score, 6) AS score FROM bm25")
+def page_select(spark, sf_dir):
+    """Pages that fit a question by title and beginning."""
+    pages = t.wiki(spark, sf_dir).withColumn("repo_id", F.lit(0).cast("long"))
+    return lexical.select_pages(t.questions(spark, sf_dir), pages).select("query_id", F.col("id").alias("filename"), F.round("score", 6).alias("score"))
+
+
 # -- evaluation
 
 GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id AS page FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -292,7 +319,12 @@ def channel_exclusive(spark, sf_dir):
 # -- chunks and vectors
 
 
-@query()
+@query(f"""WITH RECURSIVE {t.WIKI}, b AS (SELECT repo_id, filename, regexp_replace(CASE WHEN doc_id % 11 = 0 THEN content ELSE regexp_replace(content, '(?s)^---\\n.*?\\n---\\n*', '') END, '^\\s+|\\s+$', '', 'g') AS body FROM wiki),
+c AS (SELECT repo_id, filename, body, 0::BIGINT AS o, -1::BIGINT AS cut FROM b WHERE body <> '' UNION ALL
+ SELECT repo_id, filename, body, greatest(stop - 80, o + 1), stop FROM (SELECT *, CASE WHEN w = '' THEN o + 1200 ELSE o + 1000 + length(w) END AS stop FROM (SELECT *, regexp_extract(substr(body, o + 1001, 200), '(?s)^.*[。！？!?\\n]') AS w FROM c WHERE length(body) - o > 1200))),
+p AS (SELECT repo_id, filename, o, regexp_replace(substr(body, o + 1, coalesce(lead(cut) OVER (PARTITION BY repo_id, filename ORDER BY o), length(body)) - o), '^\\s+|\\s+$', '', 'g') AS chunk FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY repo_id, filename ORDER BY o) - 1 AS i FROM p WHERE chunk <> '')
+SELECT repo_id, filename, filename || '#' || i AS chunk_id, '' AS heading, CAST(i AS INTEGER) AS position, CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS md5 FROM n""")
 def chunk_pages(spark, sf_dir):
     return chunking.chunk_pages(t.wiki(spark, sf_dir)).select("repo_id", "filename", "chunk_id", "heading", "position", F.length("chunk_text").alias("n_chars"), F.md5("chunk_text").alias("md5"))
 
@@ -304,8 +336,8 @@ def chunk_retrieval(spark, sf_dir):
     chunks = chunking.chunk_pages(pages)
     asked = models.embed(t.questions(spark, sf_dir), "question", models.hash_embedder())
     vectors = models.embed(chunks.select("repo_id", "chunk_id", "filename", "chunk_text"), "chunk_text", models.hash_embedder())
-    near = dense.dense_topk(asked.select("repo_id", "query_id", "embedding"), vectors.select("repo_id", F.col("chunk_id").alias("id"), F.col("filename").alias("file"), "embedding"), 24, oversample=3)
-    return fusion.retrieve_chunks(t.questions(spark, sf_dir), chunks, near).drop("repo_id")
+    near = dense.dense_topk(asked.select("repo_id", "query_id", "embedding"), vectors.select("repo_id", F.col("chunk_id").alias("id"), F.col("filename").alias("file"), "embedding"), CHUNKS.chunk_candidates, threshold=None, oversample=CHUNKS.chunk_oversample)
+    return fusion.retrieve_chunks(t.questions(spark, sf_dir), chunks, near, CHUNKS).drop("repo_id")
 
 
 @query()

@@ -24,8 +24,24 @@ SCHEMAS = {
     "facts": "repo_id long, record_id string, source_file string, source_markdown_filename string, sheet string, row_index int, fields map<string,string>, fact_text string",
 }
 
-#: Page types and required frontmatter by template.
-TEMPLATES = [("general", ["concept", "entity", "source", "overview", "analysis"], ["title", "type", "updated"])]
+#: The page types of each template, and the keys that its frontmatter lists.
+TEMPLATES = [
+    ("default", ["concept", "guide", "reference", "overview", "comparison", "log", "index"], ["title", "type", "tags", "source", "updated"]),
+    ("academic", ["paper", "concept", "method", "result", "comparison", "overview", "index", "log"], ["title", "type", "tags", "source", "evidence_level", "updated"]),
+    ("product", ["feature", "guide", "reference", "faq", "changelog", "overview", "index", "log"], ["title", "type", "version", "updated"]),
+    ("tech_notes", ["concept", "howto", "snippet", "troubleshoot", "overview", "index", "log"], ["title", "type", "tags", "updated"]),
+    ("written", ["concept", "entity", "source", "overview", "analysis"], ["title", "type", "updated"]),
+]
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """(template, types, fields)."""
+    return spark.createDataFrame(TEMPLATES, "template string, types array<string>, fields array<string>")
+
+
+def repo_template(repo: str = "repo_id"):
+    """Repositories follow the templates in turn."""
+    return F.element_at(F.array(*[F.lit(t) for t, _, _ in TEMPLATES]), (F.pmod(F.col(repo), F.lit(len(TEMPLATES))) + 1).cast("int"))
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +134,12 @@ repos AS (SELECT s_suppkey AS repo_id, CAST(s_nationkey AS BIGINT) AS owner_id,
 members AS (SELECT DISTINCT l_suppkey AS repo_id, CAST(c_nationkey AS BIGINT) AS user_id, CASE WHEN (l_suppkey + c_nationkey) % 3 = 0 THEN 'editor' ELSE 'reader' END AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE (l_orderkey + l_suppkey) % 17 = 0 AND (l_suppkey * 7 + c_nationkey) % 11 = 0)"""
 
 
+#: Words that tell questions apart, for the languages of `conversations`.
+MODE_WORDS = ("which", " from ", " und ", " le "), ("that", " was ", " die ", " que ")
+MODES = """SELECT CASE WHEN fact AND narrative THEN 'hybrid' WHEN fact THEN 'fact' ELSE 'narrative' END AS mode FROM (SELECT contains(q, 'which') OR contains(q, ' from ') OR contains(q, ' und ') OR contains(q, ' le ') AS fact,
+ contains(q, 'that') OR contains(q, ' was ') OR contains(q, ' die ') OR contains(q, ' que ') AS narrative FROM (SELECT trim(lower(text)) AS q FROM conversations))"""
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as query logs: (trace_id, repo_id, user_id, question, confidence, query_mode, latency_ms, created_at)."""
     e = given(spark, sf_dir, "events")

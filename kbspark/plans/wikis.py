@@ -82,10 +82,11 @@ def broken_links(spark, sf_dir):
 @query(f"""WITH {LINKED} SELECT repo_id, 'orphan' AS type, filename AS page, 'no page links here' AS description FROM wiki w WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.repo_id = w.repo_id AND f.target = w.filename AND f.source <> f.target)
 UNION ALL SELECT repo_id, 'broken_link', source, 'links to ' || target FROM (SELECT repo_id, source, target FROM edges EXCEPT SELECT repo_id, source, target FROM found)
 UNION ALL SELECT repo_id, 'bad_frontmatter', filename, 'lacks title, type, updated' FROM wiki WHERE doc_id % 11 = 0
-UNION ALL SELECT repo_id, 'wrong_type', filename, 'unknown type memo' FROM wiki WHERE doc_id % 11 <> 0 AND type = 'memo'""")
+UNION ALL SELECT repo_id, 'wrong_type', filename, 'unknown type ' || type FROM wiki WHERE doc_id % 11 <> 0 AND CASE repo_id % 5 WHEN 4 THEN type = 'memo' WHEN 2 THEN true ELSE type <> 'concept' END""")
 def frontmatter_lint(spark, sf_dir):
-    vocabulary = spark.createDataFrame([(x,) for _, types, _ in t.TEMPLATES for x in types], "type string")
-    return graph.lint(t.wiki(spark, sf_dir), vocabulary)
+    pages = t.wiki(spark, sf_dir)
+    repos = pages.select("repo_id").distinct().withColumn("template", t.repo_template())
+    return graph.lint(pages, graph.vocabulary(repos, t.templates(spark)))
 
 
 @query("WITH h AS (SELECT CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS repo_id, doc_id, md5(text) AS m FROM documents), f AS (SELECT repo_id, m, min(doc_id) AS kept FROM h GROUP BY ALL HAVING count(*) > 1) SELECT repo_id, doc_id, kept FROM h JOIN f USING (repo_id, m) WHERE doc_id <> kept")
@@ -141,14 +142,34 @@ def search_totals(spark, sf_dir):
 
 
 @query(f"""WITH {WIKI}, gone AS (SELECT filename, repo_id FROM wiki WHERE doc_id % 50 IN (3, 4)) SELECT 'pages' AS kind, count(*) AS n FROM wiki w WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.filename = w.filename)
-UNION ALL SELECT 'chunks', 2 * count(*) FROM wiki w WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.filename = w.filename) UNION ALL SELECT 'facts', count(*) FROM wiki WHERE doc_id % 50 NOT IN (3, 4)""")
+UNION ALL SELECT 'chunks', 2 * count(*) FROM wiki w WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.filename = w.filename) UNION ALL SELECT 'facts', count(*) FROM wiki WHERE doc_id % 50 NOT IN (3, 4)
+UNION ALL SELECT 'index', count(*) FROM wiki w WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.filename = w.filename) UNION ALL SELECT 'logs', count(DISTINCT (repo_id, source)) FROM wiki WHERE doc_id % 50 NOT IN (3, 4)""")
 def lineage_delete(spark, sf_dir):
     pages = t.wiki(spark, sf_dir)
     gone = pages.filter("doc_id % 50 in (3, 4)").select("repo_id", F.col("source").alias("source_file")).distinct()
     chunks = pages.select("repo_id", "filename", F.explode(F.array(F.lit(0), F.lit(1))).alias("position"))
-    left = graph.delete_documents(gone, pages, chunks, pages.select("repo_id", F.col("source").alias("source_file")))
+    section = F.concat(F.lit("## 2024-01-01 — Ingested `"), "source", F.lit("`\n- Created: x.md\n"))
+    written = pages.select("repo_id", "source", section.alias("s")).distinct().groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list("s")), "\n").alias("content"))
+    left = graph.delete_documents(gone, pages, chunks, pages.select("repo_id", F.col("source").alias("source_file")), written)
+    # the lines of the index and the sections of the logs
+    left["index"] = left["index"].select(F.explode(F.filter(F.split("content", "\n"), lambda x: F.startswith(x, F.lit("- [")))))
+    left["logs"] = left["logs"].select(F.explode(F.regexp_extract_all("content", F.lit("Ingested `"), F.lit(0))))
     count = lambda k: left[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
-    return count("pages").union(count("chunks")).union(count("facts"))
+    return count("pages").union(count("chunks")).union(count("facts")).union(count("index")).union(count("logs"))
+
+
+@query(f"""WITH {LINKED}, i AS (SELECT repo_id, 'orphan_pages' AS part, true AS fixable, count(*) AS n FROM wiki w WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.repo_id = w.repo_id AND f.target = w.filename AND f.source <> f.target) GROUP BY repo_id
+UNION ALL SELECT repo_id, 'missing_refs', false, count(*) FROM (SELECT repo_id, source, target FROM edges EXCEPT SELECT repo_id, source, target FROM found) GROUP BY repo_id
+UNION ALL SELECT repo_id, 'contradictions', false, count(*) FROM wiki WHERE doc_id % 40 = 1 GROUP BY repo_id UNION ALL SELECT repo_id, 'suggestions', false, 1 FROM wiki GROUP BY repo_id
+UNION ALL SELECT repo_id, 'missing_refs', true, count(*) FROM wiki WHERE doc_id % 11 = 0 OR CASE repo_id % 5 WHEN 4 THEN type = 'memo' WHEN 2 THEN true ELSE type <> 'concept' END GROUP BY repo_id) SELECT * FROM i""")
+def lint_report(spark, sf_dir):
+    """Structural issues with those that a model found (here every fortieth page), by part of the report."""
+    pages = t.wiki(spark, sf_dir)
+    repos = pages.select("repo_id").distinct()
+    issues = graph.lint(pages, graph.vocabulary(repos.withColumn("template", t.repo_template()), t.templates(spark)))
+    told = pages.filter("doc_id % 40 = 1").select("repo_id", F.lit("contradiction").alias("type"), F.col("filename").alias("page"), F.lit("says otherwise").alias("description"))
+    rows = graph.lint_report(issues.unionByName(told), repos.select("repo_id", F.lit("read more").alias("message")))
+    return rows.groupBy("repo_id", "part", "fixable").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {WIKI} SELECT repo_id, type, count(*) AS n, CAST(CASE type WHEN 'concept' THEN 2 WHEN 'entity' THEN 3 WHEN 'source' THEN 4 ELSE 6 END AS INTEGER) AS place, string_agg(title, '|' ORDER BY title, filename) AS titles FROM wiki GROUP BY repo_id, type")
@@ -211,7 +232,8 @@ def url_sources(spark, sf_dir):
     return files.web_sources(t.given(spark, sf_dir, "pages")).select("page_id", "filename", F.length("content").alias("n_chars"), F.md5("content").alias("md5"))
 
 
-@query()
+@query(f"""WITH {WIKI}, h AS (SELECT repo_id, substr(filename, 1, 6) AS range, filename, sha1(filename || chr(31) || content) AS h FROM wiki), p AS (SELECT repo_id, range, count(*) AS n, sha1(string_agg(h, '' ORDER BY filename)) AS h FROM h GROUP BY ALL)
+SELECT repo_id, 'n=' || CAST(sum(n) AS BIGINT) || ';h=' || substr(sha1(string_agg(h, '' ORDER BY range)), 1, 16) AS signature FROM p GROUP BY repo_id""")
 def content_signature(spark, sf_dir):
     """n=<count>;h=<digest> of each repository's pages; digests of ranges of names are digested again."""
     pages = t.wiki(spark, sf_dir).select("repo_id", F.substring("filename", 1, 6).alias("range"), "filename", F.sha1(F.concat_ws("\x1f", "filename", "content")).alias("h"))

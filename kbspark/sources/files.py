@@ -36,11 +36,11 @@ def read_pages(spark: SparkSession, path: str, repo_id: int = 0) -> DataFrame:
 
 
 def page_fields(rows: DataFrame) -> DataFrame:
-    """Adds title (else the file's stem), type (else unknown), updated and source from the content's frontmatter."""
+    """Adds title (else the file's stem), type (else unknown), updated, source and tags from the content's frontmatter."""
     front = X.frontmatter(F.col("content"))
     get = lambda key: F.try_element_at(F.col("__front"), F.lit(key))
     rows = rows.withColumn("__front", front).withColumn("title", F.coalesce(get("title"), F.regexp_replace("filename", r"\.md$", "")))
-    return rows.withColumns({"type": F.coalesce(get("type"), F.lit("unknown")), "updated": F.coalesce(get("updated"), F.lit("")), "source": get("source")}).drop("__front")
+    return rows.withColumns({"type": F.coalesce(get("type"), F.lit("unknown")), "updated": F.coalesce(get("updated"), F.lit("")), "source": get("source"), "tags": X.list_items(get("tags"))}).drop("__front")
 
 
 def list_sources(spark: SparkSession, path: str) -> DataFrame:

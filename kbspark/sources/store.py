@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for written tables below spark.checkpoint.dir, which driver and executors share; a folder of this machine only for a local master without that setting."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/kbspark-scratch"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows with equal keys the last in order."""
     newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
@@ -42,6 +55,19 @@ def write(df: DataFrame, path: str, partition: str = "repo_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def replace(df: DataFrame, path: str, repo_ids: list[int] | None = None) -> None:
+    """Puts df in place of the given repositories' rows, or of all rows; a repository that df has no row of is emptied."""
+    if repo_ids is None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("repo_id").parquet(path)
+        return
+    write(df, path)
+    spark = df.sparkSession
+    left = {r[0] for r in spark.read.parquet(path).filter(F.col("repo_id").isin(repo_ids)).join(df.select("repo_id").distinct(), "repo_id", "left_anti").select("repo_id").distinct().collect()}
+    for repo in left:  # some of those that were asked for
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/repo_id={repo}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scan(spark: SparkSession, path: str, repo_ids: list[int] | None = None, columns: list[str] | None = None) -> DataFrame:
     """Rows of the given partitions and columns alone."""
     rows = spark.read.parquet(path)
@@ -49,6 +75,26 @@ def scan(spark: SparkSession, path: str, repo_ids: list[int] | None = None, colu
     return rows if columns is None else rows.select(*columns)
 
 
+def cascade_delete_users(tables: dict[str, DataFrame], users: DataFrame, repos: DataFrame, nullify: tuple[str, ...] = (), repo_nullify: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Every table without what belongs to the users (user_id): their repositories with all that hangs on these, and their own rows.
+
+    In the tables named in nullify a user's rows stay with a null user_id. tables may hold repo_id, user_id or both.
+    """
+    gone = users.select("user_id").distinct()
+    owned = repos.join(gone, repos["owner_id"] == gone["user_id"], "left_semi").select("repo_id")
+    held = {n: df for n, df in tables.items() if "repo_id" in df.columns}
+    out = {**tables, **cascade_delete(held, owned, repo_nullify)}
+    for name, df in out.items():
+        if "user_id" not in df.columns:
+            continue
+        if name in nullify:
+            hit = df.join(gone.withColumn("__gone", F.lit(True)), "user_id", "left")
+            out[name] = hit.withColumn("user_id", F.when(F.col("__gone").isNull(), F.col("user_id"))).select(df.columns)
+        else:
+            out[name] = delete_by(df, gone, ["user_id"])
+    return out
+
+
 def cascade_delete(tables: dict[str, DataFrame], repos: DataFrame, nullify: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Every table without the rows of the repositories; in those named in nullify repo_id becomes null instead."""
     gone = repos.select("repo_id").distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kbspark.functions import text as X
@@ -115,6 +115,44 @@ def distinct_arrivals(sources: DataFrame, late: str = "10 minutes") -> DataFrame
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["md5"]) if sources.isStreaming else rows.dropDuplicates(["md5"])
 
 
+def session_buffer_stream(messages: DataFrame, last: int = 20, title_chars: int = 60) -> DataFrame:
+    """A stream of messages (session_key, ts, role, text) to each session's buffer after every batch: its title and last messages.
+
+    The title is the first question's beginning. A session's state is its title and `last` messages, however long it goes on.
+    """
+
+    def run(key, batches, state: GroupState):
+        title, kept = (state.get[0], list(zip(*state.get[1:]))) if state.exists else (None, [])
+        for role, text in (m for part in [pd.concat(list(batches)).sort_values("ts", kind="stable")] for m in zip(part["role"], part["text"])):
+            title = (text or "")[:title_chars] if title is None and role == "user" else title
+            kept = [*kept, (role, text)][-last:]
+        state.update((title, [m[0] for m in kept], [m[1] for m in kept]))
+        yield pd.DataFrame({"session_key": [key[0]], "title": [title], "roles": [[m[0] for m in kept]], "texts": [[m[1] for m in kept]]})
+
+    out, held = "session_key string, title string, roles array<string>, texts array<string>", "title string, roles array<string>, texts array<string>"
+    return messages.select("session_key", "ts", "role", "text").groupBy("session_key").applyInPandasWithState(run, out, held, "update", GroupStateTimeout.NoTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """Tells callback(name, batch, rows) how a streaming query gets on; add it with spark.streams.addListener()."""
+
+    def __init__(self, callback: Callable[[str, int, int], None]):
+        self.callback = callback
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.callback(event.name or str(event.id), -1, 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.callback(p.name or str(p.id), p.batchId, p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def trace_sink(traces: DataFrame, path: str, checkpoint: str, zone: str = "Asia/Shanghai") -> StreamingQuery:
     """Writes a stream of traces, a folder for each local day."""
     rows = traces.withColumn("date", X.local_date(F.col("ts"), zone))

@@ -158,7 +158,7 @@ def pages(spark):
 
 
 def test_graph(spark, pages):
-    issues = {(r.type, r.page) for r in graph.lint(pages, spark.createDataFrame([("concept",)], "type string")).collect()}
+    issues = {(r.type, r.page) for r in graph.lint(pages, spark.createDataFrame([(1, "concept")], "repo_id long, type string")).collect()}
     assert issues == {("orphan", "c.md"), ("broken_link", "a.md"), ("bad_frontmatter", "c.md"), ("wrong_type", "b.md")}
     assert {(r.target, r.filename) for r in graph.backlinks(pages).collect()} == {("b.md", "a.md"), ("a.md", "b.md"), ("a.md", "index.md")}
     assert "- [A](a.md)" in graph.index_page(pages).first().content
