@@ -4,9 +4,9 @@ Each word has affix, n-gram and lexicon features; their learned weights and the
 between the languages of neighbouring words give, by forward-backward, every word's probability of
 each language. A chain is a line of text. A document's shares are the means over its words.
 
-The field is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, spread evenly over the
-languages), of each at most SEGMENTS short runs of words from anywhere in the text. Runs of different
-documents are strung together, so that changes of language are learned too.
+The field is fitted on a bounded sample of labelled rows, SAMPLE_ROWS of each language at most, and on
+their whole texts, cut into short runs of words. Runs of different documents are strung together, so
+that changes of language are learned too.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import slices
+from kbspark.llm.common import in_arrow, slices
 from kbspark.llm.hashing import mix
 
-SAMPLE_ROWS, SEGMENTS, SEGMENT_WORDS, MAX_LANGS = 800, 30, 12, 64
+#: Labelled rows of each language that are learned from, at most.
+SAMPLE_ROWS = 80
+#: Words of a run.
+SEGMENT_WORDS = 12
 BUCKETS = 1 << 16
 CHAIN, EPOCHS, RATE = 60, 10, 0.3
 
@@ -208,17 +211,14 @@ def fit(segments: list[tuple[str, str, int]], seed: int = 5) -> Field | None:
 
 
 def sample_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str, int]]:
-    """At most SAMPLE_ROWS labelled rows that aren't held out, of each at most SEGMENTS runs of words."""
-    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(17), id_col).alias("h"), (~held_out(id_col)).alias("use"))
+    """Runs of words of at most SAMPLE_ROWS rows of each language, labelled, with an id and not held out."""
+    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(17), id_col).alias("h"), (F.col(id_col).isNotNull() & ~held_out(id_col)).alias("use"))
     labelled = labelled.filter("use and lang is not null and text is not null").drop("use")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return []
-    each = max(1, SAMPLE_ROWS // len(counts))
-    # about three times as many rows as are wanted of each language, then the first of them
-    bound = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1 << 30, int((1 << 30) * 3 * each / r["count"]) + 1)))])
-    near = labelled.filter(F.pmod("h", F.lit(1 << 30)) < F.coalesce(F.element_at(bound, F.col("lang")), F.lit(0)))
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= each)
+    # a broadcast of a name and a number for each language; the field has a column of weights for each
+    # about three times as many rows as are wanted of each language, then the first of them; small languages stay whole
+    counts = labelled.groupBy("lang").agg(F.least(F.lit(1 << 30), F.lit((1 << 30) * 3.0 * SAMPLE_ROWS) / F.count("*")).alias("__bound"))
+    near = labelled.join(F.broadcast(counts), "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("__bound"))
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= SAMPLE_ROWS)
 
     def cut(batches):
         for batch in slices(batches, 0):
@@ -226,12 +226,11 @@ def sample_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
             for text, lang, h in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = find_words([text])
                 n = len(words.which)
-                runs = np.random.default_rng(abs(h)).permutation(max(1, -(-n // SEGMENT_WORDS)))[:SEGMENTS] if n else []
-                distinct = ["".join(map(chr, words.points[a : a + k])) for a, k in zip(words.starts, words.lengths)] if len(runs) else []
-                out += [(" ".join(distinct[w] for w in words.which[r * SEGMENT_WORDS : (r + 1) * SEGMENT_WORDS]), lang, h) for r in sorted(runs)]
+                distinct = ["".join(map(chr, words.points[a : a + k])) for a, k in zip(words.starts, words.lengths)]
+                out += [(" ".join(distinct[w] for w in words.which[i : i + SEGMENT_WORDS]), lang, h) for i in range(0, n, SEGMENT_WORDS)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64())], names=["run", "lang", "h"])
 
-    return sorted(tuple(r) for r in ranked.select("text", "lang", "h").mapInArrow(cut, "run string, lang string, h bigint").collect())
+    return sorted(tuple(r) for r in in_arrow(ranked.select("text", "lang", "h"), cut, "run string, lang string, h bigint").collect())
 
 
 def held_out(id_col: str):
@@ -245,17 +244,21 @@ def identify(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id"
     the largest share (of equal ones the first by name), score that share. A text that is null or has
     no letter, and any text if nothing could be learned, gets `und` and 0. Without a field, one is
     fitted on docs' own labelled rows whose crc32(id) mod 3 isn't 1; predictions see the text alone.
-    Ids may be null (never learned from) or repeated; other columns play no part. An empty table gives
-    an empty one.
+    Ids may be null (never learned from) or repeated; other columns play no part. Whole texts are told,
+    1 MB of them at a time unless one is longer. A kept column that has a result's name comes out with
+    an underscore in front. An empty table gives an empty one.
     """
     if field is None:
         field = fit(sample_segments(docs, id_col, text_col, lang_col))
     kept = [id_col, *[c for c in keep if c != id_col]]
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))])
+    place = kept.index(text_col) if text_col in kept else len(kept) + 1
+    results = [T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))]
+    clash = {f.name for f in results}
+    schema = T.StructType([*[T.StructField(f"_{c}" if c.lower() in clash else c, docs.schema[c].dataType) for c in kept], *results])
 
     def run(batches):
-        for batch in slices(batches, len(kept) + 1):
-            texts = [t or "" for t in batch.column(len(kept) + 1).to_pylist()]
+        for batch in slices(batches, place):
+            texts = [t or "" for t in batch.column(place).to_pylist()]
             lang, score, shares = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if field is not None:
                 words = find_words(texts)
@@ -273,4 +276,5 @@ def identify(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id"
             columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept) + 1)] + columns, names=schema.names)
 
-    return docs.select(*kept, held_out(id_col).alias("__held_out"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    text = [F.col(text_col).alias("__text")] if place > len(kept) else []
+    return in_arrow(docs.select(*kept, held_out(id_col).alias("__held_out"), *text), run, schema)

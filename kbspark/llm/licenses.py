@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import slices
+from kbspark.llm.common import in_arrow, slices
 from kbspark.llm.notices import MENTIONS, TEMPLATES, TOLD
 
 COVERAGE = 0.8
@@ -195,4 +195,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
                 names=schema.names,
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
