@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import slices, written
+from kbspark.llm.common import discard, in_arrow, slices, written
 from kbspark.llm.graph import components
 from kbspark.llm.hashing import mix, shingle_sets
 
 BAND_ROWS = 4
 #: Chance of two documents at the threshold to share no bucket, at most.
 MISSED = 1e-5
-#: Shingles of the documents in a block, on average.
-BLOCK_ITEMS = 100_000
+#: Shingles of the documents in a block and documents in a block, on average, at most.
+BLOCK_ITEMS, BLOCK_ROWS = 100_000, 1000
 
 
 def bands_for(similarity: float, rows: int = BAND_ROWS, missed: float = MISSED) -> int:
@@ -74,7 +74,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -
                 names=schema.names,
             )
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(id_col), F.col(text_col).cast("binary")), run, schema)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -90,7 +90,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
 
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("text"))
     rows = texts.join(wanted, F.col("__id").eqNullSafe(F.col("doc_id"))).select("key", F.coalesce("text", F.lit(b"")).alias("text"))
-    return rows.mapInArrow(run, "key binary, items array<bigint>").dropDuplicates(["key"])
+    return in_arrow(rows, run, "key binary, items array<bigint>").dropDuplicates(["key"])
 
 
 def _linked(a, b, percent: int):
@@ -130,6 +130,26 @@ def _compare_blocks(percent: int):
     return run
 
 
+def _blocks(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """labelled: (bucket, key, n, label). Blocks to compare, (bucket, key, label, i, j), of buckets that hold several components.
+
+    Of buckets that hold the same documents one is taken. The documents of a bucket's largest component
+    have blocks of their own, which are not compared with each other: where nearly all are one component,
+    the pairs of blocks grow with the bucket, not with its square. Also returns a table to discard.
+    """
+    kinds = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.sum("n").alias("items"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"))
+    totals = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "items", "label")).alias("most"), F.sum("size").alias("size"), F.sum("items").alias("items"), F.sum("who").alias("who"))
+    one = totals.filter("kinds > 1").groupBy("size", "items", "who").agg(F.min(F.struct("bucket", "most")).alias("x"))
+    count = lambda size, items: F.ceil(F.greatest(size / BLOCK_ROWS, items / BLOCK_ITEMS)).cast("int")
+    apart = one.select("x.bucket", F.col("x.most.label").alias("major"), count(F.col("size") - F.col("x.most.size"), F.col("items") - F.col("x.most.items")).alias("p"), count(F.col("x.most.size"), F.col("x.most.items")).alias("q"))
+    apart = written(apart)
+    dealt = labelled.join(apart, "bucket").withColumn("h", F.xxhash64("key"))
+    block = F.when(F.col("label") == F.col("major"), F.col("p") + F.pmod("h", "q")).otherwise(F.pmod("h", "p")).cast("int")
+    last = F.when(F.col("label") == F.col("major"), F.col("p")).otherwise(F.col("p") + F.col("q")) - 1
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    return dealt.withColumn("block", block).select("bucket", "key", "label", "block", F.inline(pairs)), apart
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -145,31 +165,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     rows = written(_sketches(docs, id_col, text_col, words, bands_for(similarity)))
     sets = written(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
+    # what a bucket is joined with is written first: joins of two plain shuffles, of which Spark splits hot buckets
     bucketed = sets.select("key", "n", F.explode("bands").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = written(bucketed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
     members = written(bucketed.join(shared, "bucket"))
     company = members.groupBy("key").agg(F.sum("size").alias("company"))
-    ranked = members.join(company, "key")
-    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("company", "key"))["key"].alias("leader"))
+    leaders = written(members.join(company, "key").groupBy("bucket").agg(F.max(F.struct("company", "key"))["key"].alias("leader")))
     stars = written(members.join(leaders, "bucket").filter("key != leader").select("leader", "key").distinct())
+    discard(shared, leaders)
     wanted = stars.select("key").union(stars.select("leader")).distinct()
     full = written(_full_sets(docs, sets.select("doc_id", "key").join(wanted, "key"), id_col, text_col, words))
     leading = full.select(F.col("key").alias("leader"), F.col("items").alias("leading"))
     links = stars.join(full, "key").join(leading, "leader").filter(_linked(F.col("items"), F.col("leading"), percent))
-    labels = components(links.select(F.col("leader").alias("a"), F.col("key").alias("b")))
-
-    # buckets of three and more whose documents are still in several components; of equal ones, one
-    labelled = members.filter("size > 2").join(labels, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
-    apart = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.sum("n").alias("items"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"))
-    apart = apart.filter("x != y").groupBy("size", "items", "who").agg(F.min("bucket").alias("bucket"))
-    parts = F.ceil(F.col("items") / BLOCK_ITEMS)
-    blocks = labelled.drop("size").join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), parts).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), parts.cast("int") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    blocks = blocks.select("bucket", "key", "label", "block", F.inline(pairs)).join(full, "key")
-    more = written(blocks.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(percent), "a binary, b binary").distinct())
+    tables = [rows, sets, members, stars, full, labels := components(links.select(F.col("leader").alias("a"), F.col("key").alias("b")))]
+
+    labelled = members.filter("size > 2").join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
+    blocks, apart = _blocks(labelled)
+    more = written(blocks.join(full, "key").groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(percent), "a binary, b binary").distinct())
+    tables += [apart, more]
     if not more.isEmpty():
-        above = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = labels.withColumnRenamed("node", "key").join(above, "label", "left").select(F.col("key").alias("node"), F.coalesce("top", "label").alias("label"))
+        tables.append(above := components(more))
+        above = above.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = labels.select(F.col("node").alias("key"), "label").join(above, "label", "left").select(F.col("key").alias("node"), F.coalesce("top", "label").alias("label"))
         alone = above.select(F.col("label").alias("node"), F.col("top").alias("label")).join(labels.select("node"), "node", "left_anti")
         labels = labels.union(alone)
 
@@ -179,4 +196,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     named = sets.select("key", "doc_id").join(named, "key", "left").select("key", F.coalesce("least", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "n", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = written(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
+    discard(*tables)
+    return out
