@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import WORD, written
+from kbspark.llm.common import WORD, discard, written
 
 WEIGHTS = (3, 1, 2)
 #: Documents of one class that are numbered in one group, on average, at most.
@@ -61,8 +61,10 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7, id
     size counts words (0 for a null text); copies is 0 to ceil(cap); taken is copies * size. A null
     source is a source of its own, the last. Copies of a document count as documents of their own.
     The same rows give the same copies, however they are partitioned: rows that agree in id and size
-    are interchangeable. Null ids are allowed; other columns of docs play no part. An empty table
-    gives an empty one, and a source without words is taken no times.
+    are interchangeable. Within a source the row is ordered by size to a sixteenth of a power of two, so
+    the words taken are off from the target by about its longest document's size at most, and a source of
+    few documents can be off by that share of it. Null ids are allowed; other columns of docs play no
+    part. An empty table gives an empty one, and a source without words is taken no times.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     digest = F.md5(F.to_json(F.struct(F.lit(seed).alias("seed"), "doc_id", "size")).cast("binary"))
@@ -92,4 +94,6 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7, id
     begin = F.floor((F.col("__start") + F.col("__rank") - 1) * rate + offset)
     copies = F.least(end - begin, F.lit(int(-(-cap // 1)))).cast("int")
     out = found.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", copies.alias("copies"))
-    return out.withColumn("taken", F.col("copies").cast("long") * F.col("size"))
+    out = written(out.withColumn("taken", F.col("copies").cast("long") * F.col("size")))
+    discard(rows)
+    return out
