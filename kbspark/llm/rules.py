@@ -33,7 +33,8 @@ MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # the key's body goes with its heading: up to the END line, or as far as it looks like a body
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\x20\t\r\n\\:,._-]*?-----END [A-Z ]*PRIVATE KEY-----|[\x20\t\r\n\\]*[A-Za-z0-9+/=\r\n\\]{40,}|)"),
     Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("url_login", r"://[A-Za-z0-9._~%-]+:([^\x20\x09-\x0D@/]+)@", 1, 8),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.llm.common import free_name
 from kbspark.llm.rules import BASE, RULES, Rule, trigram_query
 
 SPAN = "array<struct<start:int,place:int,kind:string,end:int>>"
@@ -56,23 +57,25 @@ def rule_spans(text: Column, rule: Rule, place: int) -> Column:
     return F.when(F.rlike(text, pattern), zipped).otherwise(none)
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column __spans: all matches of all rules, by start, then by the order of the rules.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "__spans") -> DataFrame:
+    """docs with the column `spans_col`: all matches of all rules, by start, then by the order of the rules.
 
-    One row for each row of docs, with all its columns. A null text counts as empty. Ids may be null
-    or repeated: rows that share an id share their candidates, and each row's own text is verified.
-    An empty table gives an empty one. Very long texts are searched whole.
+    One row for each row of docs, with all its columns; one that is called `spans_col` already is replaced.
+    A null text counts as empty. Ids may be null or repeated: rows that share an id share their
+    candidates, and each row's own text is verified. An empty table gives an empty one. Very long texts
+    are searched whole.
     """
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
-    found = candidates(docs, indexed, id_col, text_col)
-    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    own, kinds = free_name(docs, "__id"), free_name(docs, "__kinds")
+    found = candidates(docs, indexed, id_col, text_col).withColumnsRenamed({"__id": own, "__kinds": kinds})
+    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col(own)), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(SPAN)
     parts = []
     for place, rule in enumerate(rules):
         spans = rule_spans(text, rule, place)
-        parts.append(F.when(F.array_contains("__kinds", rule.kind), spans).otherwise(none) if rule in indexed else spans)
-    return rows.withColumn("__spans", F.array_sort(F.concat(*parts))).drop("__id", "__kinds")
+        parts.append(F.when(F.array_contains(kinds, rule.kind), spans).otherwise(none) if rule in indexed else spans)
+    return rows.withColumn(spans_col, F.array_sort(F.concat(*parts))).drop(own, kinds)
 
 
 def span_list(spans: Column) -> Column:
@@ -80,15 +83,19 @@ def span_list(spans: Column) -> Column:
 
 
 def scan_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of the base kinds, the digest of their spans, and all spans."""
+    """doc_id, the counts of the base kinds, the digest of their spans, and all spans; other columns play no part."""
     base = F.filter("__spans", lambda s: s["place"] < len(BASE))
     count = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return find_secrets(docs).select("doc_id", *[count(r.kind) for r in BASE], F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("__spans")).alias("spans"))
+    return find_secrets(docs.select("doc_id", "text")).select("doc_id", *[count(r.kind) for r in BASE], F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("__spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every secret in its text replaced by [kind]; what overlaps is replaced once."""
-    text = F.col(text_col)
+    """docs with every secret in its text replaced by [kind]; what overlaps is replaced once.
+
+    Null and empty texts stay as they are, and so do other columns, whatever they are called. Repeated
+    rows fare alike; texts of any length are cleaned whole; an empty table gives an empty one.
+    """
+    text, spans_col = F.col(text_col), free_name(docs, "__spans")
 
     def step(state: Column, s: Column) -> Column:
         clear = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
@@ -96,6 +103,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], clear, mark).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    rows = find_secrets(docs, id_col=id_col, text_col=text_col)
-    return rows.withColumn(text_col, F.when(F.size("__spans") > 0, cleaned).otherwise(text)).select(docs.columns)
+    cleaned = F.aggregate(spans_col, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    rows = find_secrets(docs, id_col=id_col, text_col=text_col, spans_col=spans_col)
+    return rows.withColumn(text_col, F.when(F.size(spans_col) > 0, cleaned).otherwise(text)).select(docs.columns)
