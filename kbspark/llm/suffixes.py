@@ -1,11 +1,15 @@
-"""Removal of long repeats, by a logarithmic family of suffix indexes.
+"""Removal of long repeats, by a logarithmic family of sparse suffix arrays.
 
-A repeat is a string of `length` bytes that starts in more than one place. Suffixes are sampled by
-content: every such string holds one anchor, the least hash of its 32-byte grams, at the same place
-wherever it occurs. An index level is the sorted table of the anchored suffixes' keys: digests of the
-bytes that any repeat around the anchor must share, to its right or to its left. A new batch of
-documents becomes such a level, is merge-scanned against the levels there are for keys in two places,
-and levels of equal size are merged, so that each suffix moves a logarithmic number of times.
+A repeat is a string of `length` bytes that starts in more than one place. The arrays hold a sample of
+the suffixes, chosen by content: of every such string the anchor, which is the least hash of the
+32-byte grams in its first half. Wherever the string occurs, its anchor stands at the same place in it,
+and the suffixes there agree in half its length and more. An array is a table of those suffixes, each
+cut to DEPTH bytes, in buckets by hash and in each bucket in the order of the bytes; suffixes that agree
+so far are one entry, with the least and the largest of their places.
+
+A new batch of documents gets such an array. It is merge-scanned against the arrays there are for
+suffixes that agree in DEPTH bytes (both lie in the same buckets and the same order, so nothing is
+shuffled), and arrays of equal rank merge, so that a suffix moves a logarithmic number of times.
 
 The matches are then settled exactly. The strings that an anchor stands for are grouped into cells of
 16 neighbours; a cell whose bytes occur twice as a whole is settled, and only cells that share their
@@ -16,19 +20,23 @@ and more: no passage, however common, is ever gathered in one task or turned int
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import discard, slices, written
+from kbspark.llm.common import discard, in_arrow, salted_join, shared_dir, slices, written
 from kbspark.llm.hashing import Prefixes, mix
 
 GRAM, CELL = 32, 16
-BATCHES = 3
+#: Bytes by which suffixes are ordered and matched.
+DEPTH = 48
+#: Documents arrive in batches of about this many bytes of text, in four batches at least.
+BATCH_BYTES, LEAST_BATCHES = 64 << 30, 4
 #: Bytes of text whose anchors are looked for at once; a longer text is taken in stretches.
 STRETCH_BYTES = 1 << 20
 
@@ -36,9 +44,9 @@ STRETCH_BYTES = 1 << 20
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, prefixes: Prefixes):
     """For the texts data[start:end]: anchors, and the first and last start of the strings that each stands for."""
     grams = len(data) - GRAM + 1
-    span = length - GRAM + 1
+    span = length // 2 - GRAM + 1
     long = ends - starts >= length
-    if grams < span or not long.any():
+    if not long.any():
         return (np.zeros(0, np.int64),) * 3
     at = np.arange(grams, dtype=np.uint64)
     ranked = mix(prefixes.of(at.astype(np.int64), GRAM), 51) & np.uint64(0xFFFFFFFF00000000) | at
@@ -59,9 +67,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
     return owner[first], inside[first], inside[np.r_[change, len(inside)] - 1]
 
 
-def _emit_keys(length: int, schema: T.StructType):
-    half = (length - GRAM) // 2 // CELL * CELL  # so that no cell is cut in two
-
+def _emit_suffixes(length: int, schema: T.StructType):
     def stretches(batches):
         """(batch, row of each stretch, its place in the text, its bytes): strings begin in one stretch each."""
         for batch in slices(batches, 2, STRETCH_BYTES):
@@ -77,18 +83,15 @@ def _emit_keys(length: int, schema: T.StructType):
             data = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum([len(t) for t in texts])
             starts = ends - [len(t) for t in texts]
-            prefixes = Prefixes(data)
-            at, first, last = anchors(data, starts, ends, length, prefixes)
-            own = np.searchsorted(ends, at, "right")
-            # a string that begins `half` or more before its anchor holds the left key, others the right one
-            left = at - first >= half
-            right = at - last < half
-            key = np.r_[mix(prefixes.of(at[left] - half, half + GRAM), 52), mix(prefixes.of(at[right], length - half + 1), 53)]
-            own = np.r_[own[left], own[right]]
-            first, last = np.r_[first[left], np.maximum(first[right], at[right] - half + 1)], np.r_[np.minimum(last[left], at[left] - half), last[right]]
-            at, base, row = np.r_[at[left], at[right]], starts[own] - places[own], pa.array(rows[own])
+            at, first, last = anchors(data, starts, ends, length, Prefixes(data))
+            if not len(at):
+                continue
+            own = np.searchsorted(ends, first, "right")
+            suffix = np.lib.stride_tricks.sliding_window_view(data, DEPTH)[at]
+            bytes_ = pa.Array.from_buffers(pa.binary(DEPTH), len(at), [None, pa.py_buffer(np.ascontiguousarray(suffix))]).cast(pa.binary())
+            base, row = starts[own] - places[own], pa.array(rows[own])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), *[pa.array((x - base).astype(np.int32)) for x in (at, first, last)]],
+                [bytes_, batch.column(0).take(row), batch.column(1).take(row), *[pa.array((x - base).astype(np.int32)) for x in (at, first, last)]],
                 names=schema.names,
             )
 
@@ -96,41 +99,57 @@ def _emit_keys(length: int, schema: T.StructType):
 
 
 class SuffixLevels:
-    """The index family: levels of (key, lo, hi), the least and largest place of a key; sizes double from rank to rank."""
+    """The family of arrays: tables (suffix, lo, hi, n) of the least and largest place and the number of rows of each suffix; sizes double from rank to rank."""
 
-    def __init__(self) -> None:
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[int, DataFrame]] = []
         self.matches: list[DataFrame] = []
 
-    def add(self, places: DataFrame) -> None:
-        """places: (key, place) of one batch. Scans it against all levels, then merges equal ranks."""
-        rank, new = 0, written(self._level(places.select("key", F.col("place").alias("lo"), F.col("place").alias("hi"))))
-        found = new.filter("lo != hi").select("key")
-        for _, level in self.levels:
-            old = level.select("key", F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
-            found = found.union(new.join(old, "key").filter("least(lo, lo0) != greatest(hi, hi0)").select("key"))
-        self.matches.append(written(found))
-        while self.levels and self.levels[-1][0] == rank:
+    def add(self, suffixes: DataFrame) -> None:
+        """suffixes: (suffix, place) of one batch. Makes its array, scans it against all others and merges equal ranks."""
+        new = suffixes.groupBy("suffix").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count("*").alias("n"))
+        rank, new = 0, self._array(new)
+        while self.levels and self.levels[-1][0] == rank:  # one scan finds what both hold and merges them
             _, old = self.levels.pop()
-            merged = written(self._level(old.union(new)))
-            discard(old, new)
+            merged = self._array(self._merged(old, new))
+            self._drop(old, new)
             rank, new = rank + 1, merged
+        for _, level in self.levels:
+            both = new.join(level.select("suffix", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("n").alias("n2")), "suffix")
+            self.matches.append(written(both.filter("least(lo, lo2) != greatest(hi, hi2)").select("suffix", (F.col("n") + F.col("n2")).alias("n"))))
         self.levels.append((rank, new))
 
     @staticmethod
-    def _level(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).sortWithinPartitions("key")
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select("suffix", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("n").alias("n2"))
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))
+        return a.join(b, "suffix", "full_outer").select("suffix", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"), n.alias("n"))
+
+    def _array(self, rows: DataFrame) -> DataFrame:
+        name, path = f"suffixes_{uuid.uuid4().hex}", shared_dir(self.spark)
+        rows.write.format("parquet").bucketBy(self.buckets, "suffix").sortBy("suffix").option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out.kbspark_folder, out.kbspark_table = path, name
+        return out
+
+    def _drop(self, *levels: DataFrame) -> None:
+        for level in levels:
+            self.spark.sql(f"DROP TABLE {level.kbspark_table}")
+        discard(*levels)
 
     def matched(self) -> DataFrame:
-        """The keys found in two places, in any scan."""
-        out = self.matches[0]
-        for m in self.matches[1:]:
-            out = out.union(m)
-        return out.distinct()
+        """(suffix, n): the suffixes found in two places, in any array or scan, and about how often."""
+        out = None
+        for found in [*(level.filter("lo != hi").select("suffix", "n") for _, level in self.levels), *self.matches]:
+            out = found if out is None else out.union(found)
+        return out.groupBy("suffix").agg(F.sum("n").alias("n"))
 
     def discard(self) -> None:
-        """Deletes the levels and the scans' results."""
-        discard(*self.matches, *(level for _, level in self.levels))
+        """Deletes the arrays and the scans' results."""
+        discard(*self.matches)
+        self._drop(*(level for _, level in self.levels))
 
 
 def _lists(column: pa.Array, *fields: str):
@@ -191,51 +210,62 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", kept_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text", kept_bytes: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and `kept`, the bytes left).
 
     Removes each byte covered by a string of `length` bytes (100 at least) that also starts anywhere
     else, in the same text or another; all is judged on the input. Nothing crosses documents. A null
     text counts as empty. A text that is there twice or more is removed whole, if it is long enough.
     Ids may be null or repeated: rows are told apart by their texts, and equal texts have equal
-    results. Other columns play no part. An empty table gives an empty one.
+    results. Other columns play no part. An empty table gives an empty one. batches: others than by
+    BATCH_BYTES; the result is the same.
     """
     if length < 100:
         raise ValueError("length must be 100 bytes at least")
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("sha", F.sha2("text", 256))
     texts = texts.withColumn("t", F.substring(F.unhex("sha"), 1, 16))
     base = written(texts.select("doc_id", "t", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("t", T.BinaryType()), docs.select(F.col(id_col).alias("doc_id")).schema[0], *[T.StructField(c, T.IntegerType()) for c in ("at", "first", "last")]])
-    suffixes = written(texts.select("t", "doc_id", "text").filter(F.octet_length("text") >= length).mapInArrow(_emit_keys(length, schema), schema))
-
-    family = SuffixLevels()
-    places = suffixes.select("key", F.xxhash64("t", "at").alias("place"), F.pmod(F.xxhash64("t"), F.lit(batches)).alias("batch"))
+    if batches is None:
+        batches = max(LEAST_BATCHES, -(-(base.agg(F.sum("n_bytes")).first()[0] or 0) // BATCH_BYTES))
+    doc_id = docs.select(F.col(id_col).alias("doc_id")).schema[0]
+    schema = T.StructType([T.StructField("suffix", T.BinaryType()), T.StructField("t", T.BinaryType()), doc_id, *[T.StructField(c, T.IntegerType()) for c in ("at", "first", "last")]])
+    found = in_arrow(texts.filter(F.octet_length("text") >= length).select("t", "doc_id", "text"), _emit_suffixes(length, schema), schema)
+    # what one task reads arrives together
+    suffixes = written(found.withColumn("batch", F.pmod(F.spark_partition_id(), F.lit(batches))), "batch")
+
+    family = SuffixLevels(spark)
     for b in range(batches):
-        family.add(places.filter(F.col("batch") == b))
-    around = suffixes.join(family.matched(), "key").groupBy("t").agg(F.min("doc_id").alias("__first"), F.collect_set(F.struct("at", "first", "last")).alias("around"))
+        family.add(suffixes.filter(F.col("batch") == b).select("suffix", F.xxhash64("t", "at").alias("place")))
+    # suffixes meet again by digest: two that share one only add something to compare
+    matched = family.matched().groupBy(F.xxhash64("suffix").alias("key")).agg(F.sum("n").alias("n"))
+    matched = written(matched)
+    family.discard()
+    hits = salted_join(suffixes.select(F.xxhash64("suffix").alias("key"), "t", "doc_id", "at", "first", "last"), matched, "key", F.xxhash64("t", "at"))
+    around = hits.groupBy("t").agg(F.min("doc_id").alias("__first"), F.collect_set(F.struct("at", "first", "last")).alias("around"))
     # one of the rows that hold the text, or those that share its id
     one = texts.select("t", F.col("doc_id"), "text").join(around.withColumnRenamed("t", "__t"), (F.col("t") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__first")))
     held = written(one.select("t", "text", "around").dropDuplicates(["t"]))
-    family.discard()
-    discard(suffixes)
-
-    # one anchor may come with both of its keys, each with the strings on its side
-    cells = written(held.select("t", "text", "around").mapInArrow(_emit_cells(length), "t binary, core bigint, whole bigint, begin int, end int"))
-    wholes = cells.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("t").alias("one"))
-    cores = wholes.groupBy("core").agg(F.count("*").alias("kinds"))
-    known = wholes.join(cores, "core").filter("n > 1 or kinds > 1").withColumnRenamed("core", "__core")
-    judged = written(cells.join(known, "whole").filter("core = __core").select("t", "begin", "end", (F.col("n") > 1).alias("settled"), F.expr("kinds > 1 and (n = 1 or t = one)").alias("open")))
-    discard(cells)
+    discard(suffixes, matched)
+
+    cells = written(in_arrow(held.select("t", "text", "around"), _emit_cells(length), "t binary, core bigint, whole bigint, begin int, end int"))
+    wholes = written(cells.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("t").alias("one")))
+    cores = written(wholes.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter("n > 1"))
+    known = salted_join(wholes.withColumnRenamed("n", "times"), cores.select("core", F.col("kinds").alias("n")), "core", F.col("whole"))
+    known = written(known.select(F.col("core").alias("__core"), "whole", "one", F.col("times").alias("n"), F.col("n").alias("kinds")))
+    judged = salted_join(cells, known, "whole", F.xxhash64("t", "begin")).filter("core = __core")
+    judged = written(judged.select("t", "begin", "end", (F.col("n") > 1).alias("settled"), F.expr("kinds > 1 and (n = 1 or t = one)").alias("open")))
+    discard(cells, wholes, cores, known)
     opened = judged.filter("open").groupBy("t").agg(F.collect_list(F.struct("begin", "end")).alias("cells"))
-    strings = written(held.join(opened, "t").select("t", "text", "cells").mapInArrow(_emit_strings(length), "t binary, string bigint, s int"))
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-    singles = strings.join(twice, "string").select("t", F.col("s").alias("begin"), F.col("s").alias("end"))
+    strings = written(in_arrow(held.join(opened, "t").select("t", "text", "cells"), _emit_strings(length), "t binary, string bigint, s int"))
+    twice = written(strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1"))
+    singles = salted_join(strings, twice, "string", F.xxhash64("t", "s")).select("t", F.col("s").alias("begin"), F.col("s").alias("end"))
     spans = judged.filter("settled").select("t", "begin", "end").union(singles).groupBy("t").agg(F.collect_set(F.struct("begin", "end")).alias("cuts"))
-    cut = held.join(spans, "t").select("t", "text", "cuts").mapInArrow(_remove(length), "t binary, removed bigint, spans bigint, sha string, kept binary")
+    cut = in_arrow(held.join(spans, "t").select("t", "text", "cuts"), _remove(length), "t binary, removed bigint, spans bigint, sha string, kept binary")
     cut = cut.select("t", "removed", "spans", F.col("sha").alias("cut_sha"), "kept") if kept_bytes else cut.select("t", "removed", "spans", F.col("sha").alias("cut_sha"))
     cut = written(cut)
-    discard(held, judged, strings)
+    discard(held, judged, strings, twice)
 
     copies = base.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1")
     found = base.join(copies, "t", "left").join(cut, "t", "left")
