@@ -1,10 +1,14 @@
 """BPE encoding and decoding by tree concatenation.
 
 A text longer than a leaf is cut into halves, again and again, wherever the middle falls. The leaves
-are encoded on their own, and on the way up a window around each join is encoded anew and grown until
-it agrees with what stands on both sides of it. A leaf is encoded blank by blank: a blank is never
-part of a token, so equal words need to be encoded only once. A run without blanks that is longer
-than `run_chars` is itself encoded as a tree, with windows that agree token by token.
+are encoded on their own, all those of a batch of texts together. On the way up, the text around each
+join is encoded anew by the library, in a window that grows until its outermost words have exactly the
+tokens that stand on both sides; the window's tokens then replace those that the cut had spoiled. A run
+without blanks that is longer than `run_chars` is itself encoded as a tree, with windows that agree
+token by token.
+
+A blank is never part of a token (which is checked), so a leaf is encoded word by word: words that come
+again are taken from the last batches, new ones are handed to the library many at a time.
 
 Why agreement suffices: a sequence of tokens is the BPE encoding of a run if every two neighbours are
 the encoding of their own characters. A token that both sides hold at the same place brings the
@@ -14,6 +18,7 @@ neighbours on its left from one encoding and those on its right from the other.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +26,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import slices
+from kbspark.llm.common import in_arrow, slices
 
 #: Code points of a leaf of a text, and of a leaf of a run without blanks.
 LEAF_CHARS, RUN_CHARS = 2048, 256
-#: Words whose encodings a Python worker keeps at most.
-KEPT_WORDS = 300_000
+#: Words whose encodings a Python worker keeps at most, and words that are handed to the library as one text.
+KEPT_WORDS, LIBRARY_WORDS = 300_000, 100
 _encoders: dict[str, TreeEncoder] = {}
 
 
+@dataclass
+class Node:
+    """A part of a text: its words (the first and last may be cut), and of each the ids in decimal and the decoded text."""
+
+    words: list[str]
+    ids: list[str]
+    decoded: list[str]
+
+    def spliced(self, n: int, window: Node, m: int, right: Node) -> Node:
+        """Without its last n words, the window, and the other part without its first m."""
+        return Node(*(a[: len(a) - n] + w + b[m:] for a, w, b in ((self.words, window.words, right.words), (self.ids, window.ids, right.ids), (self.decoded, window.decoded, right.decoded))))
+
+
 class TreeEncoder:
     """Encodes and decodes with the tokenizer in a file of the tokenizers library."""
 
@@ -40,6 +58,9 @@ class TreeEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.leaf_chars, self.run_chars = max(2, leaf_chars), max(2, run_chars)
+        self.token = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        #: joins of texts made so far, and those of them that no side had right
+        self.joins = self.mended = 0
         # of each word: its ids in decimal, joined by one space, and its decoded text
         self.ids_of: dict[str, str] = {}
         self.decoded_of: dict[str, str] = {}
@@ -50,21 +71,6 @@ class TreeEncoder:
     def _words(text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def split(self, text: str) -> list[str]:
-        """The words of a text (some are empty), found in its halves and mended around the joins."""
-        if len(text) <= self.leaf_chars:
-            return self._words(text)
-        spans = self._leaves(0, len(text), self.leaf_chars)
-        parts = [self._words(text[a:b]) for a, b in spans]
-        while len(parts) > 1:
-            joined = [self._join_words(parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)]
-            ends = [(spans[i][0], spans[i + 1][1]) for i in range(0, len(parts) - 1, 2)]
-            if len(parts) % 2:
-                joined.append(parts[-1])
-                ends.append(spans[-1])
-            parts, spans = joined, ends
-        return parts[0]
-
     @staticmethod
     def _leaves(a: int, b: int, most: int) -> list[tuple[int, int]]:
         spans = [(a, b)]
@@ -72,15 +78,54 @@ class TreeEncoder:
             spans = [s for x, y in spans for s in ((x, (x + y) // 2), ((x + y) // 2, y)) if s[0] < s[1]]
         return spans
 
-    def _join_words(self, left: list[str], right: list[str]) -> list[str]:
-        """Encodes the words around the join anew, more of them until the outermost are as they were."""
-        n = 2
-        while True:
-            a, b = left[-n:], right[:n]
-            window = self._words(" ".join(a) + " ".join(b))
-            if (len(left) <= n or window[0] == a[0]) and (len(right) <= n or window[-1] == b[-1]):
-                return left[:-n] + window + right[n:]
-            n *= 2
+    def _node(self, words: list[str]) -> Node:
+        return Node(words, [self.ids_of[w] for w in words], [self.decoded_of[w] for w in words])
+
+    def _library(self, lists: list[list[str]]) -> list[list[list[int]]]:
+        """Of each list of words, joined by blanks and encoded as one text, the ids of each word."""
+        out = []
+        for words, e in zip(lists, self.tokenizer.encode_batch([" ".join(w) for w in lists], add_special_tokens=False)):
+            found, j, end = [[] for _ in words], 0, len(words[0])
+            for i, (at, _) in zip(e.ids, e.offsets):
+                while at > end:
+                    j += 1
+                    end += 1 + len(words[j])
+                found[j].append(i)
+            out.append(found)
+        return out
+
+    def _windows(self, lists: list[list[str]]) -> list[Node]:
+        """Windows of words, encoded anew. Runs that are too long for the library are trees of their own."""
+        short = [i for i, words in enumerate(lists) if max(map(len, words)) <= self.run_chars]
+        out: list[Node | None] = [None] * len(lists)
+        for i, found in zip(short, self._library([lists[i] for i in short])):
+            out[i] = Node(lists[i], *map(list, zip(*map(self._shown, found))))
+        for i, words in enumerate(lists):
+            if out[i] is None:
+                self.encode_words(set(words))
+                out[i] = self._node(words)
+        return out
+
+    def _join(self, pairs: list[tuple[Node, Node]]) -> list[Node]:
+        """Joins neighbouring parts of texts: of each pair the words around the join are encoded anew, more and more of them until both sides agree."""
+        out: list[Node | None] = [None] * len(pairs)
+        todo, n = list(range(len(pairs))), 2
+        while todo:
+            windows = self._windows([self._words(" ".join(pairs[i][0].words[-n:]) + " ".join(pairs[i][1].words[:n])) for i in todo])
+            open_ = []
+            for i, w in zip(todo, windows):
+                a, b = pairs[i]
+                k, m = min(n, len(a.words)), min(n, len(b.words))
+                # a window that reaches the other end of a side needs no agreement there
+                fits = (k == len(a.words) or (w.words[0], w.ids[0]) == (a.words[-k], a.ids[-k])) and (m == len(b.words) or (w.words[-1], w.ids[-1]) == (b.words[m - 1], b.ids[m - 1]))
+                if fits:
+                    self.joins += 1
+                    self.mended += " ".join(w.ids) != " ".join(a.ids[-k:] + b.ids[:m])
+                    out[i] = a.spliced(k, w, m, b)
+                else:
+                    open_.append(i)
+            todo, n = open_, 2 * n
+        return out
 
     # -- a run without blanks: a sequence of tokens
 
@@ -127,23 +172,31 @@ class TreeEncoder:
             self.decoded_of.clear()
         new = [w for w in words if w not in self.ids_of]
         short = [w for w in new if len(w) <= self.run_chars]
-        for w, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False)):
-            self._keep(w, e.ids)
+        lists = [short[i : i + LIBRARY_WORDS] for i in range(0, len(short), LIBRARY_WORDS)]
+        for words_, found in zip(lists, self._library(lists)):
+            for w, ids in zip(words_, found):
+                self._keep(w, ids)
         for w in new:
             if len(w) > self.run_chars:
                 self._keep(w, self.run_ids(w))
 
-    def _keep(self, word: str, ids: list[int]) -> None:
+    def _shown(self, ids: list[int]) -> tuple[str, str]:
         # this kind of tokenizer has no decoder: decode() joins the tokens by one space
-        self.ids_of[word] = " ".join(map(str, ids))
-        self.decoded_of[word] = self.tokenizer.decode(ids, skip_special_tokens=False)
+        return " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
+
+    def _keep(self, word: str, ids: list[int]) -> None:
+        self.ids_of[word], self.decoded_of[word] = self._shown(ids)
 
     def texts(self, texts: list[str]) -> list[tuple[str, str]]:
         """Of each text the ids in decimal joined by one space, and the decoded text."""
-        split = [self.split(t) for t in texts]
-        self.encode_words(set().union(*split))
-        one, two = self.ids_of.__getitem__, self.decoded_of.__getitem__
-        return [(" ".join(filter(None, map(one, words))), " ".join(filter(None, map(two, words)))) for words in split]
+        leaves = [[self._words(t[a:b]) for a, b in self._leaves(0, len(t), self.leaf_chars)] for t in texts]
+        self.encode_words(set().union(*(w for text in leaves for w in text)))
+        parts = [[self._node(w) for w in text] for text in leaves]
+        while any(len(p) > 1 for p in parts):  # one level of all trees at a time
+            pairs = [(p[i], p[i + 1]) for p in parts for i in range(0, len(p) - 1, 2)]
+            joined = iter(self._join(pairs))
+            parts = [[next(joined) for _ in range(0, len(p) - 1, 2)] + p[len(p) - len(p) % 2 :] for p in parts]
+        return [(" ".join(filter(None, p[0].ids)), " ".join(filter(None, p[0].decoded))) for p in parts]
 
 
 def _encoder(path: str) -> TreeEncoder:
@@ -186,4 +239,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 columns.append(pa.array([r[1] for r in rows], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*[F.col(c) for c in kept], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(*[F.col(c) for c in kept], F.col(text_col).alias("__text")), run, schema)
