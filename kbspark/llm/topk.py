@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import written
+from kbspark.llm.common import discard, written
 
 #: Vectors in a shard and in a leaf, queries in a block, shards that one task searches in turn.
-SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, RUN_SHARDS = 2048, 128, 256, 8
+SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, RUN_SHARDS = 2048, 128, 1024, 4
 #: Sums of products of smaller numbers than this are exact in doubles.
 EXACT = 2.0**52
 
@@ -114,10 +114,11 @@ def _search(k: int):
                         setattr(tree, part, np.array([[int(x) for x in row] for row in getattr(tree, part)], object))
                 bounds = tree.bounds(vectors)
                 heaps = [tree.search(vectors[i], own, bounds[i], heaps[i], k) for i, own in enumerate(queries["id"])]
-            for own, had, heap in zip(queries["id"], queries["ids"], heaps):
+            for q, had, heap in zip(queries["q"], queries["ids"], heaps):
+                # all rows of an id lie in one shard
                 new = [(max(-(1 << 63), min((1 << 63) - 1, int(s))), -int(i)) for s, i in heap if -i not in set(had)]
-                out.append((own, [s for s, _ in new], [i for _, i in new]))
-        return pd.DataFrame(out, columns=["id", "scores", "ids"])
+                out.append((q, [s for s, _ in new], [i for _, i in new]))
+        return pd.DataFrame(out, columns=["q", "scores", "ids"])
 
     return run
 
@@ -133,24 +134,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     Both tables hold an id and an array of whole numbers. A query never finds rows with its own id;
     equal scores go to the smaller id. Only vectors of a query's length are compared with it. Rows
-    with a null id, a null or empty vector or a component that is null or not finite take no part. Of
-    rows that repeat an id only one stays, that with the least vector. Scores beyond a long are cut to its
-    range. Other columns play no part; an empty table gives an empty one.
+    with a null id, a null or empty vector or a component that is null or not finite take no part. Rows
+    that repeat an id are candidates each; among the queries those that agree in id and vector are one
+    query, and others that share an id are answered each. Scores beyond a long are cut to its range.
+    Other columns play no part; an empty table gives an empty one.
     """
     fine = F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
     def usable(df: DataFrame) -> DataFrame:
-        rows = df.filter(F.coalesce(fine, F.lit(False))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("vector"))
-        return written(rows.withColumn("dim", F.size("vector")))
+        rows = df.filter(F.coalesce(fine, F.lit(False)))
+        return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.size(vector_col).alias("dim"))
 
-    rows, asked = usable(vectors), usable(queries)
+    rows, asked = usable(vectors), usable(queries).withColumn("q", F.xxhash64("id", "vector")).dropDuplicates(["id", "q"])
     shards, blocks = max(1, -(-rows.count() // SHARD_ROWS)), max(1, -(-asked.count() // BLOCK_ROWS))
     runs = -(-shards // RUN_SHARDS)
     spread = F.xxhash64(F.lit(71), "id")
     trees = written(rows.withColumn("shard", F.pmod(spread, F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, tree binary"))
     asked = written(asked.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int")))
 
-    found = "id long, scores array<bigint>, ids array<bigint>"
+    found = "q long, scores array<bigint>, ids array<bigint>"
     nothing = F.array().cast("array<bigint>")
     first = asked.withColumn("scores", nothing).withColumn("ids", nothing)
     dealt = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -158,14 +160,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     home = F.pmod(F.xxhash64(F.lit(72), "block"), F.lit(shards)).cast("int")
     begun = first.withColumn("shard", home).groupBy("dim", "block", "shard").cogroup(
         dealt.filter(F.col("shard") == home).groupBy("dim", "block", "shard")
-    ).applyInPandas(_search(k), found).withColumnsRenamed({"id": "__id"})
+    ).applyInPandas(_search(k), found)
     begun = written(begun)
-    told = asked.join(begun, F.col("id") == F.col("__id"), "left")
-    told = told.select("id", "vector", "dim", "block", F.coalesce("scores", nothing).alias("scores"), F.coalesce("ids", nothing).alias("ids"))
+    told = asked.join(begun, "q", "left")
+    told = told.select("q", "id", "vector", "dim", "block", F.coalesce("scores", nothing).alias("scores"), F.coalesce("ids", nothing).alias("ids"))
     told = told.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     rest = dealt.filter(F.col("shard") != home).withColumn("run", (F.col("shard") / RUN_SHARDS).cast("int"))
     ended = told.groupBy("dim", "block", "run").cogroup(rest.groupBy("dim", "block", "run")).applyInPandas(_search(k), found)
-    hits = ended.unionByName(begun.withColumnRenamed("__id", "id"))
-    hits = hits.select(F.col("id").alias("query_id"), F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = ended.unionByName(begun).join(asked.select("q", F.col("id").alias("query_id")), "q")
+    hits = hits.select("q", "query_id", F.inline(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    out = written(hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    discard(trees, asked, begun)
+    return out
