@@ -230,16 +230,22 @@ def test_repeats_of_nothing(empty):
 
 
 def test_index_levels_merge_geometrically(spark):
-    family = suffixes.SuffixLevels()
+    family = suffixes.SuffixLevels(spark)
     for b in range(5):
-        family.add(spark.createDataFrame([(k, b * 10 + k) for k in (b, b + 1)], "key long, place long"))
+        family.add(spark.createDataFrame([(bytes([k]) * 3, b * 10 + k) for k in (b, b + 1)], "suffix binary, place long"))
         assert [r for r, _ in family.levels] == {1: [0], 2: [1], 3: [1, 0], 4: [2], 5: [2, 0]}[b + 1]
-    assert {r.key for r in family.matched().collect()} == {1, 2, 3, 4}
+    assert {r.suffix[0] for r in family.matched().collect()} == {1, 2, 3, 4}
+    array = family.levels[0][1]
+    plan = array.join(family.levels[1][1], "suffix", "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for part in array.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.collect_list("suffix").alias("s")).collect():
+        assert part.s == sorted(part.s)
+    family.discard()
 
 
 def test_fingerprints(docs, rows):
     got = fingerprints.fingerprint_digest(docs).collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()), reverse=True)
     edited = Counter()
     for i, r in enumerate(order):
         t, following = r[1] or "", order[(i + 1) % len(order)][1] or ""
@@ -257,6 +263,20 @@ def test_fingerprints(docs, rows):
         assert by_id[i] == {",".join(kept)}
 
 
+@pytest.mark.parametrize("kind", ["far", "string", "repeated"])
+def test_fingerprints_by_uneven_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 5)
+    rng = random.Random(7)
+    ids = {"far": [*range(60), (1 << 62) + 5, -9], "string": [f"doc-{rng.choice('abé')}{i // 3}" for i in range(60)], "repeated": [None] * 20 + [4] * 30 + list(range(10))}[kind]
+    data = [(i, prose(rng, 4)) for i in ids]
+    df = spark.createDataFrame(data, f"doc_id {'string' if kind == 'string' else 'long'}, text string").repartition(3)
+    bucketed = fingerprints._bucketed(df.select(F.col("doc_id").alias("__id"), F.md5(F.col("text").cast("binary")).alias("__digest")))
+    assert bucketed.groupBy("__bucket").count().agg(F.max("count")).first()[0] < 0.6 * len(data)
+    order = sorted(data, key=lambda r: (r[0] is not None, (r[0].encode() if isinstance(r[0], str) else r[0]) or 0, hashlib.md5(r[1].encode()).hexdigest()), reverse=True)
+    expected = Counter((i, sha(t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2])) for k, (i, t) in enumerate(order))
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprints.fingerprint_digest(df).collect()) == expected
+
+
 def test_fingerprints_of_few(spark, empty):
     assert fingerprints.fingerprint_digest(empty).count() == 0
     one = fingerprints.fingerprint_digest(spark.createDataFrame([(7, "one two three four")], "doc_id long, text string")).first()
@@ -325,6 +345,28 @@ def test_tree_encoding_equals_the_library(leaf, run):
         assert decoded == plain.decode(expected, skip_special_tokens=False)
 
 
+def test_joins_of_real_texts_disagree_and_are_mended(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    encoder = TreeEncoder(queries.tokenizer_path())
+    got = encoder.texts(texts)
+    assert encoder.joins > 50 and encoder.mended > encoder.joins // 2
+    for text, (ids, decoded) in zip(texts, got):
+        expected = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, expected)) and decoded == encoder.tokenizer.decode(expected, skip_special_tokens=False)
+        halves = [encoder.tokenizer.encode(h, add_special_tokens=False).ids for h in (text[: len(text) // 2], text[len(text) // 2 :])]
+        encoder.apart = getattr(encoder, "apart", 0) + (len(text) > 2048 and halves[0] + halves[1] != expected)
+    assert encoder.apart > 20  # putting the halves' tokens together would be wrong
+
+
+def test_windows_grow_until_both_sides_agree():
+    encoder = TreeEncoder(queries.tokenizer_path(), 64, 1 << 20)
+    sizes, library = [], encoder._library
+    encoder._library = lambda lists: (sizes.append([len(x) for x in lists]), library(lists))[1]
+    text = "ab" * 40 + " " + "xyz'" * 50 + "  the end of it"
+    assert encoder.texts([text])[0][0] == " ".join(map(str, encoder.tokenizer.encode(text, add_special_tokens=False).ids))
+    assert len(sizes) > 3
+
+
 def test_encoding_of_documents(docs, rows, empty):
     path = queries.tokenizer_path()
     got = encode_documents(docs, path).collect()
@@ -339,15 +381,11 @@ def test_encoding_of_documents(docs, rows, empty):
 
 
 def brute_topk(vectors, queries_, k):
-    rows = {}
-    for i, v in vectors:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            rows[i] = min(rows.get(i, v), v)
-    out = set()
-    for q in queries_:
-        if q in rows:
-            scored = sorted((-sum(int(a) * int(b) for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q and len(v) == len(rows[q]))
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
+    rows = [(i, v) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = Counter()
+    for q, w in {(i, tuple(v)) for i, v in rows if i in queries_}:
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(w, v)), i) for i, v in rows if i != q and len(v) == len(w))
+        out.update((q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k]))
     return out
 
 
@@ -359,7 +397,9 @@ def test_top_k(spark, monkeypatch, scale):
     data = [(i, [float(x) for x in np.floor(256 * scale * rng.normal(size=6))]) for i in range(400)]
     data += [(400 + i, data[7][1]) for i in range(60)] + [(500, None), (501, [1.0, None] * 3), (502, [float("nan")] * 6), (None, [1.0] * 6), (503, [1.0, 2.0]), (505, [3.0, 2.0]), (504, []), data[3], (3, [0.0] * 6)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
-    got = {tuple(r) for r in topk.top_k(df, df.filter("vec_id % 5 = 3 or vec_id = 0"), 5).collect()}
+    data += [(20, data[13][1]), (21, data[13][1]), (21, data[13][1])]  # ids that come again, with other vectors and the same
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).repartition(3)
+    got = Counter(tuple(r) for r in topk.top_k(df, df.filter("vec_id % 5 = 3 or vec_id = 0"), 5).collect())
     assert got == brute_topk(data, {i for i, _ in data if i is not None and (i % 5 == 3 or i == 0)}, 5)
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
@@ -389,6 +429,28 @@ def test_manifest_versions(spark, docs, tmp_path):
     assert set(docs.columns) < set(store.read().columns)
 
 
+@pytest.mark.parametrize("keep_old", [True, False])
+def test_two_compactors_lose_and_repeat_nothing(spark, docs, tmp_path, keep_old):
+    path = f"file://{tmp_path}/race"
+    store, other = shards.ShardStore(spark, path), shards.ShardStore(spark, path)
+    for _ in range(5):
+        store.append(docs.coalesce(1))
+    merge = store._merge
+
+    def late(base, runs, folder):
+        if other is not None and not late.done:
+            late.done = True
+            other.append(docs.coalesce(1))
+            other.compact(keep_old=keep_old)
+        return merge(base, runs, folder)
+
+    late.done, store._merge = False, late
+    version = store.compact(keep_old=keep_old)
+    assert store.read(version).count() == 6 * docs.count() == sum(s.rows for s in store.shards())
+    listed = {s.path.split("/")[0] for v in range(1, version + 1) for s in store.shards(v)}
+    assert {p.name for p in (tmp_path / "race" / "data").iterdir()} <= listed  # nothing is left of the pass that lost
+
+
 def brute_align(a, b):
     """The same alignment from its definition, by plain recursion."""
     place = {w: a.index(w) for w in a if a.count(w) == 1 and b.count(w) == 1}
