@@ -210,7 +210,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     Returns one row for each row of docs: the id, the columns in `keep`, n_tokens, ids_sha256 (of the
     decimal ids joined by one space), decoded_sha256, and if asked for `ids` and `decoded`. A null
-    text counts as empty: no tokens. Ids may be null or repeated; other columns of docs play no part.
+    text counts as empty: no tokens. Ids may be null or repeated; other columns of docs play no part. A
+    kept column that has a result's name comes out with an underscore in front.
     An empty table gives an empty one. Works on each partition alone, without a shuffle; one text is
     held at a time, and 1 MB of texts at most unless one is longer.
 
@@ -218,11 +219,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     is checked: others aren't encoded blank by blank.
     """
     kept = [id_col, *[c for c in keep if c != id_col]]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    if ids:
-        schema.add("ids", T.ArrayType(T.IntegerType()))
-    if decoded:
-        schema.add("decoded", T.StringType())
+    results = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    results += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids + [T.StructField("decoded", T.StringType())] * decoded
+    clash = {f.name for f in results}
+    schema = T.StructType([*[T.StructField(f"_{c}" if c.lower() in clash else c, docs.schema[c].dataType) for c in kept], *results])
 
     def run(batches):
         encoder = _encoder(tokenizer_path)

@@ -67,10 +67,10 @@ def find_words(texts: list[str]) -> Words:
     hashes = mix(order[starts + lengths] - order[starts] - total * starts.astype(np.uint64), 62) + mix(total, 63)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     n = lengths[first]
-    at = np.repeat(starts[first] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    at = np.repeat(starts[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     ends = np.cumsum([len(t) + 1 for t in lowered])
     lines = np.cumsum(points == 10)
-    return Words(points[at], np.r_[0, np.cumsum(n)[:-1]].astype(np.int64), n, hashes[first], which, np.searchsorted(ends, starts, "right"), lines[starts] if len(starts) else starts)
+    return Words(points[at], (np.cumsum(n) - n).astype(np.int64), n, hashes[first], which, np.searchsorted(ends, starts, "right"), lines[starts] if len(starts) else starts)
 
 
 def features(words: Words, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -211,7 +211,7 @@ def _remove(length: int):
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text", kept_bytes: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and `kept`, the bytes left).
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeat (and `kept`, the bytes left).
 
     Removes each byte covered by a string of `length` bytes (100 at least) that also starts anywhere
     else, in the same text or another; all is judged on the input. Nothing crosses documents. A null
@@ -269,13 +269,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int | None = Non
 
     copies = base.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1")
     found = base.join(copies, "t", "left").join(cut, "t", "left")
-    whole = (F.col("n") > 1) & (F.col("n_bytes") >= length)
+    whole = F.coalesce((F.col("n") > 1) & (F.col("n_bytes") >= length), F.lit(False))
     out = found.select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+        (whole | F.col("removed").isNotNull()).alias("has_repeat"),
         *([F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if kept_bytes else []),
     )
     return out
