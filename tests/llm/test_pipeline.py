@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kbspark.llm import queries
@@ -42,6 +43,21 @@ def test_stages(stages):
     assert Counter(r.doc_id for r in encoded.collect()) == copies
 
 
+def test_stages_keep_extra_columns_with_clashing_names(spark, stages):
+    names = "score lang_pred held_out shares __kinds __id __spans row key rest kept component_id copies target taken size __copy __key".split()
+    plain = stages[0]
+    extra = plain.withColumns({c: F.lit(f"x{i}") for i, c in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got, expected = stage(spark, extra, SF), stage(spark, plain, SF)
+        assert got.columns == extra.columns
+        ids = lambda d: Counter((r.doc_id, r.text) for r in d.select("doc_id", "text").collect())
+        if stage is not corpus_pipeline.mix_sources:  # whose row of documents is another one
+            assert ids(got) == ids(expected), stage
+        assert got.filter(" or ".join(f"{c} != 'x{i}'" for i, c in enumerate(names))).count() == 0
+    coded = corpus_pipeline.encode(spark, extra, SF)
+    assert coded.count() == plain.count() and "score" not in coded.columns
+
+
 def test_run_and_registry(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
     names = {n.split("_")[0] for n in queries.QUERIES}
