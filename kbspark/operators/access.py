@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as X
 
 
+#: Users whose public repositories are listed one by one.
+MOST_USERS = 10_000
+
+
 def visible_repos(users: DataFrame, repos: DataFrame, members: DataFrame, include_public: bool = True) -> DataFrame:
     """(user_id, repo_id, via): repositories that each user owns, belongs to, or sees because they are public; each once.
 
     users: (user_id); repos: (repo_id, owner_id, is_public); members: (repo_id, user_id, role).
-    Every user meets every public repository: ask for a few users at a time.
+    Every user meets every public repository, so MOST_USERS of them may be asked for at a time; repo_roles()
+    answers for any number of pairs.
     """
+    if include_public and users.limit(MOST_USERS + 1).count() > MOST_USERS:
+        raise ValueError(f"ask for {MOST_USERS} users at most, or for the pairs of interest by repo_roles()")
     owned = repos.join(users, F.col("owner_id") == F.col("user_id")).select("user_id", "repo_id", F.lit(0).alias("p"))
     shared = members.join(users, "user_id").select("user_id", "repo_id", F.lit(1).alias("p"))
     rows = owned.union(shared)
     if include_public:
-        public = repos.filter("is_public").select("repo_id", F.lit(1).alias("__one"))
-        rows = rows.union(users.withColumn("__one", F.lit(1)).join(public, "__one").select("user_id", "repo_id", F.lit(2).alias("p")))
+        public = repos.filter("is_public").select("repo_id").crossJoin(F.broadcast(users.select("user_id")))
+        rows = rows.union(public.select("user_id", "repo_id", F.lit(2).alias("p")))
     return rows.groupBy("user_id", "repo_id").agg(F.element_at(F.array(F.lit("owner"), F.lit("member"), F.lit("public")), F.min("p") + 1).alias("via"))
 
 
@@ -66,8 +73,8 @@ def preselect(queries: DataFrame, repos: DataFrame, limit: int = 10) -> DataFram
     order = Window.partitionBy("query_id").orderBy(F.desc("points"), "pos")
     top = points.join(repos.select("repo_id", "pos"), "repo_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     # the rest of the places go to the first repositories: limit + limit of them are enough
-    firsts = repos.orderBy("pos").limit(limit * 2).select("repo_id", "pos", F.lit(1).alias("__one"))
-    rest = queries.select("query_id", F.lit(1).alias("__one")).join(firsts, "__one").join(top.select("query_id", "repo_id"), ["query_id", "repo_id"], "left_anti").withColumn("points", F.lit(0.0))
+    firsts = repos.orderBy("pos").limit(limit * 2).select("repo_id", "pos")
+    rest = queries.select("query_id").crossJoin(F.broadcast(firsts)).join(top.select("query_id", "repo_id"), ["query_id", "repo_id"], "left_anti").withColumn("points", F.lit(0.0))
     both = top.select("query_id", "repo_id", "points", "pos").unionByName(rest.select("query_id", "repo_id", "points", "pos"))
     by = ["pos"] if few else [F.desc("points"), "pos"]
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).filter(F.col("rank") <= limit).select("query_id", "repo_id", "points", "rank")

@@ -174,7 +174,7 @@ def multi_query_merge(spark, sf_dir):
 
 # -- facts
 
-SHEET = """cells AS (SELECT 'customers-' || c_nationkey || '.csv' AS source_file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row_index, c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS again FROM customer)"""
+SHEET = """cells AS (SELECT 'customers-' || c_nationkey || '-' || (c_custkey // 5000) || '.csv' AS source_file, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 5000 ORDER BY c_custkey) AS row_index, c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS again FROM customer)"""
 
 
 @query(f"""WITH {SHEET} SELECT source_file, 'csv:' || row_index AS record_id, CAST(row_index AS INTEGER) AS row_index, c_mktsegment AS segment,
@@ -277,17 +277,30 @@ GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id AS page FROM benchmark b
 def gold(spark, sf_dir):
     """(query_id, page): documents that hold a benchmark passage.
 
-    Passages are found by their first words: all runs of so many words of a document are joined
-    with the passages' beginnings, and the passage is looked for where both agree.
+    A passage's first and last word may be part of longer ones in a document; up to four of those
+    between are whole there. So all runs of one to four words of a document, of the widths that
+    passages have, are joined with the passages' inner words, and the passage is looked for where
+    both agree. Passages of one or two words are looked for in every document.
     """
-    width = 4
     words = lambda c: F.split(F.lower(F.trim(c)), r"\s+")
-    asked = t.given(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).withColumn("start", F.array_join(F.slice(words(F.col("passage")), 2, width), " "))
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " ")))
-    starts = F.array_distinct(F.flatten(F.transform(F.array(words(F.col("text"))), grams)))
-    docs = t.given(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
-    near = docs.select("page", F.explode(starts).alias("h")).join(asked.withColumn("h", F.xxhash64("start")), "h").select("page", "query_id", "passage").distinct()
-    return docs.join(near, "page").filter(F.contains("text", F.col("passage"))).select("query_id", "page")
+    docs = t.given(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text").filter("text is not null")
+    asked = t.given(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).filter("passage is not null")
+    width = F.greatest(F.lit(0), F.least(F.lit(4), F.size(words(F.col("passage"))) - 2))
+    asked = asked.withColumn("width", width)
+    widths = sorted(r[0] for r in asked.select("width").distinct().collect())  # 0 to 4
+    found = docs.join(asked.filter("width = 0"), F.contains("text", F.col("passage"))).select("query_id", "page") if 0 in widths else None
+
+    def grams(w):
+        run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+        return F.concat(*[run(n) for n in widths if n])
+
+    if any(widths):
+        starts = F.array_distinct(F.flatten(F.transform(F.array(words(F.col("text"))), grams)))
+        inner = F.xxhash64(F.array_join(F.slice(words(F.col("passage")), F.lit(2), F.col("width")), " "))
+        near = docs.select("page", F.explode(starts).alias("h")).join(asked.filter("width > 0").withColumn("h", inner), "h").select("page", "query_id", "passage").distinct()
+        more = docs.join(near, "page").filter(F.contains("text", F.col("passage"))).select("query_id", "page")
+        found = more if found is None else found.union(more)
+    return docs.select(F.col("page").alias("query_id"), "page").limit(0) if found is None else found
 
 
 EVAL = f"""{TOKENS}, {ASKED}, {bm25_cte(K)}, {GOLD}, ev AS (SELECT g.query_id, count(*) AS expected, count(b.id) AS found, min(b.rank) AS first, (SELECT count(*) FROM bm25 x WHERE x.query_id = g.query_id) AS shown FROM gold g LEFT JOIN bm25 b ON b.query_id = g.query_id AND b.id = g.page GROUP BY g.query_id)"""

@@ -105,12 +105,18 @@ def part_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PART_QUESTIONS = "part_questions AS (SELECT p_partkey AS query_id, 'which ' || p_name || ' has brand ' || p_brand || ' and size ' || p_size AS question FROM part WHERE p_partkey % 100 = 0)"
 
 
+#: Keys of a sheet, so that no sheet grows with the table.
+SHEET_KEYS = 5000
+
+
 def customer_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet of customers for each nation: title row, header, an empty row, then the rows by key."""
+    """Sheets of customers by nation and range of SHEET_KEYS keys: title row, header, an empty row, then the rows by key."""
     row = F.struct("c_custkey", F.array(F.col("c_custkey").cast("string"), "c_name", F.col("c_mktsegment"), F.when(F.col("c_custkey") % 5 == 0, F.lit("")).otherwise(F.col("c_custkey").cast("string"))).alias("r"))
     rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"])
     head = F.array(F.array(F.lit("Customers")), F.array(F.lit("key"), F.lit("name"), F.lit(" "), F.lit("name")), F.array(F.lit(""), F.lit("")))
-    return given(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(head, rows).alias("rows")).select(F.concat(F.lit("customers-"), "c_nationkey", F.lit(".csv")).alias("source_file"), F.lit("CSV").alias("name"), "rows")
+    part = F.floor(F.col("c_custkey") / SHEET_KEYS)
+    sheets = given(spark, sf_dir, "customer").groupBy("c_nationkey", part.alias("part")).agg(F.concat(head, rows).alias("rows"))
+    return sheets.select(F.concat(F.lit("customers-"), "c_nationkey", F.lit("-"), "part", F.lit(".csv")).alias("source_file"), F.lit("CSV").alias("name"), "rows")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,3 +137,14 @@ def test_session_buffers_on_a_stream(spark, tmp_path):
     last = got[-1]
     assert last.title == "user 1" and len(last.texts) == 20 and last.texts[-1] == "user 29" and last.texts[0] == "assistant 10"
     assert sum(n for name, _, n in told if name == "buffers" and n > 0) in (0, 15, 30)  # the listener is told later
+
+
+def test_gold_passages_of_any_length(spark, tmp_path):
+    from kbspark.plans import search
+
+    texts = ["one two three four five six seven eight", "x one two threefour", "Zone two threes here", "on e", "a b c d e f g", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    items = ["one", "one two three", "two three four five", "two three four five six seven eight", "a b c d e", "b c d e f", "on", "missing words are here now", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = {(r.query_id, r.page) for r in search.gold(spark, f"file://{tmp_path}").collect()}
+    assert got == {(i, d) for i, p in enumerate(items) for d, x in enumerate(texts) if p and x and p in x}
