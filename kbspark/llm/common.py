@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -44,6 +45,16 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over.
+
+    It does so when the driver's garbage collector finds that nothing refers to them, which on a driver with
+    memory to spare may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what written() wrote, once nothing that is still to be computed reads it."""
     for df in tables:

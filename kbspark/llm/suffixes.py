@@ -12,7 +12,7 @@ suffixes that agree in DEPTH bytes (both lie in the same buckets and the same or
 shuffled), and arrays of equal rank merge, so that a suffix moves a logarithmic number of times.
 
 The matches are then settled exactly. The strings that an anchor stands for are grouped into cells of
-16 neighbours; a cell whose bytes occur twice as a whole is settled, and only cells that share their
+32 neighbours; a cell whose bytes occur twice as a whole is settled, and only cells that share their
 core but not their whole are compared string by string. All of it is grouping by digests of 64 bits
 and more: no passage, however common, is ever gathered in one task or turned into pairs.
 """
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbspark.llm.common import discard, in_arrow, salted_join, shared_dir, slices, written
+from kbspark.llm.common import discard, free_shuffles, in_arrow, salted_join, shared_dir, slices, written
 from kbspark.llm.hashing import Prefixes, mix
 
-GRAM, CELL = 32, 16
+GRAM, CELL = 32, 32
 #: Bytes by which suffixes are ordered and matched.
-DEPTH = 48
+DEPTH = 32
 #: Documents arrive in batches of about this many bytes of text, in four batches at least.
 BATCH_BYTES, LEAST_BATCHES = 64 << 30, 4
 #: Bytes of text whose anchors are looked for at once; a longer text is taken in stretches.
@@ -91,7 +91,7 @@ def _emit_suffixes(length: int, schema: T.StructType):
             bytes_ = pa.Array.from_buffers(pa.binary(DEPTH), len(at), [None, pa.py_buffer(np.ascontiguousarray(suffix))]).cast(pa.binary())
             base, row = starts[own] - places[own], pa.array(rows[own])
             yield pa.RecordBatch.from_arrays(
-                [bytes_, batch.column(0).take(row), batch.column(1).take(row), *[pa.array((x - base).astype(np.int32)) for x in (at, first, last)]],
+                [bytes_, batch.column(0).take(row), batch.column(1).take(row), pa.array(((at - base) * length + at - first) * length + at - last)],
                 names=schema.names,
             )
 
@@ -138,6 +138,7 @@ class SuffixLevels:
         for level in levels:
             self.spark.sql(f"DROP TABLE {level.kbspark_table}")
         discard(*levels)
+        free_shuffles(self.spark)
 
     def matched(self) -> DataFrame:
         """(suffix, n): the suffixes found in two places, in any array or scan, and about how often."""
@@ -160,15 +161,22 @@ def _lists(column: pa.Array, *fields: str):
         yield tuple(v[a:b] for v in values)
 
 
+def _unpacked(anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An anchor's place, and the first and last start of its strings."""
+    at = anchor // (length * length)
+    return at, at - anchor // length % length, at - anchor % length
+
+
 def _emit_cells(length: int):
     def run(batches):
         for batch in slices(batches, 1):
-            for t, text, (at, first, last) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2), "at", "first", "last")):
+            for t, text, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                at, first, last = _unpacked(np.asarray(packed.values), length)
                 prefixes = Prefixes(np.frombuffer(text, np.uint8))
                 low, high = (at - last) // CELL, (at - first) // CELL
-                n = (high - low + 1).astype(np.int64)
-                anchor, a, b = (np.repeat(x.astype(np.int64), n) for x in (at, first, last))
-                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low.astype(np.int64), n)
+                n = high - low + 1
+                anchor, a, b = (np.repeat(x, n) for x in (at, first, last))
+                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
                 begin, end = np.maximum(a, anchor - block * CELL - CELL + 1), np.minimum(b, anchor - block * CELL)
                 core = mix(prefixes.of(anchor - block * CELL, length - CELL + 1), 54) + mix(block.astype(np.uint64), 55)
                 # the bytes of all strings of the cell, and which of the cell's strings there are
@@ -230,33 +238,37 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int | None = Non
     if batches is None:
         batches = max(LEAST_BATCHES, -(-(base.agg(F.sum("n_bytes")).first()[0] or 0) // BATCH_BYTES))
     doc_id = docs.select(F.col(id_col).alias("doc_id")).schema[0]
-    schema = T.StructType([T.StructField("suffix", T.BinaryType()), T.StructField("t", T.BinaryType()), doc_id, *[T.StructField(c, T.IntegerType()) for c in ("at", "first", "last")]])
+    schema = T.StructType([T.StructField("suffix", T.BinaryType()), T.StructField("t", T.BinaryType()), doc_id, T.StructField("anchor", T.LongType())])
+    # an anchor's place, and how far before it its first and last strings begin, in one number
     found = in_arrow(texts.filter(F.octet_length("text") >= length).select("t", "doc_id", "text"), _emit_suffixes(length, schema), schema)
     # what one task reads arrives together
     suffixes = written(found.withColumn("batch", F.pmod(F.spark_partition_id(), F.lit(batches))), "batch")
 
     family = SuffixLevels(spark)
     for b in range(batches):
-        family.add(suffixes.filter(F.col("batch") == b).select("suffix", F.xxhash64("t", "at").alias("place")))
+        family.add(suffixes.filter(F.col("batch") == b).select("suffix", F.xxhash64("t", "anchor").alias("place")))
     # suffixes meet again by digest: two that share one only add something to compare
     matched = family.matched().groupBy(F.xxhash64("suffix").alias("key")).agg(F.sum("n").alias("n"))
     matched = written(matched)
     family.discard()
-    hits = salted_join(suffixes.select(F.xxhash64("suffix").alias("key"), "t", "doc_id", "at", "first", "last"), matched, "key", F.xxhash64("t", "at"))
-    around = hits.groupBy("t").agg(F.min("doc_id").alias("__first"), F.collect_set(F.struct("at", "first", "last")).alias("around"))
+    hits = salted_join(suffixes.select(F.xxhash64("suffix").alias("key"), "t", "doc_id", "anchor"), matched, "key", F.xxhash64("t", "anchor"))
+    around = hits.groupBy("t").agg(F.min("doc_id").alias("__first"), F.collect_set("anchor").alias("around"))
     # one of the rows that hold the text, or those that share its id
     one = texts.select("t", F.col("doc_id"), "text").join(around.withColumnRenamed("t", "__t"), (F.col("t") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__first")))
     held = written(one.select("t", "text", "around").dropDuplicates(["t"]))
     discard(suffixes, matched)
+    free_shuffles(spark)
 
     cells = written(in_arrow(held.select("t", "text", "around"), _emit_cells(length), "t binary, core bigint, whole bigint, begin int, end int"))
     wholes = written(cells.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("t").alias("one")))
+    free_shuffles(spark)
     cores = written(wholes.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter("n > 1"))
     known = salted_join(wholes.withColumnRenamed("n", "times"), cores.select("core", F.col("kinds").alias("n")), "core", F.col("whole"))
     known = written(known.select(F.col("core").alias("__core"), "whole", "one", F.col("times").alias("n"), F.col("n").alias("kinds")))
     judged = salted_join(cells, known, "whole", F.xxhash64("t", "begin")).filter("core = __core")
     judged = written(judged.select("t", "begin", "end", (F.col("n") > 1).alias("settled"), F.expr("kinds > 1 and (n = 1 or t = one)").alias("open")))
     discard(cells, wholes, cores, known)
+    free_shuffles(spark)
     opened = judged.filter("open").groupBy("t").agg(F.collect_list(F.struct("begin", "end")).alias("cells"))
     strings = written(in_arrow(held.join(opened, "t").select("t", "text", "cells"), _emit_strings(length), "t binary, string bigint, s int"))
     twice = written(strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1"))
