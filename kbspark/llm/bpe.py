@@ -7,8 +7,9 @@ tokens that stand on both sides; the window's tokens then replace those that the
 without blanks that is longer than `run_chars` is itself encoded as a tree, with windows that agree
 token by token.
 
-A blank is never part of a token (which is checked), so a leaf is encoded word by word: words that come
-again are taken from the last batches, new ones are handed to the library many at a time.
+A blank is never part of a token (which is checked), so a leaf is encoded word by word, and a part of a
+text is a list of words whose ids are known: words that come again have those of the last batches, new
+ones are handed to the library many at a time.
 
 Why agreement suffices: a sequence of tokens is the BPE encoding of a run if every two neighbours are
 the encoding of their own characters. A token that both sides hold at the same place brings the
@@ -18,7 +19,6 @@ neighbours on its left from one encoding and those on its right from the other.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +35,6 @@ KEPT_WORDS, LIBRARY_WORDS = 300_000, 100
 _encoders: dict[str, TreeEncoder] = {}
 
 
-@dataclass
-class Node:
-    """A part of a text: its words (the first and last may be cut), and of each the ids in decimal and the decoded text."""
-
-    words: list[str]
-    ids: list[str]
-    decoded: list[str]
-
-    def spliced(self, n: int, window: Node, m: int, right: Node) -> Node:
-        """Without its last n words, the window, and the other part without its first m."""
-        return Node(*(a[: len(a) - n] + w + b[m:] for a, w, b in ((self.words, window.words, right.words), (self.ids, window.ids, right.ids), (self.decoded, window.decoded, right.decoded))))
-
-
 class TreeEncoder:
     """Encodes and decodes with the tokenizer in a file of the tokenizers library."""
 
@@ -58,7 +45,9 @@ class TreeEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.leaf_chars, self.run_chars = max(2, leaf_chars), max(2, run_chars)
+        # this kind of tokenizer has no decoder: decode() joins the tokens by one space
         self.token = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.decimal = [str(i) for i in range(len(self.token))]
         #: joins of texts made so far, and those of them that no side had right
         self.joins = self.mended = 0
         # of each word: its ids in decimal, joined by one space, and its decoded text
@@ -78,9 +67,6 @@ class TreeEncoder:
             spans = [s for x, y in spans for s in ((x, (x + y) // 2), ((x + y) // 2, y)) if s[0] < s[1]]
         return spans
 
-    def _node(self, words: list[str]) -> Node:
-        return Node(words, [self.ids_of[w] for w in words], [self.decoded_of[w] for w in words])
-
     def _library(self, lists: list[list[str]]) -> list[list[list[int]]]:
         """Of each list of words, joined by blanks and encoded as one text, the ids of each word."""
         out = []
@@ -94,34 +80,43 @@ class TreeEncoder:
             out.append(found)
         return out
 
-    def _windows(self, lists: list[list[str]]) -> list[Node]:
-        """Windows of words, encoded anew. Runs that are too long for the library are trees of their own."""
+    def _windows(self, lists: list[list[str]]) -> list[list[str]]:
+        """The ids of the words of windows, encoded anew by the library. Runs that are too long for it are trees of their own."""
         short = [i for i, words in enumerate(lists) if max(map(len, words)) <= self.run_chars]
-        out: list[Node | None] = [None] * len(lists)
+        out: list[list[str]] = [[] for _ in lists]
         for i, found in zip(short, self._library([lists[i] for i in short])):
-            out[i] = Node(lists[i], *map(list, zip(*map(self._shown, found))))
+            out[i] = [" ".join([self.decimal[x] for x in ids]) for ids in found]
+            for word, ids, shown in zip(lists[i], found, out[i]):
+                if self.ids_of.get(word, shown) != shown:
+                    raise ValueError("this tokenizer doesn't encode words by themselves")
+                self._keep(word, ids)
         for i, words in enumerate(lists):
-            if out[i] is None:
+            if not out[i]:
                 self.encode_words(set(words))
-                out[i] = self._node(words)
+                out[i] = [self.ids_of[w] for w in words]
         return out
 
-    def _join(self, pairs: list[tuple[Node, Node]]) -> list[Node]:
-        """Joins neighbouring parts of texts: of each pair the words around the join are encoded anew, more and more of them until both sides agree."""
-        out: list[Node | None] = [None] * len(pairs)
+    def _join(self, pairs: list[tuple[list[str], list[str]]]) -> list[list[str]]:
+        """Joins neighbouring parts of texts, lists of words whose ids are known.
+
+        Of each pair the words around the join are encoded anew, more and more of them until the
+        outermost ones have on both sides exactly the tokens that they had.
+        """
+        out: list[list[str]] = [[] for _ in pairs]
         todo, n = list(range(len(pairs))), 2
         while todo:
-            windows = self._windows([self._words(" ".join(pairs[i][0].words[-n:]) + " ".join(pairs[i][1].words[:n])) for i in todo])
+            windows = [self._words(" ".join(pairs[i][0][-n:]) + " ".join(pairs[i][1][:n])) for i in todo]
             open_ = []
-            for i, w in zip(todo, windows):
+            for i, w, ids in zip(todo, windows, self._windows(windows)):
                 a, b = pairs[i]
-                k, m = min(n, len(a.words)), min(n, len(b.words))
+                k, m = min(n, len(a)), min(n, len(b))
                 # a window that reaches the other end of a side needs no agreement there
-                fits = (k == len(a.words) or (w.words[0], w.ids[0]) == (a.words[-k], a.ids[-k])) and (m == len(b.words) or (w.words[-1], w.ids[-1]) == (b.words[m - 1], b.ids[m - 1]))
-                if fits:
+                left = k == len(a) or w[0] == a[-k] and ids[0] == self.ids_of[a[-k]]
+                right = m == len(b) or w[-1] == b[m - 1] and ids[-1] == self.ids_of[b[m - 1]]
+                if left and right:
                     self.joins += 1
-                    self.mended += " ".join(w.ids) != " ".join(a.ids[-k:] + b.ids[:m])
-                    out[i] = a.spliced(k, w, m, b)
+                    self.mended += [x for x in ids if x] != [x for x in map(self.ids_of.get, a[-k:] + b[:m]) if x]
+                    out[i] = a[: len(a) - k] + w + b[m:]
                 else:
                     open_.append(i)
             todo, n = open_, 2 * n
@@ -180,23 +175,19 @@ class TreeEncoder:
             if len(w) > self.run_chars:
                 self._keep(w, self.run_ids(w))
 
-    def _shown(self, ids: list[int]) -> tuple[str, str]:
-        # this kind of tokenizer has no decoder: decode() joins the tokens by one space
-        return " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
-
     def _keep(self, word: str, ids: list[int]) -> None:
-        self.ids_of[word], self.decoded_of[word] = self._shown(ids)
+        self.ids_of[word] = " ".join([self.decimal[i] for i in ids])
+        self.decoded_of[word] = " ".join([self.token[i] for i in ids])
 
     def texts(self, texts: list[str]) -> list[tuple[str, str]]:
         """Of each text the ids in decimal joined by one space, and the decoded text."""
-        leaves = [[self._words(t[a:b]) for a, b in self._leaves(0, len(t), self.leaf_chars)] for t in texts]
-        self.encode_words(set().union(*(w for text in leaves for w in text)))
-        parts = [[self._node(w) for w in text] for text in leaves]
+        parts = [[self._words(t[a:b]) for a, b in self._leaves(0, len(t), self.leaf_chars)] for t in texts]
+        self.encode_words(set().union(*(w for text in parts for w in text)))
         while any(len(p) > 1 for p in parts):  # one level of all trees at a time
-            pairs = [(p[i], p[i + 1]) for p in parts for i in range(0, len(p) - 1, 2)]
-            joined = iter(self._join(pairs))
+            joined = iter(self._join([(p[i], p[i + 1]) for p in parts for i in range(0, len(p) - 1, 2)]))
             parts = [[next(joined) for _ in range(0, len(p) - 1, 2)] + p[len(p) - len(p) % 2 :] for p in parts]
-        return [(" ".join(filter(None, p[0].ids)), " ".join(filter(None, p[0].decoded))) for p in parts]
+        one, two = self.ids_of.__getitem__, self.decoded_of.__getitem__
+        return [(" ".join(filter(None, map(one, p[0]))), " ".join(filter(None, map(two, p[0])))) for p in parts]
 
 
 def _encoder(path: str) -> TreeEncoder:
