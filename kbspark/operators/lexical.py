@@ -21,8 +21,8 @@ class Postings:
     stats: DataFrame
 
     def write(self, path: str) -> None:
-        """Works the index out once; its rows are sorted by term, so that a search reads few of them."""
-        self.tf.repartitionByRange("repo_id", "term").sortWithinPartitions("repo_id", "term").write.mode("overwrite").parquet(f"{path}/tf")
+        """Works the index out once; the terms' counts are read off what was written."""
+        self.tf.write.mode("overwrite").parquet(f"{path}/tf")
         _terms(self.tf.sparkSession.read.parquet(f"{path}/tf")).write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
