@@ -265,13 +265,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int | None = Non
     cores = written(wholes.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter("n > 1"))
     known = salted_join(wholes.withColumnRenamed("n", "times"), cores.select("core", F.col("kinds").alias("n")), "core", F.col("whole"))
     known = written(known.select(F.col("core").alias("__core"), "whole", "one", F.col("times").alias("n"), F.col("n").alias("kinds")))
+    discard(wholes, cores)
+    free_shuffles(spark)
     judged = salted_join(cells, known, "whole", F.xxhash64("t", "begin")).filter("core = __core")
     judged = written(judged.select("t", "begin", "end", (F.col("n") > 1).alias("settled"), F.expr("kinds > 1 and (n = 1 or t = one)").alias("open")))
-    discard(cells, wholes, cores, known)
+    discard(cells, known)
     free_shuffles(spark)
     opened = judged.filter("open").groupBy("t").agg(F.collect_list(F.struct("begin", "end")).alias("cells"))
     strings = written(in_arrow(held.join(opened, "t").select("t", "text", "cells"), _emit_strings(length), "t binary, string bigint, s int"))
     twice = written(strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1"))
+    free_shuffles(spark)
     singles = salted_join(strings, twice, "string", F.xxhash64("t", "s")).select("t", F.col("s").alias("begin"), F.col("s").alias("end"))
     spans = judged.filter("settled").select("t", "begin", "end").union(singles).groupBy("t").agg(F.collect_set(F.struct("begin", "end")).alias("cuts"))
     cut = in_arrow(held.join(spans, "t").select("t", "text", "cuts"), _remove(length), "t binary, removed bigint, spans bigint, sha string, kept binary")
