@@ -30,29 +30,39 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def source_targets(sizes: DataFrame, share: float, cap: float, weights=WEIGHTS) -> DataFrame:
-    """sizes: (source, source_size), one row each. Adds weight and target.
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """rows with __i, their number in the order (from 1), and for each name in sums the sum of its column over the rows before.
+
+    Rows are dealt into ranges, whose counts and sums (a row for each range) are summed first, so no task
+    orders them all. Also returns a table to discard. The order must be total.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    parts = dealt.groupBy("__range").agg(F.count("*").alias("__i0"), *[F.sum(c).alias(f"{name}0") for name, c in sums.items()])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__i0", *(f"{name}0" for name in sums))])
+    inside = Window.partitionBy("__range").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    columns = {"__i": F.row_number().over(inside) + F.col("__i0")} | {name: F.coalesce(F.sum(c).over(earlier), F.lit(0)) + F.col(f"{name}0") for name, c in sums.items()}
+    return dealt.join(F.broadcast(parts), "__range").withColumns(columns).drop("__range", "__i0", *(f"{name}0" for name in sums)), dealt
+
+
+def source_targets(sizes: DataFrame, share: float, cap: float, weights=WEIGHTS) -> tuple[DataFrame, list[DataFrame]]:
+    """sizes: (source, source_size), one row each. Adds weight and target; also returns tables to discard.
 
     The targets share `share` times all sizes by weight; none is above `cap` times its source's size,
     and what is cut there goes to the others by weight. That is min(level * weight, cap * size) with
     the one level at which the sum comes out; the sources under the level are those with the least
     cap / weight, so sorted prefix sums give it.
     """
-    everything = Window.partitionBy()
-    numbered = sizes.withColumn("__i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    numbered, first = _running(sizes, [F.col("source").asc_nulls_last()], {})
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("__i") - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = numbered.withColumn("weight", weight).withColumn("__cap", F.col("source_size") * F.lit(float(cap)))
-    by_ratio = Window.orderBy(F.col("__cap") / F.col("weight"), "__i")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        rows.withColumn("__total", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("__capped", F.coalesce(F.sum("__cap").over(before), F.lit(0.0)))
-        .withColumn("__rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("__level", (F.col("__total") - F.col("__capped")) / F.col("__rest"))
-    )
+    rows = numbered.select("source", "source_size", F.col("__i").alias("__place"), weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("__cap"))
+    rows, second = _running(rows, [F.col("__cap") / F.col("weight"), F.col("__place")], {"__capped": "__cap", "__gone": "weight"})
+    total = rows.agg((F.sum("source_size") * F.lit(float(share))).alias("__total"), F.sum("weight").alias("__weights"))
+    rows = rows.crossJoin(F.broadcast(total)).withColumn("__level", (F.col("__total") - F.col("__capped")) / (F.col("__weights") - F.col("__gone")))
     # the level rises while the cut sources go out and falls from there on
-    target = F.least(F.max("__level").over(everything) * F.col("weight"), F.col("__cap"))
-    return rows.select("source", "source_size", "weight", target.alias("target"))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("__level").alias("__top"))))
+    return rows.select("source", "source_size", "weight", F.least(F.col("__top") * F.col("weight"), F.col("__cap")).alias("target")), [first, second]
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -72,7 +82,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7, id
     size_class = F.floor(16 * F.log2(F.col("size") + F.lit(1.0)) + F.lit(1e-9)).cast("int")
     rows = written(rows.withColumn("__h", digest).withColumn("__class", size_class))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, share, cap)
+    targets, tables = source_targets(sizes, share, cap)
     salts = max(64, rows.count() // (16 * GROUP_ROWS))
     salted = rows.withColumn("__salt", F.pmod(_number(F.col("__h")), F.lit(salts)).cast("int"))
     counts = salted.groupBy("source", "__class", "__salt").agg(F.count("*").alias("__n"))
@@ -95,5 +105,5 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7, id
     copies = F.least(end - begin, F.lit(int(-(-cap // 1)))).cast("int")
     out = found.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", copies.alias("copies"))
     out = written(out.withColumn("taken", F.col("copies").cast("long") * F.col("size")))
-    discard(rows)
+    discard(rows, *tables)
     return out
