@@ -339,6 +339,13 @@ def test_languages(spark, docs, rows, empty):
     assert langid.identify(docs).count() == len(rows)
 
 
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    told = langid.identify(docs, keep=("lang",)).filter("held_out and lang is not null")
+    n, right = told.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert n > 30 and right / n > 0.97
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     field = langid.Field(["a", "b", "c"], rng.normal(size=(langid.BUCKETS + 1, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32), np.zeros(0, np.uint64))
