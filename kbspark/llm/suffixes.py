@@ -252,11 +252,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int | None = Non
     matched = written(matched)
     family.discard()
     hits = salted_join(suffixes.select(F.xxhash64("suffix").alias("key"), "t", "doc_id", "anchor"), matched, "key", F.xxhash64("t", "anchor"))
-    around = hits.groupBy("t").agg(F.min("doc_id").alias("__first"), F.collect_set("anchor").alias("around"))
+    around = written(hits.groupBy("t").agg(F.min("doc_id").alias("__first"), F.collect_set("anchor").alias("around")))
+    discard(suffixes, matched)
+    free_shuffles(spark)
     # one of the rows that hold the text, or those that share its id
     one = texts.select("t", F.col("doc_id"), "text").join(around.withColumnRenamed("t", "__t"), (F.col("t") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__first")))
     held = written(one.select("t", "text", "around").dropDuplicates(["t"]))
-    discard(suffixes, matched)
+    discard(around)
     free_shuffles(spark)
 
     cells = written(in_arrow(held.select("t", "text", "around"), _emit_cells(length), "t binary, core bigint, whole bigint, begin int, end int"))
