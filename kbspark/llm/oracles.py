@@ -48,4 +48,34 @@ k AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / s
 c AS (SELECT *, least(floor(n * rate + shift) - floor((n - 1) * rate + shift), 2) AS copies FROM k)
 SELECT doc_id, source, size, source_size, target, CAST(copies AS INTEGER) AS copies, CAST(copies * size AS BIGINT) AS taken FROM c"""
 
-ORACLE_SQL = {"op1_top_k": TOP_K, "op2_secret_scan": secret_scan(), "op4_mix_sources": MIX, "op8_fingerprints": FINGERPRINTS}
+FILTER_AUDIT = """WITH f AS (SELECT coalesce(text, '') AS t, min(doc_id) AS first FROM documents GROUP BY ALL),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+fails AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+ || (CASE WHEN 100 * len(regexp_extract_all(d.t, '[A-Z]')) > 5 * length(d.t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > first THEN 'E' ELSE '' END) AS x
+ FROM d JOIN f ON d.t = f.t LEFT JOIN lab ON lab.doc_id = d.doc_id),
+c AS (SELECT part, x, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS b FROM fails GROUP BY part, x),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step:step] AS l, filter_order[1:step - 1] AS before FROM o, range(1, 6) AS r(step)),
+y AS (SELECT part, filter_order, step, l, n, g, b, contains(x, l) AS f, len(before) > 0 AND len(list_intersect(string_split(x, ''), string_split(before, ''))) > 0 AS gone, x = l AS alone FROM c, s),
+r AS (SELECT part, filter_order, step, l, sum(n) FILTER (NOT f AND NOT gone) AS kept, sum(n) FILTER (f AND NOT gone) AS removed, sum(n) FILTER (f AND gone) AS redundant, sum(n) FILTER (alone) AS unique_fails,
+ sum(g) FILTER (f AND NOT gone) AS good_lost, sum(b) FILTER (f AND NOT gone) AS toxic_lost FROM y GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+ CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, l), 0) AS BIGINT) AS shapley FROM r"""
+
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+m AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (m.total + 2 * v.v) AS BIGINT) AS p, CAST(1 + (1000000000::HUGEINT * (k.n + 2)) // (v.total + 2 * v.v) AS BIGINT) AS q
+ FROM m JOIN v ON v.lang = m.lang JOIN k ON k.lang = m.lang LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM y) WHERE part = 'pair' OR rank <= 10"""
+
+ORACLE_SQL = {"op1_top_k": TOP_K, "op2_secret_scan": secret_scan(), "op4_mix_sources": MIX, "op8_fingerprints": FINGERPRINTS, "op11_filter_audit": FILTER_AUDIT, "op13_divergence": DIVERGENCE}

@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.bpe import encode_documents
 from kbspark.llm.common import shared_dir, table
+from kbspark.llm.divergence import divergence
 from kbspark.llm.fingerprints import fingerprint_digest
 from kbspark.llm.langid import identify
 from kbspark.llm.licenses import scan_licenses
 from kbspark.llm.minhash import near_duplicates
 from kbspark.llm.mixing import mix
 from kbspark.llm.oracles import ORACLE_SQL  # noqa: F401
+from kbspark.llm.quality import classify, learn
 from kbspark.llm.secrets import scan_digest
 from kbspark.llm.shards import store_documents
 from kbspark.llm.suffixes import remove_repeats
+from kbspark.llm.survival import audit_filters
 from kbspark.llm.topk import top_k, whole_numbers
 
 
@@ -67,4 +70,17 @@ def op10_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False, decoded=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_language_id, op4_mix_sources, op5_shards, op6_suffix_dedup, op7_minhash_dedup, op8_fingerprints, op9_license_scan, op10_bpe)}
+def op11_filter_audit(spark, sf_dir):
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_divergence(spark, sf_dir):
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_language_id, op4_mix_sources, op5_shards, op6_suffix_dedup, op7_minhash_dedup, op8_fingerprints, op9_license_scan, op10_bpe, op11_filter_audit, op12_quality, op13_divergence)}
