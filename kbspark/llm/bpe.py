@@ -30,7 +30,7 @@ from kbspark.llm.common import in_arrow, slices
 
 #: Code points of a leaf of a text, and of a leaf of a run without blanks.
 LEAF_CHARS, RUN_CHARS = 2048, 256
-#: Words whose encodings a Python worker keeps at most, and words that are handed to the library as one text.
+#: Words whose encodings a Python worker keeps from one slice of texts to the next, at most, and words that are handed to the library as one text.
 KEPT_WORDS, LIBRARY_WORDS = 300_000, 100
 _encoders: dict[str, TreeEncoder] = {}
 
@@ -162,9 +162,6 @@ class TreeEncoder:
 
     def encode_words(self, words: set[str]) -> None:
         """Encodes and decodes the words that aren't known yet: all short ones in one batch."""
-        if len(self.ids_of) > KEPT_WORDS:
-            self.ids_of.clear()
-            self.decoded_of.clear()
         new = [w for w in words if w not in self.ids_of]
         short = [w for w in new if len(w) <= self.run_chars]
         lists = [short[i : i + LIBRARY_WORDS] for i in range(0, len(short), LIBRARY_WORDS)]
@@ -181,6 +178,9 @@ class TreeEncoder:
 
     def texts(self, texts: list[str]) -> list[tuple[str, str]]:
         """Of each text the ids in decimal joined by one space, and the decoded text."""
+        if len(self.ids_of) > KEPT_WORDS:  # here alone: the words of texts at work stay known until these are done
+            self.ids_of.clear()
+            self.decoded_of.clear()
         parts = [[self._words(t[a:b]) for a, b in self._leaves(0, len(t), self.leaf_chars)] for t in texts]
         self.encode_words(set().union(*(w for text in parts for w in text)))
         while any(len(p) > 1 for p in parts):  # one level of all trees at a time

@@ -7,6 +7,11 @@ import numpy as np
 _RATIO = np.uint64(0x9E3779B97F4A7C55)
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
+#: A prime, and a ratio modulo it. Powers of the first ratio alone, modulo a power of two, give the same
+#: sums for certain pairs of long strings of two letters (a Thue-Morse word and its complement).
+_PRIME, _SECOND = np.uint64((1 << 31) - 1), 1_220_703_125
+_second = np.ones(1, np.uint64)
+_second_inverse = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -24,29 +29,54 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 LETTERS = mix(np.arange(1, 257, dtype=np.uint64), 11)
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the ratio and of its inverse, at least n of each."""
-    global _powers, _inverse
+def _powers_of(ratio: int, size: int) -> np.ndarray:
+    """The powers of a ratio modulo the prime."""
+    out, n = np.ones(size, np.uint64), 1
+    while n < size:
+        more = min(n, size - n)
+        out[n : n + more] = out[:more] * np.uint64(pow(ratio, n, int(_PRIME))) % _PRIME
+        n += more
+    return out
+
+
+def _grown(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The powers of both ratios and of their inverses, at least n of each."""
+    global _powers, _inverse, _second, _second_inverse
     if len(_powers) < n:
         size = max(n, 1 << 16)
         inverse = np.uint64(pow(int(_RATIO), -1, 1 << 64))
         _powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, _RATIO)])
         _inverse = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, inverse)])
-    return _powers[:n], _inverse[:n]
+        _second = _powers_of(_SECOND, size)
+        _second_inverse = _powers_of(pow(_SECOND, -1, int(_PRIME)), size)
+    return _powers[:n], _inverse[:n], _second[:n], _second_inverse[:n]
 
 
 class Prefixes:
-    """Hashes of any substrings of one byte array: equal substrings have equal hashes."""
+    """Hashes of any substrings of one byte array: equal substrings have equal hashes.
+
+    A hash joins two polynomials: one modulo 2^64, and one modulo a prime, which no pattern in the bytes
+    makes vanish along with the first.
+    """
 
     def __init__(self, data: np.ndarray, letters: np.ndarray = LETTERS):
-        powers, self.inverse = _grown(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(letters[data] * powers[:-1], out=self.sums[1:])
+        powers, self.inverse, second, self.second_inverse = _grown(len(data) + 1)
+        self.sums, self.second = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+        values = letters[data]
+        np.cumsum(values * powers[:-1], out=self.sums[1:])
+        # terms below 2^62 brought below 2^32, so sums of 2^32 of them fit
+        values >>= np.uint64(33)
+        values *= second[:-1]
+        np.cumsum((values & _PRIME) + (values >> np.uint64(31)), out=self.second[1:])
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
-        return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
+        first = (self.sums[start + length] - self.sums[start]) * self.inverse[start]
+        second = (self.second[start + length] - self.second[start]) % _PRIME * self.second_inverse[start] % _PRIME
+        return first + mix(second, 7)
 
 
+#: Bytes over which sums are held at once for the hashes of words.
+PIECE_BYTES = 1 << 20
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
 #: A to Z count as a to z.
@@ -61,8 +91,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = ~SEPARATOR[data]
     edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
     starts, lengths = edges[::2], edges[1::2] - edges[::2]
-    hashes = mix(Prefixes(data, LOWER_LETTERS).of(starts, lengths), 3) + lengths.astype(np.uint64)
-    return mix(hashes, 4), np.r_[0, np.searchsorted(starts, ends)]
+    hashes = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):  # PIECE_BYTES of words at a time, or one longer word
+        last = max(first + 1, int(np.searchsorted(starts + lengths, starts[first] + PIECE_BYTES, "right")))
+        begin, end = starts[first], starts[last - 1] + lengths[last - 1]
+        hashes[first:last] = Prefixes(data[begin:end], LOWER_LETTERS).of(starts[first:last] - begin, lengths[first:last])
+        first = last
+    return mix(mix(hashes, 3) + lengths.astype(np.uint64), 4), np.r_[0, np.searchsorted(starts, ends)]
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:

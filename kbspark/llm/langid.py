@@ -52,20 +52,25 @@ class Words:
 
 
 def find_words(texts: list[str]) -> Words:
-    """Words are runs of letters, in lower case."""
+    """Words are runs of letters, in lower case. A word's hash depends on its letters alone, and words are told apart by their letters."""
     lowered = [t.lower() for t in texts]
     points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = _is_letter()[points]
     edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
     starts, lengths = edges[::2], edges[1::2] - edges[::2]
-    # a hash of each word: a running sum of its letters, each weighed by its place in the word
-    place = np.arange(len(points), dtype=np.uint64)
-    weighed = mix(points.astype(np.uint64), 61)
-    sums = np.r_[np.uint64(0), np.cumsum(np.where(inside, weighed, np.uint64(0)))]
-    order = np.r_[np.uint64(0), np.cumsum(np.where(inside, weighed * (place + np.uint64(1)), np.uint64(0)))]
-    total = sums[starts + lengths] - sums[starts]
-    hashes = mix(order[starts + lengths] - order[starts] - total * starts.astype(np.uint64), 62) + mix(total, 63)
+    # a hash of each word: the sum of a number for each letter at its place in the word
+    letters = points[inside].astype(np.uint64)
+    begin = np.cumsum(lengths) - lengths  # of each word in letters
+    place = np.arange(len(letters), dtype=np.int64) - np.repeat(begin, lengths)
+    sums = np.r_[np.uint64(0), np.cumsum(mix(letters | place.astype(np.uint64) << np.uint64(21), 61))]
+    hashes = mix(sums[begin + lengths] - sums[begin], 62)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    known = first[which]
+    if not (np.array_equal(lengths[known], lengths) and np.array_equal(letters[np.repeat(begin[known], lengths) + place], letters)):
+        # two words with one hash: they stay apart
+        ids: dict[bytes, int] = {}
+        which = np.array([ids.setdefault(points[s : s + k].tobytes(), len(ids)) for s, k in zip(starts, lengths)])
+        _, first = np.unique(which, return_index=True)
     n = lengths[first]
     at = np.repeat(starts[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     ends = np.cumsum([len(t) + 1 for t in lowered])
@@ -102,6 +107,14 @@ def features(words: Words, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return w[order], f[order].astype(np.int64), v[order].astype(np.float32)
 
 
+def _times(rows: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """rows @ step, each row worked out alike however many rows there are."""
+    out = rows[:, :1] * step[0]
+    for k in range(1, len(step)):
+        out += rows[:, k : k + 1] * step[k]
+    return out
+
+
 @dataclass
 class Field:
     """The fitted model."""
@@ -133,7 +146,7 @@ class Field:
             at = first[:k] + t
             now = scores[words.which[at]]
             if t:
-                now = now * (forward[at - 1] @ step)
+                now = now * _times(forward[at - 1], step)
             forward[at] = now / np.maximum(now.sum(axis=1, keepdims=True), 1e-30)
         message = np.ones((len(first), len(self.langs)), np.float32)
         out = np.empty_like(forward)
@@ -142,7 +155,7 @@ class Field:
             at = first[:k] + t
             both = forward[at] * message[:k]
             out[at] = both / np.maximum(both.sum(axis=1, keepdims=True), 1e-30)
-            back = (scores[words.which[at]] * message[:k]) @ step.T
+            back = _times(scores[words.which[at]] * message[:k], step.T)
             message[:k] = back / np.maximum(back.sum(axis=1, keepdims=True), 1e-30)
         return out
 
@@ -163,11 +176,15 @@ def fit(segments: list[tuple[str, str, int]], seed: int = 5) -> Field | None:
     label = np.array([langs.index(segments[i][1]) for i in order])[words.text]
     seen = np.bincount(words.which, minlength=len(words.starts))
     lexicon = np.sort(words.hashes[seen > 1])
-    n, size = len(words.which) // CHAIN, len(langs)
+    count, size = len(words.which), len(langs)
+    if not count:
+        return None
+    # chains of CHAIN words, the last of which may begin within the one before, so that every word is learned from
+    length = min(CHAIN, count)
+    chains = np.append(np.arange(0, count - length, length), count - length)[:, None] + np.arange(length)
+    n = len(chains)
     field = Field(langs, np.zeros((BUCKETS + len(lexicon) + 1, size), np.float32), np.zeros((size, size), np.float32), lexicon)
-    if not n:  # too little to learn from
-        return field
-    which, label = words.which[: n * CHAIN].reshape(n, CHAIN), label[: n * CHAIN].reshape(n, CHAIN)
+    which, label = words.which[chains], label[chains]
     w, f, v = features(words, lexicon)
     begin = np.r_[np.searchsorted(w, np.arange(len(words.starts))), len(w)]
     g2w, g2t = np.full_like(field.weights, 1e-3), np.full_like(field.transitions, 1e-3)
@@ -179,14 +196,14 @@ def fit(segments: list[tuple[str, str, int]], seed: int = 5) -> Field | None:
             fs, vs = f[rows], v[rows][:, None] * np.where((f[rows] >= BUCKETS) & (rng.random(len(rows)) < 0.4), 0, 1)[:, None]
             edge = np.r_[0, np.cumsum(count)[:-1]]
             scores = np.add.reduceat(field.weights[fs] * vs, edge, axis=0)
-            e = np.exp(scores - scores.max(axis=1, keepdims=True))[local.reshape(len(part), CHAIN)]
+            e = np.exp(scores - scores.max(axis=1, keepdims=True))[local.reshape(len(part), length)]
             step = np.exp(field.transitions)
             a, b = np.empty_like(e), np.ones_like(e)
             a[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
-            for t in range(1, CHAIN):
+            for t in range(1, length):
                 x = e[:, t] * (a[:, t - 1] @ step)
                 a[:, t] = x / x.sum(axis=1, keepdims=True)
-            for t in range(CHAIN - 2, -1, -1):
+            for t in range(length - 2, -1, -1):
                 x = (e[:, t + 1] * b[:, t + 1]) @ step.T
                 b[:, t] = x / x.sum(axis=1, keepdims=True)
             p = a * b

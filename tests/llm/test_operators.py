@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kbspark.llm import fingerprints, langid, licenses, minhash, mixing, queries, rules, secrets, shards, suffixes, topk
+from kbspark.llm import bpe, fingerprints, hashing, langid, licenses, minhash, mixing, queries, rules, secrets, shards, suffixes, topk
 from kbspark.llm.bpe import TreeEncoder, encode_documents
 
 WORDS = [a + b for a in ("al", "ber", "cor", "dun", "el", "fi", "gro") for b in ("a", "en", "ist", "o", "um", "ing", "é")]
@@ -212,6 +212,36 @@ def test_near_duplicates_in_a_chain_and_a_large_group(spark):
     assert got == brute_components(data, 3, 85)
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_no_pattern_makes_different_words_alike(spark):
+    """A Thue-Morse word and its complement agree in every polynomial modulo a power of two."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one.upper()), (4, f"{one} x y"), (5, f"{other} x y")], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=3, similarity=0.85).collect()}
+    assert found == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    texts = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    plain = [x[1] for x in brute_repeats([one, other], 400)]
+    assert [r.n_removed for r in suffixes.remove_repeats(texts).orderBy("doc_id").collect()] == plain
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_words_have_one_hash_in_pieces_of_any_size(monkeypatch, piece):
+    texts = ["Ab c\t ab  dé", "", "c " * 20, "x" * 100, "AB"]
+    whole, at = hashing.word_hashes([t.encode() for t in texts])
+    monkeypatch.setattr(hashing, "PIECE_BYTES", piece)
+    again, at2 = hashing.word_hashes([t.encode() for t in texts])
+    assert whole.tolist() == again.tolist() and at.tolist() == at2.tolist()
+    words = [w.lower() for t in texts for w in words_of(t)]
+    assert len(set(words)) == len(set(whole.tolist())) and len(words) == len(whole)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
@@ -339,6 +369,42 @@ def test_languages(spark, docs, rows, empty):
     assert langid.identify(docs).count() == len(rows)
 
 
+def test_words_of_the_same_letters_stay_apart(spark):
+    """Predictions see the text alone: neither its neighbours in a batch nor the partitions matter."""
+    words = langid.find_words(["anna naan deed edde noon onno Anna"])
+    assert len(words.starts) == 6 and words.which.tolist()[0] == words.which.tolist()[-1]
+    sf = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    field = langid.fit(langid.sample_segments(given, "doc_id", "text", "lang"))
+    pairs = [(1, "anna"), (2, "naan"), (3, "deed"), (4, "edde"), (5, "anna naan"), (6, "naan anna edde"), (7, "noon"), (8, "onno")]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    together = {r.doc_id: r.shares for r in langid.identify(docs.repartition(1), field).collect()}
+    alone = {r.doc_id: r.shares for i in range(1, 9) for r in langid.identify(docs.filter(F.col("doc_id") == i), field).collect()}
+    assert together == alone
+    one, many = ({r.doc_id: (r.lang_pred, r.shares) for r in langid.identify(given.repartition(n), field).collect()} for n in (1, 50))
+    assert one == many
+
+
+def test_words_with_one_hash_stay_apart(monkeypatch):
+    texts = ["one two three two", "three four one"]
+    plain = langid.find_words(texts)
+    monkeypatch.setattr(langid, "mix", lambda x, salt=0: x * np.uint64(0))
+    clash = langid.find_words(texts)
+    groups = lambda w: {tuple(np.flatnonzero(w.which == i)) for i in range(len(w.starts))}
+    assert groups(plain) == groups(clash) and len(clash.starts) == 4
+
+
+def test_learning_from_very_few_words(spark):
+    schema = "doc_id long, text string, lang string"
+    asked = [(100, "ein haus", None), (101, "a house", None), (102, "42", None)]
+    first, second = [i for i in range(99) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    few = [(first, "ein haus am see ist schön", "de"), (second, "a house by the lake", "en")]
+    told = {r.doc_id: r for r in langid.identify(spark.createDataFrame(few + asked, schema)).collect()}
+    assert told[100].lang_pred == "de" and told[101].lang_pred == "en" and told[102].lang_pred == "und"
+    none = langid.identify(spark.createDataFrame([(first, "12 34", "de"), *asked], schema)).collect()
+    assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     told = langid.identify(docs, keep=("lang",)).filter("held_out and lang is not null")
@@ -461,6 +527,25 @@ def test_joins_of_real_texts_disagree_and_are_mended(spark):
     assert encoder.apart > 20  # putting the halves' tokens together would be wrong
 
 
+def test_more_words_than_a_worker_keeps():
+    """Texts of more distinct words than are kept between slices, with long runs at the joins."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzéß"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    words = [word(rng.randint(3, 9)) for _ in range(bpe.KEPT_WORDS + 20_000)]
+    for i in range(0, len(words), 150):
+        words[i] = word(400)
+    encoder = TreeEncoder(queries.tokenizer_path())
+    tokenizer = encoder.tokenizer
+    # one text alone, then slices one after the other
+    texts = [" ".join(words)] + [" ".join(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+    for text in texts:
+        (ids, decoded), = encoder.texts([text])
+        plain = tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, plain))
+        assert decoded == tokenizer.decode(plain, skip_special_tokens=False)
+
+
 def test_windows_grow_until_both_sides_agree():
     encoder = TreeEncoder(queries.tokenizer_path(), 64, 1 << 20)
     sizes, library = [], encoder._library
