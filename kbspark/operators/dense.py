@@ -24,20 +24,22 @@ def with_metadata(hits: DataFrame, metadata: DataFrame, key: str = "point_id") -
     return hits.join(metadata.drop(*clash), key)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, per_file: int | None = None, oversample: int = 1, exclude_self: bool = False, blocks: int | None = None) -> DataFrame:
-    """(repo_id, query_id, id, file, score, rank) by cosine.
+def usable(rows: DataFrame, column: str) -> DataFrame:
+    """Without vectors that are null, empty, or hold null or non-finite numbers."""
+    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.filter(F.col(column).isNotNull() & (F.size(column) > 0) & ~bad)
 
-    queries: (repo_id, query_id, embedding); vectors: (repo_id, id, file, embedding). The best
-    k * oversample are cut by threshold, then by per_file, then to k. Both sides are dealt into
-    blocks, and each pair of a query block and a vector block of one repository is one task, which
-    keeps its best rows only.
+
+def block_topk(queries: DataFrame, vectors: DataFrame, keys: list[str], wide: int, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(repo_id, query_id, id, file, score): of each query and block of vectors the best `wide` by cosine, among those with equal keys.
+
+    queries: (keys, query_id, q); vectors: (keys, id, file, v); `repo_id` is one of the keys. The rows of a
+    key are dealt into blocks by their number, and each pair of a query block and a vector block is one task.
     """
-    wide = k * oversample
-    n_blocks = blocks or max(1, -(-vectors.count() // BLOCK_ROWS))
-    n_asked = max(1, -(-queries.count() // QUERY_ROWS))
-    queries, vectors = queries.filter(F.col("embedding").isNotNull()), vectors.filter(F.col("embedding").isNotNull())
-    left = queries.select("repo_id", "query_id", F.col("embedding").alias("q")).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = vectors.select("repo_id", "id", "file", F.col("embedding").alias("v")).withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
+    count = lambda rows, most, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    blocks = count(queries, QUERY_ROWS, "nq").join(count(vectors, block_rows, "nv"), keys)
+    left = queries.join(blocks, keys).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))).drop("nq", "nv")
+    right = vectors.join(blocks, keys).withColumn("vb", F.pmod(F.xxhash64("id"), F.col("nv")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq", "nv")
 
     def unit(rows):
         m = np.array(rows.tolist(), np.float64)
@@ -53,10 +55,26 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
                 out.append(pd.DataFrame({"repo_id": a["repo_id"].iat[i], "query_id": query, "id": b["id"].to_numpy()[near], "file": b["file"].to_numpy()[near], "score": scores[i][near]}))
         return pd.concat(out) if out else pd.DataFrame({"repo_id": [], "query_id": [], "id": [], "file": [], "score": []})
 
-    schema = f"repo_id long, query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, file {vectors.schema['file'].dataType.simpleString()}, score double"
-    hits = left.groupBy("repo_id", "qb", "vb").cogroup(right.groupBy("repo_id", "qb", "vb")).applyInPandas(search, schema)
-    hits = hits.filter("id != query_id") if exclude_self else hits
-    hits = best(hits, wide).drop("rank")
+    kind = lambda rows, c: rows.schema[c].dataType.simpleString()
+    schema = f"repo_id {kind(queries, 'repo_id')}, query_id {kind(queries, 'query_id')}, id {kind(vectors, 'id')}, file {kind(vectors, 'file')}, score double"
+    deal = [*keys, "qb", "vb"]
+    # both sides may come from one table: their columns get identities of their own
+    left, right = (rows.select(*[F.col(c).alias(c) for c in rows.columns]) for rows in (left, right))
+    hits = left.groupBy(*deal).cogroup(right.groupBy(*deal)).applyInPandas(search, schema)
+    return hits.filter("id != query_id") if exclude_self else hits
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, per_file: int | None = None, oversample: int = 1, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(repo_id, query_id, id, file, score, rank) by cosine.
+
+    queries: (repo_id, query_id, embedding); vectors: (repo_id, id, file, embedding). The best
+    k * oversample are cut by threshold, then by per_file, then to k. Every vector of a query's repository
+    is read; ivf.ivf_topk() reads the near ones.
+    """
+    wide = k * oversample
+    left = usable(queries, "embedding").select("repo_id", "query_id", F.col("embedding").alias("q"))
+    right = usable(vectors, "embedding").select("repo_id", "id", "file", F.col("embedding").alias("v"))
+    hits = best(block_topk(left, right, ["repo_id"], wide, exclude_self, block_rows), wide).drop("rank")
     hits = hits if threshold is None else hits.filter(F.col("score") >= threshold)
     if per_file:
         in_file = Window.partitionBy("repo_id", "query_id", "file").orderBy(F.desc("score"), "id")

@@ -34,8 +34,8 @@ class RetrievalConfig:
     context_expand_neighbors: int = 0
     enable_fact_keyword: bool = True
     fact_keyword_top_k: int = 100
-    #: Repositories with more facts than this have no keyword channel; None for no such limit.
-    fact_keyword_max_records: int | None = 50_000
+    #: Repositories with more facts than this have no keyword and no exact channel; None: all have them.
+    fact_keyword_max_records: int | None = None
     fact_search_text_chars: int = 2000
     chunk_oversample: int = 3
     fact_oversample: int = 2
@@ -50,7 +50,7 @@ class RetrievalConfig:
             name = f"RAG_{f.name.upper()}"
             value = settings.get(name) if isinstance(settings, Mapping) else getattr(settings, name, None)
             if value is not None:
-                kind = type(f.default)
+                kind = int if f.default is None else type(f.default)
                 found[f.name] = str(value).strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(value)
         return cls(**found)
 

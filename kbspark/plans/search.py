@@ -6,13 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
-from kbspark.operators import chunking, dense, evaluate, evidence, facts, fusion, lexical, models
+from kbspark.operators import chunking, dense, evaluate, evidence, facts, fusion, ivf, lexical, models
 from kbspark.plans import tables as t
 from kbspark.plans.config import RetrievalConfig
 from kbspark.plans.registry import query
 from kbspark.sources import store
 
 K = 10
+#: Cells that the approximate dense search reads for a query.
+PROBES = 8
 CHUNKS = RetrievalConfig(context_expand_neighbors=1)
 TOKENS = """tok AS (SELECT d.doc_id AS id, lower(w.term) AS term FROM documents d, unnest(regexp_extract_all(d.text, '[A-Za-z0-9_]+')) AS w(term)),
 lens AS (SELECT d.doc_id AS id, len(regexp_extract_all(d.text, '[A-Za-z0-9_]+')) AS length FROM documents d),
@@ -34,17 +36,9 @@ def tf_cte(k: int, name: str = "tfs") -> str:
   SELECT query_id, tf.id, CAST(sum(tf) AS DOUBLE) AS score FROM asked JOIN tf USING (term) GROUP BY query_id, tf.id)) WHERE rank <= {k})"""
 
 
-_written: dict[tuple[str, str], str] = {}
-
-
 def postings(spark, sf_dir):
-    """The documents' index: built and written once by an application, then read by all of its queries."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _written:
-        path = store.scratch(spark)
-        lexical.build_postings(t.corpus(spark, sf_dir), "id", "text").write(path)
-        _written[key] = path
-    return lexical.Postings.read(spark, _written[key])
+    """The documents' index, written once for what the table holds and then read by all queries of an application."""
+    return lexical.Postings.read(spark, store.kept(spark, "postings", t.given(spark, sf_dir, "documents"), lambda path: lexical.build_postings(t.corpus(spark, sf_dir), "id", "text").write(path)))
 
 
 def _bm25(spark, sf_dir, k=20):
@@ -101,6 +95,27 @@ def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir, K).select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
+def vector_index(spark, sf_dir):
+    """The vectors' inverted file, written once for what the table holds."""
+    return ivf.Ivf.read(spark, store.kept(spark, "ivf", t.given(spark, sf_dir, "embeddings"), lambda path: ivf.build_ivf(_vectors(spark, sf_dir), path)))
+
+
+@query(f"WITH {dense_cte(K)} SELECT query_id, id AS vec_id, r AS rank, round(score, 6) AS score FROM wide")
+def dense_topk_ivf(spark, sf_dir):
+    asked = _vectors(spark, sf_dir).filter("id % 20 = 0").select("repo_id", F.col("id").alias("query_id"), "embedding")
+    hits = ivf.ivf_topk(asked, vector_index(spark, sf_dir), K, exact=True, exclude_self=True)
+    return hits.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def ivf_recall(spark, sf_dir):
+    """Of each query's 10 nearest vectors those that PROBES cells hold, and how much was read for them."""
+    index = vector_index(spark, sf_dir)
+    asked = _vectors(spark, sf_dir).filter("id % 20 = 0").select("repo_id", F.col("id").alias("query_id"), "embedding")
+    found = ivf.recall(ivf.ivf_topk(asked, index, K, probes=PROBES, exclude_self=True), _dense(spark, sf_dir, K))
+    return found.join(ivf.cells_read(asked, index, PROBES), ["repo_id", "query_id"]).select("query_id", "n", "found", (F.col("found") / F.col("n")).alias("recall"), "cells", "vectors")
+
+
 @query(f"""WITH {dense_cte(36)}, capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, file ORDER BY score DESC, id) AS n FROM wide WHERE score >= 0.2)
 SELECT * FROM (SELECT query_id, id AS vec_id, file AS label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM capped WHERE n <= 2) WHERE rank <= 12""")
 def dense_threshold_cap(spark, sf_dir):

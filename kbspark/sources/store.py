@@ -19,6 +19,40 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_kept: dict[tuple[str, str, tuple], str] = {}
+
+
+def _version(df: DataFrame) -> tuple:
+    """What stands for the contents of the files that df is read from: their names, sizes and times."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def kept(spark: SparkSession, name: str, source: DataFrame, build) -> str:
+    """A folder that build(folder) has filled from the files behind `source`, by this application; a new one once those files change, when the old one goes."""
+    version = _version(source)
+    mine = spark.sparkContext.applicationId, name, version
+    if mine not in _kept:
+        # one folder for each set of files, whatever became of them
+        for other in [k for k in _kept if k[:2] == mine[:2] and {f[0] for f in k[2]} == {f[0] for f in version}]:
+            remove(spark, _kept.pop(other))
+        path = scratch(spark)
+        build(path)
+        _kept[mine] = path
+    return _kept[mine]
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows with equal keys the last in order."""
     newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])

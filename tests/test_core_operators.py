@@ -108,8 +108,8 @@ def test_dense(spark):
     df = spark.createDataFrame(vecs, "repo_id long, id long, file string, embedding array<float>")
     asked = df.filter("id < 3").select("repo_id", F.col("id").alias("query_id"), "embedding")
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
-    for blocks in (1, 4):
-        got = dense.dense_topk(asked, df, 4, exclude_self=True, blocks=blocks).collect()
+    for rows in (50, 13):
+        got = dense.dense_topk(asked, df, 4, exclude_self=True, block_rows=rows).collect()
         for q in range(3):
             expected = sorted((i for i in range(50) if i != q), key=lambda i: -cos(vecs[q][3], vecs[i][3]))[:4]
             assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == expected
