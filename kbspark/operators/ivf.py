@@ -163,6 +163,25 @@ def ivf_topk(queries: DataFrame, index: Ivf, k: int, probes: int = 8, exact: boo
     return best(hits, k)
 
 
+def probes_for(queries: DataFrame, index: Ivf, k: int, target: float = 0.95, most: int = 200, exclude_self: bool = False) -> int:
+    """How many cells a query must read for a share `target` of its k nearest vectors, on average over `most` of the queries.
+
+    Their exact hits are looked up in the cells; where a hit's cell stands among the query's nearest ones says
+    how many probes find it.
+    """
+    sample = queries.orderBy(F.xxhash64("repo_id", "query_id"), "repo_id", "query_id").limit(most)
+    hits = ivf_topk(sample, index, k, exact=True, exclude_self=exclude_self).select("repo_id", "query_id", "id")
+    placed = hits.join(index.cells.select("repo_id", "id", "cell"), ["repo_id", "id"]).distinct()
+    near = nearest_cells(sample, index).select("repo_id", "query_id", F.posexplode("near").alias("at", "c")).select("repo_id", "query_id", "at", F.col("c.cell").alias("cell"))
+    places = placed.join(near, ["repo_id", "query_id", "cell"]).groupBy("at").agg(F.count("*").alias("n")).orderBy("at").collect()  # MOST_CELLS at most
+    total, found = sum(r.n for r in places), 0
+    for r in places:
+        found += r.n
+        if found >= target * total:
+            return r["at"] + 1
+    return 1
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(repo_id, query_id, n, found): of the n exact hits of a query, how many were found."""
     key = ["repo_id", "query_id", "id"]

@@ -6,15 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
-from kbspark.operators import chunking, dense, evaluate, evidence, facts, fusion, ivf, lexical, models
+from kbspark.operators import chunking, dense, evaluate, evidence, facts, fusion, impacts, ivf, lexical, models
 from kbspark.plans import tables as t
 from kbspark.plans.config import RetrievalConfig
 from kbspark.plans.registry import query
 from kbspark.sources import store
 
 K = 10
-#: Cells that the approximate dense search reads for a query.
-PROBES = 8
 CHUNKS = RetrievalConfig(context_expand_neighbors=1)
 TOKENS = """tok AS (SELECT d.doc_id AS id, lower(w.term) AS term FROM documents d, unnest(regexp_extract_all(d.text, '[A-Za-z0-9_]+')) AS w(term)),
 lens AS (SELECT d.doc_id AS id, len(regexp_extract_all(d.text, '[A-Za-z0-9_]+')) AS length FROM documents d),
@@ -69,6 +67,20 @@ def bm25_search(spark, sf_dir):
     return _bm25(spark, sf_dir).select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
+def impact_index(spark, sf_dir):
+    return impacts.Impacts.read(spark, store.kept(spark, "impacts", t.given(spark, sf_dir, "documents"), lambda path: impacts.build_impacts(postings(spark, sf_dir), path)))
+
+
+@query(f"WITH {TOKENS}, {ASKED}, {bm25_cte(20)} SELECT query_id, id AS doc_id, rank, round(score, 6) AS score FROM bm25")
+def bm25_blocks(spark, sf_dir):
+    return impacts.block_topk(t.questions(spark, sf_dir), impact_index(spark, sf_dir), 20).select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def bm25_blocks_read(spark, sf_dir):
+    return impacts.reads(t.questions(spark, sf_dir), impact_index(spark, sf_dir), 20).select("query_id", "blocks", "blocks_read", (1 - F.col("blocks_read") / F.col("blocks")).alias("skipped"))
+
+
 @query(f"WITH {TOKENS}, {ASKED}, {tf_cte(20)} SELECT query_id, id AS doc_id, rank, score FROM tfs")
 def tf_search(spark, sf_dir):
     return _tf(spark, sf_dir).select("query_id", F.col("id").alias("doc_id"), "rank", "score")
@@ -109,11 +121,16 @@ def dense_topk_ivf(spark, sf_dir):
 
 @query()
 def ivf_recall(spark, sf_dir):
-    """Of each query's 10 nearest vectors those that PROBES cells hold, and how much was read for them."""
-    index = vector_index(spark, sf_dir)
-    asked = _vectors(spark, sf_dir).filter("id % 20 = 0").select("repo_id", F.col("id").alias("query_id"), "embedding")
-    found = ivf.recall(ivf.ivf_topk(asked, index, K, probes=PROBES, exclude_self=True), _dense(spark, sf_dir, K))
-    return found.join(ivf.cells_read(asked, index, PROBES), ["repo_id", "query_id"]).select("query_id", "n", "found", (F.col("found") / F.col("n")).alias("recall"), "cells", "vectors")
+    """Of each query's 10 nearest vectors those that the approximate search finds, and how much is read for them.
+
+    The number of cells to read is fitted on the vectors that come after each query's, and measured on the queries.
+    """
+    index, rows = vector_index(spark, sf_dir), _vectors(spark, sf_dir)
+    as_queries = lambda which: rows.filter(which).select("repo_id", F.col("id").alias("query_id"), "embedding")
+    probes = ivf.probes_for(as_queries("id % 20 = 1"), index, K, exclude_self=True)
+    asked = as_queries("id % 20 = 0")
+    found = ivf.recall(ivf.ivf_topk(asked, index, K, probes=probes, exclude_self=True), _dense(spark, sf_dir, K))
+    return found.join(ivf.cells_read(asked, index, probes), ["repo_id", "query_id"]).select("query_id", "n", "found", (F.col("found") / F.col("n")).alias("recall"), "cells", "vectors")
 
 
 @query(f"""WITH {dense_cte(36)}, capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, file ORDER BY score DESC, id) AS n FROM wide WHERE score >= 0.2)

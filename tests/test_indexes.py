@@ -4,10 +4,11 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kbspark.operators import dense, ivf
+from kbspark.operators import dense, impacts, ivf, lexical
 from kbspark.sources import store
 
 
@@ -83,3 +84,47 @@ def test_kept_tables_follow_their_files(spark, tmp_path):
     spark.range(20).coalesce(1).write.mode("overwrite").parquet(path)
     second = store.kept(spark, "x", spark.read.parquet(path), build)
     assert second != first and len(built) == 2 and spark.read.parquet(second).count() == 2
+
+
+# -- postings in blocks by gain
+
+
+def corpus(spark, n, seed=2):
+    rng = random.Random(seed)
+    rare = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(n):
+        words = ["the"] * rng.randint(1, 9) + rng.choices(["of", "and", "to"], k=rng.randint(0, 8)) + rng.choices(rare, k=rng.randint(0, 30))
+        rng.shuffle(words)
+        rows.append((i % 3 if n > 9 else 0, f"d{i:05}", " ".join(words)))
+    rows.append((0, "empty", ""))
+    docs = spark.createDataFrame(rows, "repo_id long, id string, text string").repartition(4)
+    asked = [(r, q, " ".join(rng.choices(rare, k=5) + ["the", "of", "the", "unknown"])) for r in range(4) for q in range(6)]
+    asked += [(0, 90, "the of"), (1, 91, ""), (0, 92, None), (2, 93, " ".join(rare))]
+    return docs, spark.createDataFrame(asked, "repo_id long, query_id long, question string")
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 900])
+@pytest.mark.parametrize("k", [3, 20])
+def test_blocks_give_the_rows_of_all_postings(spark, tmp_path, monkeypatch, n, k):
+    monkeypatch.setattr(impacts, "BLOCK", 8)
+    docs, asked = corpus(spark, n)
+    p = lexical.build_postings(docs, "id", "text")
+    index = impacts.build_impacts(p, f"file://{tmp_path}/i")
+    rows = lambda df: sorted((r.repo_id, r.query_id, r["rank"], r.id, round(r.score, 6)) for r in df.collect())
+    assert rows(impacts.block_topk(asked, index, k)) == rows(lexical.bm25_topk(asked, p, k))
+    if n == 900 and k == 3:
+        read = impacts.reads(asked.filter("query_id < 6"), index, k).agg(F.sum("blocks"), F.sum("blocks_read")).first()
+        assert 0 < read[1] < read[0] / 2
+        per = index.blocks.agg(F.max("n"), F.sum("n")).first()
+        assert per[0] < 200 and per[1] == p.tf.count()
+
+
+def test_levels_are_cut_where_the_rest_stays_below():
+    rows = pd.DataFrame([("a", 0, 5.0, 10), ("a", 1, 4.0, 1000), ("b", 0, 9.0, 2), ("b", 1, 1.0, 50), ("c", 0, 0.5, 10_000)], columns=["term", "level", "top", "n"])
+    rows["blocks"], rows["repo_id"], rows["query_id"], rows["theta"] = 1, 0, 0, 10.0
+    cut = {r.term: (r.cut, r.unread, r.blocks_read) for r in impacts.cut_levels(rows).itertuples()}
+    assert cut["b"][0] >= 1 and cut["c"] == (0, 0.5, 0)
+    assert sum(u for _, u, _ in cut.values()) < impacts.SLACK * 10
+    rows["theta"] = 0.0
+    assert all(u == 0 for _, u, _ in ((r.cut, r.unread, r.blocks_read) for r in impacts.cut_levels(rows).itertuples()))
