@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
-from kbspark.operators import access, evidence, graph, lexical, logs
+from kbspark.operators import access, evidence, graph, lexical, literal, logs
 from kbspark.plans import tables as t
 from kbspark.plans.registry import query
 from kbspark.plans.search import ASKED, TOKENS, bm25_cte, postings
@@ -126,7 +126,8 @@ hit AS (SELECT query_id, w.repo_id, filename, content, q, strpos(lower(content),
 def _searched(spark, sf_dir):
     pages = t.wiki(spark, sf_dir)
     asked = pages.select("repo_id").distinct().select("repo_id", F.col("repo_id").alias("query_id"), F.when(F.col("repo_id") % 2 == 0, "And ").otherwise("updated").alias("q"))
-    return graph.literal_search(asked, pages, 80)
+    index = store.kept(spark, "grams", t.given(spark, sf_dir, "documents"), lambda path: literal.build_grams(pages, path))
+    return literal.literal_search(asked, literal.GramIndex.read(spark, index), 80)
 
 
 @query(f"""WITH {SEARCHED}, c AS (SELECT *, greatest(p - 80, 1) AS s, least(p + length(q) - 1 + 80, length(content)) AS e FROM hit)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kbspark.operators import dense, impacts, ivf, lexical
+from kbspark.operators import automaton, dense, graph, impacts, ivf, lexical, literal
 from kbspark.sources import store
 
 
@@ -128,3 +128,46 @@ def test_levels_are_cut_where_the_rest_stays_below():
     assert sum(u for _, u, _ in cut.values()) < impacts.SLACK * 10
     rows["theta"] = 0.0
     assert all(u == 0 for _, u, _ in ((r.cut, r.unread, r.blocks_read) for r in impacts.cut_levels(rows).itertuples()))
+
+
+# -- literal search
+
+
+def test_grams_give_the_pages_that_a_scan_gives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(literal, "SORTED_CHARS", 500)
+    rng = random.Random(4)
+    words = ["Straße", "naïve", "日本語", "aaa", "aaaa", "İstanbul", "and", "𝔘nit", "x"]
+    pages = [(r, f"p{i}", " ".join(rng.choices(words, k=rng.randint(0, 60)))) for r in (0, 1, 2) for i in range(40)]
+    pages += [(0, "null", None), (0, "empty", ""), (1, "tail", "ends with aaa"), (1, "p1", "the same name again and aaaa"), (2, "lines", "one\ntwo and\nthree")]
+    queries = ["AND", "aaa", "aaaa aaa", "日本語 日本語", "x", "xx", "straße naïve", "i̇stanbul", "nothing like it", "", None, "ONE\ntwo", "𝔘nit 𝔘", "and x and"]
+    rows = [(q, r, text) for q, text in enumerate(queries) for r in (0, 1, 2, 9)]
+    pages, asked = spark.createDataFrame(pages, "repo_id long, filename string, content string").repartition(3), spark.createDataFrame(rows, "query_id int, repo_id long, q string")
+    index = literal.build_grams(pages, f"file://{tmp_path}/g")
+    found = lambda df: sorted(map(tuple, df.collect()))
+    full = found(graph.literal_search(asked, pages, 10))
+    assert found(literal.literal_search(asked, index, 10)) == full and len(full) > 100
+    # what is read: the pages that hold a query's rarest grams in their places, few more than those that hold the query
+    near = literal.candidates(asked, index).count()
+    exact = sum(1 for r in full if len(queries[r[0]]) > 2)
+    assert exact <= near <= 1.2 * exact + 5
+
+
+def test_grams_of_no_pages(spark, tmp_path):
+    index = literal.build_grams(spark.createDataFrame([], "repo_id long, filename string, content string"), f"file://{tmp_path}/g")
+    asked = spark.createDataFrame([(1, 1, "abc"), (2, 1, "a")], "query_id int, repo_id long, q string")
+    assert literal.literal_search(asked, index).count() == 0
+
+
+# -- automata
+
+
+def test_automata_find_what_texts_hold(spark, monkeypatch):
+    monkeypatch.setattr(automaton, "SHARD_PATTERNS", 7)
+    monkeypatch.setattr(automaton, "TEXT_ROWS", 5)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abé日") for _ in range(n))
+    patterns = sorted({(r, word(rng.randint(1, 5))) for r in (0, 1) for _ in range(60)})
+    texts = [(r, f"q{r}{i}", word(rng.randint(0, 40))) for r in (0, 1, 2) for i in range(20)] + [(0, "null", None)]
+    asked = spark.createDataFrame(texts, "repo_id long, query_id string, q string").filter("q is not null")
+    found = automaton.contained(asked, spark.createDataFrame(patterns, "repo_id long, part string")).collect()
+    assert sorted(map(tuple, found)) == sorted((r, q, p) for r, q, t in texts if t is not None for s, p in patterns if s == r and p in t)
