@@ -180,11 +180,11 @@ def char_bigrams(text: Column) -> Column:
 
 
 def tokens(text: Column, segmenter=None) -> Column:
-    """Lower-case ASCII words, then the bigrams of all CJK characters together; or what a segmenter makes of these."""
+    """Lower-case ASCII words, then the bigrams of all CJK characters together; or what a segmenter (such as segment.Lexicon.segmenter()) makes of these."""
     words = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lower)
     cjk = F.array_join(F.regexp_extract_all(text, F.lit("[\\x{4e00}-\\x{9fff}]"), F.lit(0)), "")
     # a lambda's argument is computed once
-    grams = F.flatten(F.transform(F.array(cjk), char_bigrams if segmenter is None else segmenter))
+    grams = F.flatten(F.transform(F.array(cjk), char_bigrams)) if segmenter is None else segmenter(cjk)
     return F.coalesce(F.concat(words, F.when(F.rlike(text, F.lit("[\\x{4e00}-\\x{9fff}]")), grams).otherwise(F.array().cast("array<string>"))), F.array().cast("array<string>"))
 
 

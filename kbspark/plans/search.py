@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
-from kbspark.operators import chunking, dense, evaluate, evidence, facts, fusion, impacts, ivf, lexical, models
+from kbspark.operators import chunking, dense, evaluate, evidence, facts, fusion, impacts, ivf, lexical, models, segment
 from kbspark.plans import tables as t
 from kbspark.plans.config import RetrievalConfig
 from kbspark.plans.registry import query
@@ -86,6 +86,14 @@ def tf_search(spark, sf_dir):
     return _tf(spark, sf_dir).select("query_id", F.col("id").alias("doc_id"), "rank", "score")
 
 
+@query()
+def segment_words(spark, sf_dir):
+    """By repository: how well the words of texts without blanks are found, by a lexicon learned from all of them."""
+    rows = t.cjk(spark, sf_dir)
+    found = segment.segment(rows, segment.learn(rows), words_col="found")
+    return segment.boundaries(found, "words", "found", "repo_id")
+
+
 def _vectors(spark, sf_dir):
     return t.given(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("repo_id"), F.col("vec_id").alias("id"), F.col("label").alias("file"), "embedding")
 
