@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
-from kbspark.operators import chunking, dense, evaluate, evidence, facts, fusion, impacts, ivf, lexical, models, segment
+from kbspark.operators import chunking, dense, evaluate, evidence, facts, fusion, impacts, ivf, lexical, models, segment, vectors
 from kbspark.plans import tables as t
 from kbspark.plans.config import RetrievalConfig
 from kbspark.plans.registry import query
@@ -148,6 +148,24 @@ def dense_threshold_cap(spark, sf_dir):
     return hits.select("query_id", F.col("id").alias("vec_id"), F.col("file").alias("label"), "rank")
 
 
+TWINS = """v AS (SELECT vec_id % 3 AS repo_id, vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings
+ UNION ALL SELECT (vec_id + 1) % 3, vec_id + 1000000, CAST(list_transform(embedding, lambda x, i: CASE WHEN i % 16 = vec_id % 16 THEN x * 0.5::DOUBLE ELSE x END) AS FLOAT[])::DOUBLE[] FROM embeddings WHERE vec_id % 4 <> 0
+ UNION ALL SELECT (vec_id + 2) % 3, vec_id + 2000000, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 10 = 1)"""
+
+
+@query(f"""WITH RECURSIVE {TWINS}, l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT a AS id, a AS m FROM l UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.id), c AS (SELECT r.id, v.repo_id, w.repo_id AS group_repo, r.m FROM r JOIN v ON v.id = r.id JOIN v w ON w.id = r.m),
+g AS (SELECT id, repo_id, first(group_repo ORDER BY group_repo, m) AS group_repo, first(m ORDER BY group_repo, m) AS group_id, count(*) AS members FROM c GROUP BY ALL)
+SELECT repo_id, id, group_repo, group_id, members FROM g""")
+def near_vectors(spark, sf_dir):
+    """Entities of several repositories by their vectors: each given one, a blurred copy of most and a plain copy of some."""
+    rows = t.given(spark, sf_dir, "embeddings")
+    blurred = F.transform("embedding", lambda x, i: F.when((i + 1) % 16 == F.col("vec_id") % 16, x * 0.5).otherwise(x)).cast("array<float>")
+    copy = lambda which, n, v: rows.filter(which).select(((F.col("vec_id") + n) % 3).alias("repo_id"), (F.col("vec_id") + n * 1_000_000).alias("id"), v.alias("embedding"))
+    every = copy("true", 0, F.col("embedding")).union(copy("vec_id % 4 != 0", 1, blurred)).union(copy("vec_id % 10 = 1", 2, F.col("embedding")))
+    return vectors.near_vectors(every, 0.9)
+
+
 FUSED = f"""{TOKENS}, {ASKED}, {bm25_cte(20)}, {tf_cte(20)},
 duo AS (SELECT query_id, id, 0 AS c, rank, score, 'bm25' AS ch FROM bm25 UNION ALL SELECT query_id, id, 1, rank, score, 'tf' FROM tfs),
 fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60.0::DOUBLE + rank)) AS fused, string_agg(ch, ',' ORDER BY ch) AS sources, min(c * 1000 + rank) AS first,

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kbspark.operators import automaton, dense, graph, impacts, ivf, lexical, literal
+from kbspark.operators import vectors as near
 from kbspark.sources import store
 
 
@@ -171,3 +172,59 @@ def test_automata_find_what_texts_hold(spark, monkeypatch):
     asked = spark.createDataFrame(texts, "repo_id long, query_id string, q string").filter("q is not null")
     found = automaton.contained(asked, spark.createDataFrame(patterns, "repo_id long, part string")).collect()
     assert sorted(map(tuple, found)) == sorted((r, q, p) for r, q, t in texts if t is not None for s, p in patterns if s == r and p in t)
+
+
+# -- groups of near vectors
+
+
+def brute_groups(rows, threshold, across):
+    m = np.array([r[2] for r in rows], np.float64)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    near = m @ m.T >= threshold
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if near[a, b] and (across or rows[a][0] == rows[b][0]):
+                group = [group[b] if g == group[a] else g for g in group] if group[a] != group[b] else group
+    named = {}
+    for g in set(group):
+        members = [rows[i][:2] for i in range(len(rows)) if group[i] == g]
+        if len(members) > 1:
+            named |= {x: (*min(members), len(members)) for x in members}
+    return named
+
+
+@pytest.mark.parametrize("across", [True, False])
+def test_groups_of_near_vectors(spark, monkeypatch, across):
+    monkeypatch.setattr(near, "BLOCK_ROWS", 30)
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in range(40):
+        middle = rng.normal(size=24)
+        for _ in range(rng.integers(1, 6)):
+            rows.append((int(rng.integers(0, 3)), len(rows), (middle + rng.normal(size=24) * 0.12).astype(np.float32).tolist()))
+    hot = rng.normal(size=24).astype(np.float32)
+    rows += [(i % 3, len(rows) + i, hot.tolist()) for i in range(120)]  # one vector in a third of all rows
+    rows += [(i % 3, len(rows) + i, (hot + rng.normal(size=24) * 0.02).astype(np.float32).tolist()) for i in range(90)]  # and many close to it
+    rows += [(0, 5000, (hot * 3).tolist())]
+    schema = "repo_id long, id long, embedding array<float>"
+    extra = [(0, 9000, None), (0, 9001, [float("nan")] * 24), (1, 9002, [])]
+    found = near.near_vectors(spark.createDataFrame(rows + extra, schema).repartition(4), 0.9, across)
+    assert {(r.repo_id, r.id): (r.group_repo, r.group_id, r.members) for r in found.collect()} == brute_groups(rows, 0.9, across)
+
+
+def test_pairs_at_the_threshold_are_rarely_missed(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(600):
+        a, b = rng.normal(size=(2, 32))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        rows += [(0, 2 * i, a.tolist()), (0, 2 * i + 1, (0.91 * a + (1 - 0.91**2) ** 0.5 * b).tolist())]
+    found = near.near_vectors(spark.createDataFrame(rows, "repo_id long, id long, embedding array<float>"), 0.9)
+    assert found.count() >= 0.97 * len(rows)
+
+
+def test_no_near_vectors(spark):
+    assert near.near_vectors(spark.createDataFrame([], "repo_id long, id long, embedding array<float>")).count() == 0
