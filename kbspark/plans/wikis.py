@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
+from kbspark.functions import yaml
 from kbspark.operators import access, evidence, graph, lexical, literal, logs
 from kbspark.plans import tables as t
 from kbspark.plans.registry import query
@@ -233,6 +234,43 @@ def url_sources(spark, sf_dir):
     return files.web_sources(t.given(spark, sf_dir, "pages")).select("page_id", "filename", F.length("content").alias("n_chars"), F.md5("content").alias("md5"))
 
 
+@query()
+def page_text(spark, sf_dir):
+    """How much of each page's article is found, and how much else, when nothing marks it as one: runs of three words planted, found and right."""
+    pages = t.given(spark, sf_dir, "pages").select("page_id", "html")
+    planted = F.regexp_replace(F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1), "<[^>]*>", " ")
+    plain = F.regexp_replace("html", r"(</?)article>", "$1div>")
+    rows = files.web_text(pages.select("page_id", plain.alias("html")), "page_id").withColumnRenamed("content", "found")
+    rows = rows.join(files.web_text(pages.select("page_id", F.concat(F.lit("<main><p>"), planted, F.lit("</p></main>")).alias("html")), "page_id").withColumnRenamed("content", "planted"), "page_id")
+
+    words = lambda c: F.filter(F.split(F.regexp_replace(c, "[#*|]+", " "), r"\s+"), lambda w: w != "")
+    join = lambda a, b: F.concat_ws(" ", a, b)
+    runs = lambda w: F.zip_with(F.zip_with(w, F.slice(w, 2, 1 << 30), join), F.slice(w, 3, 1 << 30), join)
+    # words are worked out once: a lambda's argument is
+    shingles = lambda c: F.array_distinct(F.flatten(F.transform(F.array(words(c)), runs)))
+    rows = rows.select("page_id", shingles("planted").alias("p"), shingles("found").alias("f"))
+    return rows.select("page_id", F.size("p").alias("planted"), F.size("f").alias("found"), F.size(F.array_intersect("p", "f")).alias("right"))
+
+
+HEADED = """headed AS (SELECT doc_id, coalesce(nullif(regexp_extract(text, '^[A-Za-z]+'), ''), 'None') AS word, lang, source, n_chars FROM documents)"""
+
+
+@query(f"""WITH {HEADED} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE word || ': the "' || doc_id || '"' END AS title, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS owner, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang || '@' || source || '.org' END AS mail,
+ CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'first ' || word || chr(10) || '  indented: yes' || chr(10) || chr(10) || 'last' || chr(10) END AS summary, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'folded ' || word || ' over lines' END AS note,
+ CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 3 END AS n_tags, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'a, ' || lang END AS second_tag, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(n_chars AS VARCHAR) END AS size, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'it''s ' || word END AS said FROM headed""")
+def header_fields(spark, sf_dir):
+    """Nested headers of pages, written over the documents; every seventh can't be read."""
+    word = F.coalesce(F.nullif(F.regexp_extract("text", "^[A-Za-z]+", 0), F.lit("")), F.lit("None"))
+    lines = [F.concat(F.lit('title: "'), word, F.lit(': the \\"'), "doc_id", F.lit('\\""')), F.lit("owner:"), F.concat(F.lit("  name: "), "source", F.lit("  # who")), F.lit("  contact:"), F.concat(F.lit("    mail: "), "lang", F.lit("@"), "source", F.lit(".org")),
+             F.lit("summary: |"), F.concat(F.lit("  first "), word), F.lit("    indented: yes"), F.lit(""), F.lit("  last"), F.lit("note: >-"), F.concat(F.lit("  folded "), word), F.lit("  over lines"),
+             F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("tags: [x, 'a, "), "lang", F.lit("', {k: v}]"))).otherwise(F.concat(F.lit("tags:\n- x\n- a, "), "lang", F.lit("\n- k: v"))), F.concat(F.lit("parts:\n  - size: "), "n_chars", F.lit("\n    said: 'it''s\n      "), word, F.lit("'"))]
+    broken = F.when(F.col("doc_id") % 7 == 0, "open: [1, 2\n").otherwise("")
+    pages = t.given(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("---\n"), broken, F.concat_ws("\n", *lines), F.lit("\n---\n"), "text").alias("content"))
+    rows, get = yaml.with_header(pages), lambda path: yaml.at("header", path)
+    tags = F.size(F.array_distinct(F.transform(F.filter(F.map_keys("header"), lambda k: k.startswith("tags[")), lambda k: F.regexp_extract(k, r"^tags\[(\d+)\]", 1))))
+    return rows.select("doc_id", get("title").alias("title"), get("owner.name").alias("owner"), get("owner.contact.mail").alias("mail"), get("summary").alias("summary"), get("note").alias("note"), tags.alias("n_tags"), get("tags[1]").alias("second_tag"), get("parts[0].size").alias("size"), get("parts[0].said").alias("said"))
+
+
 @query(f"""WITH {WIKI}, h AS (SELECT repo_id, substr(filename, 1, 6) AS range, filename, sha1(filename || chr(31) || content) AS h FROM wiki), p AS (SELECT repo_id, range, count(*) AS n, sha1(string_agg(h, '' ORDER BY filename)) AS h FROM h GROUP BY ALL)
 SELECT repo_id, 'n=' || CAST(sum(n) AS BIGINT) || ';h=' || substr(sha1(string_agg(h, '' ORDER BY range)), 1, 16) AS signature FROM p GROUP BY repo_id""")
 def content_signature(spark, sf_dir):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as X
+from kbspark.sources.html import html_markdown
 
 #: Extensions that can be uploaded.
 EXTENSIONS = ("md", "txt", "csv", "xlsx", "xls", "pdf", "docx", "doc", "pptx", "ppt", "png", "jpg", "jpeg")
@@ -101,22 +101,15 @@ def url_slug(url: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, 60)
 
 
-_DROP = re.compile(r"(?is)<(script|style|nav|header|footer|aside|noscript|svg)\b.*?</\1\s*>|<!--.*?-->|<img\b[^>]*>")
+def web_text(pages: DataFrame, *keep: str) -> DataFrame:
+    """(keep, content): the main part of web pages (html) as Markdown."""
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(content=[html_markdown(h) for h in pdf["html"]]).drop(columns="html")
 
-def html_markdown(html: str | None) -> str:
-    """The main part of a page as Markdown: headings, list items and links stay, images and page furniture go."""
-    body = _DROP.sub(" ", html or "")
-    main = re.search(r"(?is)<(article|main)\b[^>]*>(.*?)</\1\s*>", body)
-    body = main[2] if main else (re.search(r"(?is)<body\b[^>]*>(.*?)</body\s*>", body) or [body, body])[1]
-    body = re.sub(r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", lambda m: f"[{re.sub('<[^>]+>', '', m[2]).strip()}]({m[1]})", body)
-    body = re.sub(r"(?is)<h([1-6])\b[^>]*>", lambda m: "\n\n" + "#" * int(m[1]) + " ", body)
-    body = re.sub(r"(?is)<li\b[^>]*>", "\n- ", body)
-    body = re.sub(r"(?is)<br\s*/?>|</(p|div|h[1-6]|ul|ol|table|tr|section)\s*>|<(p|div|section)\b[^>]*>", "\n", body)
-    import html as entities
-
-    lines = [re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in entities.unescape(re.sub(r"<[^>]+>", " ", body)).split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    return pages.select(*keep, "html").mapInPandas(run, f"{kinds}, content string")
 
 
 def web_sources(pages: DataFrame) -> DataFrame:
@@ -128,13 +121,7 @@ def web_sources(pages: DataFrame) -> DataFrame:
     numbered = Window.partitionBy("slug").orderBy("page_id", "url")
     rows = pages.withColumn("slug", url_slug(F.col("url"))).withColumn("n", F.row_number().over(numbered) - 1)
     rows = rows.withColumn("filename", F.concat("slug", F.when(F.col("n") > 0, F.concat(F.lit("-"), F.col("n"))).otherwise(""), F.lit(".md")))
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(html=[html_markdown(h) for h in pdf["html"]])
-
-    rows = rows.select("page_id", "url", "filename", "html").mapInPandas(run, "page_id long, url string, filename string, html string")
-    return rows.select("page_id", "url", "filename", F.concat(F.lit("---\nsource: "), F.col("url"), F.lit("\n---\n\n"), F.col("html")).alias("content"))
+    return web_text(rows, "page_id", "url", "filename").withColumn("content", F.concat(F.lit("---\nsource: "), F.col("url"), F.lit("\n---\n\n"), F.col("content")))
 
 
 def merge_topic(pages: DataFrame, topic: str, order: str, text: str, origin: str) -> DataFrame:
