@@ -56,14 +56,18 @@ class Prefixes:
     """Hashes of any substrings of one byte array: equal substrings have equal hashes.
 
     A hash joins two polynomials: one modulo 2^64, and one modulo a prime, which no pattern in the bytes
-    makes vanish along with the first.
+    makes vanish along with the first. With rough, where different substrings may share a hash, the first will do.
     """
 
-    def __init__(self, data: np.ndarray, letters: np.ndarray = LETTERS):
+    def __init__(self, data: np.ndarray, letters: np.ndarray = LETTERS, rough: bool = False):
+        self.rough = rough
         powers, self.inverse, second, self.second_inverse = _grown(len(data) + 1)
-        self.sums, self.second = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
         values = letters[data]
         np.cumsum(values * powers[:-1], out=self.sums[1:])
+        if rough:
+            return
+        self.second = np.zeros(len(data) + 1, np.uint64)
         # terms below 2^62 brought below 2^32, so sums of 2^32 of them fit
         values >>= np.uint64(33)
         values *= second[:-1]
@@ -71,6 +75,8 @@ class Prefixes:
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
         first = (self.sums[start + length] - self.sums[start]) * self.inverse[start]
+        if self.rough:
+            return first
         second = (self.second[start + length] - self.second[start]) % _PRIME * self.second_inverse[start] % _PRIME
         return first + mix(second, 7)
 

@@ -83,7 +83,7 @@ def _emit_suffixes(length: int, schema: T.StructType):
             data = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum([len(t) for t in texts])
             starts = ends - [len(t) for t in texts]
-            at, first, last = anchors(data, starts, ends, length, Prefixes(data))
+            at, first, last = anchors(data, starts, ends, length, Prefixes(data, rough=True))
             if not len(at):
                 continue
             own = np.searchsorted(ends, first, "right")
