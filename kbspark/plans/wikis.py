@@ -10,7 +10,7 @@ from kbspark.operators import access, evidence, graph, lexical, literal, logs
 from kbspark.plans import tables as t
 from kbspark.plans.registry import query
 from kbspark.plans.search import ASKED, TOKENS, bm25_cte, postings
-from kbspark.sources import files, store
+from kbspark.sources import files, merged, store
 
 WIKI = t.WIKI
 LINKED = f"{WIKI}, edges AS (SELECT repo_id, filename AS source, target FROM wiki), found AS (SELECT e.* FROM edges e JOIN wiki w ON w.repo_id = e.repo_id AND w.filename = e.target)"
@@ -36,6 +36,22 @@ def upsert_latest(spark, sf_dir):
     return store.upsert(part.withColumn("version", F.lit(1)), two, ["p_partkey"], ["version"])
 
 
+@query("""SELECT p_partkey, p_name, CASE WHEN p_partkey % 100 = 7 THEN 3 ELSE 1 END AS version FROM (SELECT p_partkey, CASE WHEN p_partkey % 100 = 7 THEN upper(p_name) ELSE p_name END AS p_name FROM part WHERE p_partkey % 50 <> 11)
+UNION ALL SELECT -p_partkey, p_name, 2 FROM part WHERE p_partkey % 100 = 3""")
+def merged_table(spark, sf_dir):
+    """A keyed table after an upsert of 1 % of its keys, new keys, a deletion and a folding."""
+    part = t.given(spark, sf_dir, "part").select("p_partkey", "p_name")
+    path = store.scratch(spark)
+    table = merged.MergedTable(spark, path, ["p_partkey"], buckets=8)
+    table.upsert(part.withColumn("version", F.lit(1)))
+    table.fold()
+    some = part.filter("p_partkey % 100 = 7")
+    table.upsert(some.withColumn("version", F.lit(2)).union(some.select("p_partkey", F.upper("p_name"), F.lit(3))), ["version"])
+    table.upsert(part.filter("p_partkey % 100 = 3").select((-F.col("p_partkey")).alias("p_partkey"), "p_name", F.lit(2).alias("version")))
+    table.delete(part.filter("p_partkey % 50 = 11"))
+    return table.read()
+
+
 @query("SELECT * FROM part WHERE p_size <> 10")
 def delete_by_key(spark, sf_dir):
     part = t.given(spark, sf_dir, "part")
