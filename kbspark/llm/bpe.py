@@ -31,7 +31,7 @@ from kbspark.llm.common import in_arrow, slices
 #: Code points of a leaf of a text, and of a leaf of a run without blanks.
 LEAF_CHARS, RUN_CHARS = 2048, 256
 #: Words whose encodings a Python worker keeps from one slice of texts to the next, at most, and words that are handed to the library as one text.
-KEPT_WORDS, LIBRARY_WORDS = 300_000, 100
+KEPT_WORDS, LIBRARY_WORDS = 150_000, 100
 _encoders: dict[str, TreeEncoder] = {}
 
 

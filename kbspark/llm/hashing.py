@@ -82,7 +82,7 @@ class Prefixes:
 
 
 #: Bytes over which sums are held at once for the hashes of words.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
 #: A to Z count as a to z.

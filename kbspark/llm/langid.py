@@ -24,6 +24,8 @@ from kbspark.llm.hashing import mix
 
 #: Labelled rows of each language that are learned from, at most.
 SAMPLE_ROWS = 80
+#: Bytes of texts that are told at once, unless one is longer.
+SLICE_BYTES = 1 << 19
 #: Words of a run.
 SEGMENT_WORDS = 12
 BUCKETS = 1 << 16
@@ -59,14 +61,20 @@ def find_words(texts: list[str]) -> Words:
     edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
     starts, lengths = edges[::2], edges[1::2] - edges[::2]
     # a hash of each word: the sum of a number for each letter at its place in the word
-    letters = points[inside].astype(np.uint64)
+    letters = points[inside]
     begin = np.cumsum(lengths) - lengths  # of each word in letters
-    place = np.arange(len(letters), dtype=np.int64) - np.repeat(begin, lengths)
-    sums = np.r_[np.uint64(0), np.cumsum(mix(letters | place.astype(np.uint64) << np.uint64(21), 61))]
+    place = np.arange(len(letters), dtype=np.uint64)
+    place -= np.repeat(begin.astype(np.uint64), lengths)
+    place <<= np.uint64(21)
+    place |= letters
+    sums = np.r_[np.uint64(0), np.cumsum(mix(place, 61))]
     hashes = mix(sums[begin + lengths] - sums[begin], 62)
+    del place, sums
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     known = first[which]
-    if not (np.array_equal(lengths[known], lengths) and np.array_equal(letters[np.repeat(begin[known], lengths) + place], letters)):
+    moved = np.repeat(begin[known] - begin, lengths)  # to the letter of the word that comes first
+    moved += np.arange(len(letters))
+    if not (np.array_equal(lengths[known], lengths) and np.array_equal(letters[moved], letters)):
         # two words with one hash: they stay apart
         ids: dict[bytes, int] = {}
         which = np.array([ids.setdefault(points[s : s + k].tobytes(), len(ids)) for s, k in zip(starts, lengths)])
@@ -262,7 +270,7 @@ def identify(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id"
     no letter, and any text if nothing could be learned, gets `und` and 0. Without a field, one is
     fitted on docs' own labelled rows whose crc32(id) mod 3 isn't 1; predictions see the text alone.
     Ids may be null (never learned from) or repeated; other columns play no part. Whole texts are told,
-    1 MB of them at a time unless one is longer. A kept column that has a result's name comes out with
+    SLICE_BYTES of them at a time unless one is longer. A kept column that has a result's name comes out with
     an underscore in front. An empty table gives an empty one.
     """
     if field is None:
@@ -274,7 +282,7 @@ def identify(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id"
     schema = T.StructType([*[T.StructField(f"_{c}" if c.lower() in clash else c, docs.schema[c].dataType) for c in kept], *results])
 
     def run(batches):
-        for batch in slices(batches, place):
+        for batch in slices(batches, place, SLICE_BYTES):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             lang, score, shares = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if field is not None:

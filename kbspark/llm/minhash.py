@@ -28,6 +28,8 @@ from kbspark.llm.hashing import mix, shingle_sets
 BAND_ROWS = 4
 #: Chance of two documents at the threshold to share no bucket, at most.
 MISSED = 1e-5
+#: Bytes of texts whose shingles are held at once, unless one is longer.
+SLICE_BYTES = 1 << 19
 #: Shingles of the documents in a block and documents in a block, on average, at most.
 BLOCK_ITEMS, BLOCK_ROWS = 100_000, 1000
 
@@ -59,7 +61,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE_BYTES):
             sets = shingle_sets([t or b"" for t in batch.column(1).to_pylist()], k)
             full = [s for s in sets if len(s)]
             hashed = np.zeros((len(full), bands), np.uint64)
@@ -81,7 +83,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
     """(key, items) for the wanted (doc_id, key)."""
 
     def run(batches):
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE_BYTES):
             sets = shingle_sets(batch.column(1).to_pylist(), k)
             asked = batch.column(0).to_pylist()
             held = [(w, s) for w, s in zip(asked, sets) if len(s) and _set_key(s) == w]
