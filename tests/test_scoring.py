@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kbspark.operators import fusion, lexical, scoring
+from kbspark.operators import access, fusion, lexical, scoring
 
 
 @pytest.mark.parametrize("collapse", [False, True])
@@ -58,3 +58,12 @@ def test_best_facts_of_all_pairs(spark, monkeypatch, limits):
     want = [(q, i, n + 1) for q in range(5) for n, (_, i) in enumerate(sorted((-round(s, 6), i) for (a, i), s in every.items() if a == q)[:6])]
     best = fusion.exact_fact_topk(asked, facts, 6, 6)
     assert sorted((r.query_id, r.id, r.rank) for r in best.collect()) == sorted(want)
+
+
+def test_repositories_are_not_paired_with_questions(spark):
+    repos = spark.createDataFrame([(100 - i, "tea shop" if i % 2 else "coffee", "tea" if i % 3 else "the", i) for i in range(60)], "repo_id int, name string, description string, pos int")
+    asked = spark.createDataFrame([(q, "find the tea shop" if q % 2 else "coffee and tea") for q in range(30)] + [(99, "none")], "query_id int, question string")
+    got = access.preselect(asked, repos, 3)
+    found = {q: [(r.repo_id, r.points) for r in sorted(got.filter(F.col("query_id") == q).collect(), key=lambda r: r.rank)] for q in (0, 1, 99)}
+    assert found == {0: [(99, 3.0), (98, 3.0), (96, 3.0)], 1: [(99, 5.0), (95, 5.0), (93, 5.0)], 99: [(100, 0.0), (99, 0.0), (98, 0.0)]}
+    assert got.count() == 93
