@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from kbspark.operators.lexical import best
 
 #: Vectors, and queries, that one task holds at a time, on average.
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+#: Queries that are held against a block of vectors at once.
+SLICE_ROWS = 128
 
 
 def semantic_search(queries: DataFrame, page_vectors: DataFrame, k: int = 15) -> DataFrame:
@@ -30,37 +33,52 @@ def usable(rows: DataFrame, column: str) -> DataFrame:
     return rows.filter(F.col(column).isNotNull() & (F.size(column) > 0) & ~bad)
 
 
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    m = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def nearest(asked: pa.Table, rows: pa.Table, wide: int) -> pa.Table:
+    """(repo_id, query_id, id, file, score): of each query (q, and low if it is there) the `wide` best rows (id, file, v), ties to the smaller id; none clearly below low."""
+    rows = rows.select(["id", "file", "v"]).take(pc.sort_indices(rows.column("id")))
+    n, at, near, scores = rows.num_rows, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if n and asked.num_rows:
+        q, v = _unit(asked.column("q")), _unit(rows.column("v"))
+        low = asked.column("low").to_numpy().astype(np.float64) if "low" in asked.column_names else np.full(len(q), np.nan)
+        low = np.where(np.isnan(low), -np.inf, low - 1e-9)
+        for begin in range(0, len(q), SLICE_ROWS):
+            score = q[begin : begin + SLICE_ROWS] @ v.T
+            kept = score >= low[begin : begin + SLICE_ROWS, None]
+            if n > wide and kept.sum(axis=1).max() > wide:
+                least = np.partition(score, n - wide, axis=1)[:, n - wide, None]
+                most, same = score > least, score == least
+                kept &= most | same & (np.cumsum(same, axis=1) <= wide - most.sum(axis=1, keepdims=True))
+            r, c = np.nonzero(kept)
+            at.append(r + begin)
+            near.append(c)
+            scores.append(score[r, c])
+    at, near = pa.array(np.concatenate(at)), pa.array(np.concatenate(near))
+    return pa.table([asked.column("repo_id").take(at), asked.column("query_id").take(at), rows.column("id").take(near), rows.column("file").take(near), pa.array(np.concatenate(scores))], names=["repo_id", "query_id", "id", "file", "score"])
+
+
 def block_topk(queries: DataFrame, vectors: DataFrame, keys: list[str], wide: int, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(repo_id, query_id, id, file, score): of each query and block of vectors the best `wide` by cosine, among those with equal keys.
 
-    queries: (keys, query_id, q); vectors: (keys, id, file, v); `repo_id` is one of the keys. The rows of a
-    key are dealt into blocks by their number, and each pair of a query block and a vector block is one task.
+    queries: (keys, query_id, q), and low, a score that a hit must reach, or null; vectors: (keys, id, file, v);
+    `repo_id` is one of the keys. The rows of a key are dealt into blocks by their number, and each pair of a
+    query block and a vector block is one task.
     """
     count = lambda rows, most, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    blocks = count(queries, QUERY_ROWS, "nq").join(count(vectors, block_rows, "nv"), keys)
+    blocks = F.broadcast(count(queries, QUERY_ROWS, "nq").join(count(vectors, block_rows, "nv"), keys))  # one small row for each key
     left = queries.join(blocks, keys).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))).drop("nq", "nv")
     right = vectors.join(blocks, keys).withColumn("vb", F.pmod(F.xxhash64("id"), F.col("nv")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq", "nv")
 
-    def unit(rows):
-        m = np.array(rows.tolist(), np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            b = b.sort_values("id", ignore_index=True)
-            scores = unit(a["q"]) @ unit(b["v"]).T
-            for i, query in enumerate(a["query_id"]):
-                near = np.argsort(-scores[i], kind="stable")[: wide + exclude_self]
-                out.append(pd.DataFrame({"repo_id": a["repo_id"].iat[i], "query_id": query, "id": b["id"].to_numpy()[near], "file": b["file"].to_numpy()[near], "score": scores[i][near]}))
-        return pd.concat(out) if out else pd.DataFrame({"repo_id": [], "query_id": [], "id": [], "file": [], "score": []})
-
     kind = lambda rows, c: rows.schema[c].dataType.simpleString()
     schema = f"repo_id {kind(queries, 'repo_id')}, query_id {kind(queries, 'query_id')}, id {kind(vectors, 'id')}, file {kind(vectors, 'file')}, score double"
     deal = [*keys, "qb", "vb"]
     # both sides may come from one table: their columns get identities of their own
     left, right = (rows.select(*[F.col(c).alias(c) for c in rows.columns]) for rows in (left, right))
-    hits = left.groupBy(*deal).cogroup(right.groupBy(*deal)).applyInPandas(search, schema)
+    hits = left.groupBy(*deal).cogroup(right.groupBy(*deal)).applyInArrow(lambda a, b: nearest(a, b, wide + exclude_self), schema)
     return hits.filter("id != query_id") if exclude_self else hits
 
 

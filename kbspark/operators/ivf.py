@@ -109,7 +109,7 @@ def build_ivf(vectors: DataFrame, path: str, n_cells: int | None = None) -> Ivf:
 def nearest_cells(queries: DataFrame, index: Ivf) -> DataFrame:
     """(repo_id, query_id, q, near): all cells, nearest centre first, each with the best cosine that a vector in it can have."""
     known = index.centres.orderBy("cell").collect()  # MOST_CELLS at most
-    cells, centres = np.array([r.cell for r in known]), np.array([r.centre for r in known], np.float64)
+    cells, centres = np.array([r.cell for r in known], np.int32), np.array([r.centre for r in known], np.float64)
     widest = np.arccos(np.clip([r.least for r in known], -1, 1))
     width = centres.shape[1] if len(known) else 0
 
@@ -120,17 +120,18 @@ def nearest_cells(queries: DataFrame, index: Ivf) -> DataFrame:
                 angle = np.arccos(np.clip(unit(_matrix(part.column(2), width)) @ centres.T, -1, 1))
                 bound = np.cos(np.maximum(0, angle - widest))
                 order = np.argsort(angle, axis=1, kind="stable")
-                near = [[{"cell": int(cells[c]), "bound": float(bound[i, c])} for c in order[i]] for i in range(len(order))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near, pa.list_(pa.struct([("cell", pa.int32()), ("bound", pa.float64())])))], names=["repo_id", "query_id", "q", "near"])
+                near = pa.StructArray.from_arrays([pa.array(cells[order].ravel(), pa.int32()), pa.array(np.take_along_axis(bound, order, axis=1).ravel(), pa.float64())], names=["cell", "bound"])
+                ends = pa.array(np.arange(len(order) + 1, dtype=np.int32) * len(cells))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, near)], names=["repo_id", "query_id", "q", "near"])
 
     rows = usable(queries, "embedding")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("repo_id", "query_id")}
-    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", q array<double>, near array<struct<cell: int, bound: double>>"
-    return rows.select("repo_id", "query_id", F.col("embedding").cast("array<double>").alias("q")).mapInArrow(rank, schema)
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + f", q {rows.schema['embedding'].dataType.simpleString()}, near array<struct<cell: int, bound: double>>"
+    return rows.select("repo_id", "query_id", F.col("embedding").alias("q")).mapInArrow(rank, schema)
 
 
 def _probe(asked: DataFrame, index: Ivf, wide: int, exclude_self: bool) -> DataFrame:
-    """asked: (repo_id, query_id, q, cell). Reads the folders of the asked cells alone."""
+    """asked: (repo_id, query_id, q, cell), and low, see block_topk(). Reads the folders of the asked cells alone."""
     cells = [r.cell for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
     return block_topk(asked, index.cells.filter(F.col("cell").isin(cells)).drop("fit"), ["repo_id", "cell"], wide, exclude_self)
 
@@ -155,7 +156,7 @@ def ivf_topk(queries: DataFrame, index: Ivf, k: int, probes: int = 8, exact: boo
         rest = near.withColumn("near", F.slice("near", probes + 1, F.greatest(F.size("near") - probes, F.lit(0)))).join(last, ["repo_id", "query_id"], "left")
         # cosines are worked out in doubles: a cell is left out only if its bound is clearly too low
         rest = rest.select("repo_id", "query_id", "q", "low", F.inline("near")).filter(F.col("low").isNull() | (F.col("bound") >= F.col("low") - 1e-6))
-        hits = best(hits.unionByName(_probe(rest.drop("low", "bound"), index, wide, exclude_self)), wide).drop("rank")
+        hits = best(hits.unionByName(_probe(rest.drop("bound"), index, wide, exclude_self)), wide).drop("rank")
     hits = hits if threshold is None else hits.filter(F.col("score") >= threshold)
     if per_file:
         in_file = Window.partitionBy("repo_id", "query_id", "file").orderBy(F.desc("score"), "id")

@@ -44,6 +44,15 @@ def test_exact_search_of_cells_misses_nothing(spark, tmp_path, cells):
     assert hits(ivf.ivf_topk(asked, index, 4, probes=2, exact=True, **options)) == hits(dense.dense_topk(asked, df, 4, **options))
 
 
+def test_blocks_hand_on_what_reaches_the_known_score(spark):
+    rows = vectors(spark).filter("id % 7 != 3")
+    asked = asked_of(ivf.usable(rows, "embedding")).select("repo_id", "query_id", F.col("embedding").alias("q"), F.when(F.col("query_id") % 80 == 0, F.lit(0.99)).alias("low"))
+    held = ivf.usable(rows, "embedding").select("repo_id", "id", "file", F.col("embedding").alias("v"))
+    free = {r[:4]: r.score for r in dense.block_topk(asked.drop("low"), held, ["repo_id"], 30).collect()}
+    found = {r[:4]: r.score for r in dense.block_topk(asked, held, ["repo_id"], 30).collect()}
+    assert found == {k: s for k, s in free.items() if k[1] % 80 or s >= 0.99} and len(found) < len(free)
+
+
 def test_few_probes_find_most_and_read_little(spark, tmp_path):
     df = vectors(spark, n=1500)
     index = ivf.build_ivf(df, f"file://{tmp_path}/i")
