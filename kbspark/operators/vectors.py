@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +42,62 @@ def _bits(total: int) -> int:
     return int(np.clip(round(np.log2(max(total, 1))) - 2, 4, 24))
 
 
+def _linked(width: int, threshold: float):
+    """Of rows (scope, code, i, j, block, kind, v), those of a bucket and pair of blocks side by side: a spanning forest (a, b) of each bucket's near pairs.
+
+    Buckets are small and many, so a task goes through those of a batch one after the other; only the last one waits for the next batch.
+    """
+
+    def forest(m, kinds, left, right, out):
+        near = m[left] @ m[right].T >= threshold
+        if left is right:
+            if np.count_nonzero(near) == np.count_nonzero(near.diagonal()):
+                return
+            near = np.triu(near, 1)
+        parent = {}
+
+        def top(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        a, b = np.nonzero(near)
+        for x, y in zip(left[a].tolist(), right[b].tolist()):
+            u, w = top(x), top(y)
+            if u != w:
+                parent[u] = w
+                out.append((kinds[x], kinds[y]))
+
+    def links(rows: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        m = rows.column(6).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        i, j, block, kinds = (rows.column(c).to_numpy() for c in (2, 3, 4, 5))
+        every, same, out = np.arange(len(m)), (i == j).tolist(), []
+        for begin, end in zip([0, *ends], ends):
+            if end - begin > 1:
+                part = every[begin:end]
+                here = block[begin:end]
+                forest(m, kinds, part if same[begin] else part[here == i[begin]], part if same[begin] else part[here == j[begin]], out)
+        return pa.RecordBatch.from_pydict({"a": [int(x) for x, _ in out], "b": [int(y) for _, y in out]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held.num_rows + batch.num_rows else batch
+            new = np.zeros(max(rows.num_rows - 1, 0), bool)
+            for c in range(4):
+                new |= pc.not_equal(rows.column(c)[1:], rows.column(c)[:-1]).to_numpy(zero_copy_only=False)
+            ends = (np.flatnonzero(new) + 1).tolist()
+            if ends:
+                yield links(rows.slice(0, ends[-1]), ends)
+            held = rows.slice(ends[-1] if ends else 0)
+        if held is not None and held.num_rows:
+            yield links(held, [held.num_rows])
+
+    return run
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, across: bool = True, bands: int = BANDS, flips: int = FLIPS) -> DataFrame:
     """(repo_id, id, group_repo, group_id, members): groups of two or more vectors that are connected by cosines of `threshold` or more.
 
@@ -57,6 +113,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, across: bool = True
     rows.withColumn("key", F.md5(F.to_json(F.struct("scope", "v")).cast("binary"))).write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     kinds = rows.groupBy("key").agg(F.first("scope").alias("scope"), F.first("v").alias("v"))
+    kinds.withColumn("kind", F.monotonically_increasing_id()).write.parquet(f"{path}/kinds")
+    kinds = spark.read.parquet(f"{path}/kinds")
     total = kinds.count()
     width = rows.select(F.size("v")).first()[0] if total else 1
     bits = _bits(total)
@@ -71,42 +129,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, across: bool = True
             code = ((side > 0) * weights).sum(axis=2)
             near = np.argsort(np.abs(side), axis=2, kind="stable")[:, :, :flips]
             tried = np.concatenate([code[:, :, None], code[:, :, None] ^ weights[near]], axis=2) + (np.arange(bands)[None, :, None] << bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(tried.reshape(len(m), -1)), pa.list_(pa.int64()))], names=["key", "scope", "codes"])
-
-    kinds.select("key", "scope", "v").mapInArrow(hash_signs, f"key string, scope {scope}, codes array<bigint>").write.parquet(f"{path}/codes")
-    members = spark.read.parquet(f"{path}/codes").select("key", "scope", F.explode("codes").alias("code"))
-    shared = members.groupBy("scope", "code").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
-    dealt = members.join(shared, ["scope", "code"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+            ends = pa.array(np.arange(len(m) + 1, dtype=np.int32) * (tried.size // max(len(m), 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(tried.ravel()))], names=["kind", "scope", "v", "codes"])
+
+    kinds.select("kind", "scope", "v").mapInArrow(hash_signs, f"kind bigint, scope {scope}, v array<float>, codes array<bigint>").write.parquet(f"{path}/codes")
+    members = spark.read.parquet(f"{path}/codes").select("scope", F.explode("codes").alias("code"), "kind", "v")
+    many = members.groupBy("scope", "code").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_ROWS).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    many.write.parquet(f"{path}/many")
+    many = spark.read.parquet(f"{path}/many").select("scope", "code", "blocks")
+    dealt = members.join(many, ["scope", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("kind"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
-    dealt = dealt.select("scope", "code", "key", "block", F.inline(pairs)).join(kinds.select(F.col("key").alias("k"), "v"), F.col("key") == F.col("k")).drop("k")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j, block = frame["i"].iat[0], frame["j"].iat[0], frame["block"].to_numpy()
-        m = np.array(frame["v"].tolist(), np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        parent, keys, out = np.arange(len(frame)), frame["key"].tolist(), []
-
-        def top(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in zip(*np.nonzero(m[left] @ m[right].T >= threshold)):
-            x, y = top(left[a]), top(right[b])
-            if x != y:
-                parent[x] = y
-                out.append((keys[left[a]], keys[right[b]]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    dealt.groupBy("scope", "code", "i", "j").applyInPandas(compare, "a string, b string").distinct().write.parquet(f"{path}/links")
+    by = ["scope", "code", "i", "j"]
+    dealt = dealt.select("scope", "code", "kind", "v", "block", F.inline(pairs)).select(*by, "block", "kind", "v").repartition(*by).sortWithinPartitions(*by)
+    dealt.mapInArrow(_linked(width, threshold), "a bigint, b bigint").distinct().write.parquet(f"{path}/links")
     links = spark.read.parquet(f"{path}/links")
     labels = components(links, f"{path}/rounds")
-    named = rows.select("repo_id", "id", "key").join(labels, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
+    named = rows.select("repo_id", "id", "key").join(kinds.select("key", "kind"), "key")
+    named = named.join(labels, F.col("kind") == F.col("node"), "left").withColumn("label", F.coalesce("label", "kind"))
     groups = named.groupBy("label").agg(F.min(F.struct("repo_id", "id")).alias("first"), F.count("*").alias("members")).filter("members > 1")
     out = named.join(groups, "label").select("repo_id", "id", F.col("first.repo_id").alias("group_repo"), F.col("first.id").alias("group_id"), "members")
     out.write.parquet(f"{path}/out")
-    for part in ("rows", "codes", "links", "rounds"):
+    for part in ("rows", "kinds", "codes", "many", "links", "rounds"):
         remove(spark, f"{path}/{part}")
     return spark.read.parquet(f"{path}/out")

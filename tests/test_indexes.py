@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,14 @@ def test_pairs_at_the_threshold_are_rarely_missed(spark):
 
 def test_no_near_vectors(spark):
     assert near.near_vectors(spark.createDataFrame([], "repo_id long, id long, embedding array<float>")).count() == 0
+
+
+def test_small_buckets_share_a_task(spark):
+    """Buckets are many: they come to Python as rows in order, not one call for each."""
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(50, 8))
+    rows = [(0, code, 0, 0, 0, 2 * code + side, m[code % 50] + side * 0.001) for code in range(400) for side in (0, 1)]
+    names = ["scope", "code", "i", "j", "block", "kind", "v"]
+    batches = [pa.RecordBatch.from_pydict({n: [r[c].tolist() if n == "v" else r[c] for r in rows[at : at + 7]] for c, n in enumerate(names)}) for at in range(0, len(rows), 7)]
+    found = [pair for out in near._linked(8, 0.9)(iter(batches)) for pair in zip(*out.to_pydict().values())]
+    assert sorted(found) == [(2 * code, 2 * code + 1) for code in range(400)]
