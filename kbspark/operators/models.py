@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,11 @@ Embedder = Callable[[list[str]], list[list[float]]]
 TextModel = Callable[[str], str]
 
 
+@lru_cache(maxsize=1 << 18)
+def _digest(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
+
+
 def hash_embedder(dim: int = 64) -> Embedder:
     """A deterministic embedder without a model: signed counts of hashed words, of unit length."""
 
@@ -25,7 +31,7 @@ def hash_embedder(dim: int = 64) -> Embedder:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
+                h = _digest(w)
                 out[i, h % dim] += 1 if h >> 63 else -1
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 

@@ -151,6 +151,13 @@ def test_levels_are_cut_where_the_rest_stays_below():
     assert all(u == 0 for _, u, _ in ((r.cut, r.unread, r.blocks_read) for r in impacts.cut_levels(rows).itertuples()))
 
 
+def test_postings_keep_what_stands_beside_the_text(spark):
+    """A chunk's place and vector are written with its words, so its text is worked on once."""
+    docs = spark.createDataFrame([(0, "a#0", "x y x", "a", 0, [1.0]), (0, "a#1", None, "a", 1, None)], "repo_id long, id string, text string, filename string, position int, embedding array<float>")
+    held = lexical.written(lexical.build_postings(docs, "id", "text", keep=("filename", "position", "embedding"))).docs
+    assert {r.id: (r.length, r.filename, r.position, r.embedding) for r in held.collect()} == {"a#0": (3, "a", 0, [1.0]), "a#1": (0, "a", 1, None)}
+
+
 # -- literal search
 
 
