@@ -22,11 +22,13 @@ from kbspark.sources.store import scratch
 MOST_GRAMS = 4
 #: Folders of grams and of pages; characters of pages whose grams are sorted at once.
 FOLDERS, SORTED_CHARS = 64, 2 << 20
+#: Tasks that the stretches of a folder are dealt to.
+SPREAD = 16
 
 
 @dataclass(frozen=True)
 class GramIndex:
-    """grams: (repo_id, gram, page[], at[], folder); counts: (repo_id, gram, n); pages: (repo_id, filename, page, content, part)."""
+    """grams: (repo_id, gram, first, n, places, folder), see packed(); counts: (repo_id, gram, n); pages: (repo_id, filename, page, content, part)."""
 
     grams: DataFrame
     counts: DataFrame
@@ -37,7 +39,7 @@ class GramIndex:
         counts = spark.read.parquet(f"{path}/counts")
         repo = counts.schema["repo_id"].dataType.simpleString()
         # named, as folders of an empty index hold no file
-        grams = spark.read.schema(f"repo_id {repo}, gram bigint, page array<bigint>, at array<int>, folder int").parquet(f"{path}/grams")
+        grams = spark.read.schema(f"repo_id {repo}, gram bigint, first bigint, n int, places binary, folder int").parquet(f"{path}/grams")
         return GramIndex(grams, counts, spark.read.schema(f"repo_id {repo}, filename string, content string, page bigint, part int").parquet(f"{path}/pages"))
 
 
@@ -47,9 +49,54 @@ def gram_keys(text: str) -> np.ndarray:
     return points[:-2] << 42 | points[1:-1] << 21 | points[2:]
 
 
+def packed(page: np.ndarray, at: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Places (page, at) as bytes, one value for each row that begins at starts: steps from page to page, and positions that start anew on each page, as groups of seven bits, the last with its high bit unset."""
+    begin = np.zeros(len(page), bool)
+    begin[starts] = True
+    step = np.diff(page, prepend=0)
+    step[begin] = 0
+    far = np.where(begin | (step != 0), at, np.diff(at, prepend=0))
+    numbers = np.stack([step, far], axis=1).ravel().astype(np.int64)
+    # the step is left out where the page stays: the position's lowest bit says so
+    numbers[1::2] = numbers[1::2] << 1 | (step != 0)
+    kept = np.ones(len(numbers), bool)
+    kept[0::2] = step != 0
+    # the position first, then the step that it announces
+    numbers = numbers.reshape(-1, 2)[:, ::-1].ravel()[kept.reshape(-1, 2)[:, ::-1].ravel()]
+    size = np.ones(len(numbers), np.int64)
+    for bits in range(7, 63, 7):
+        size += numbers >> bits > 0
+    ends = np.cumsum(size)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    for i in range(int(size.max(initial=0))):
+        has = size > i
+        out[ends[has] - size[has] + i] = (numbers[has] >> 7 * i & 127) | np.where(size[has] > i + 1, 128, 0)
+    # where the rows' numbers begin
+    before = np.r_[0, np.cumsum(1 + (step != 0))]
+    at_byte = np.r_[0, ends][before[np.r_[starts, len(page)]]].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at_byte), pa.py_buffer(out)])
+
+
+def unpacked(first: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(page, at) of a row's packed() places; first is the page of the first one."""
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, raw[:-1] < 128])
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]))
+    numbers = np.add.reduceat((raw & 127) << 7 * place, starts).tolist()
+    page, at, pages, ats, i = first, 0, [], [], 0
+    while i < len(numbers):
+        x, i = numbers[i], i + 1
+        if x & 1:
+            page, at, i = page + numbers[i], 0, i + 1
+        at += x >> 1
+        pages.append(page)
+        ats.append(at)
+    return np.array(pages, np.int64), np.array(ats, np.int64)
+
+
 def _postings(repo: pa.DataType):
     def rows(held) -> pa.RecordBatch:
-        repos, pages, keys = zip(*held)
+        repos, pages, keys = zip(*sorted(held, key=lambda x: x[1]))  # steps go up
         size = [len(k) for k in keys]
         listed = pa.array(repos, repo).dictionary_encode()
         code = np.repeat(listed.indices.to_numpy(zero_copy_only=False), size)
@@ -58,9 +105,9 @@ def _postings(repo: pa.DataType):
         order = np.lexsort((key, code))
         key, code = key[order], code[order]
         first = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(code) != 0)]) if len(key) else np.zeros(0, np.int64)
-        ends = pa.array(np.r_[first, len(key)].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (page, at)]
-        return pa.RecordBatch.from_arrays([listed.dictionary.take(pa.array(code[first])), pa.array(key[first]), *lists], names=["repo_id", "gram", "page", "at"])
+        page, at = page[order], at[order]
+        n = np.diff(np.r_[first, len(key)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([listed.dictionary.take(pa.array(code[first])), pa.array(key[first]), pa.array(page[first]), pa.array(n), packed(page, at, first)], names=["repo_id", "gram", "first", "n", "places"])
 
     def run(batches):
         held, total = [], 0
@@ -89,12 +136,12 @@ def build_grams(pages: DataFrame, path: str) -> GramIndex:
     stored = spark.read.schema(f"repo_id {repo}, filename string, content string, page bigint, part int").parquet(f"{path}/pages")
     texts = stored.select("repo_id", "page", F.lower("content").alias("text")).filter(F.length("text") >= 3)
     kind = texts.limit(0).toArrow().schema.field(0).type
-    found = texts.mapInArrow(_postings(kind), f"repo_id {repo}, gram bigint, page array<bigint>, at array<int>").withColumn("folder", F.pmod(F.xxhash64("repo_id", "gram"), F.lit(FOLDERS)).cast("int"))
+    found = texts.mapInArrow(_postings(kind), f"repo_id {repo}, gram bigint, first bigint, n int, places binary").withColumn("folder", F.pmod(F.xxhash64("repo_id", "gram"), F.lit(FOLDERS)).cast("int"))
     order = ["folder", "repo_id", "gram"]
-    dealt = found.repartitionByRange(*order, F.col("page")[0]).sortWithinPartitions(*order)
-    dealt.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/grams")
+    dealt = found.repartition("folder", F.pmod(F.xxhash64("first"), F.lit(SPREAD))).sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("folder").parquet(f"{path}/grams")
     grams = spark.read.schema(dealt.schema).parquet(f"{path}/grams")
-    grams.groupBy("repo_id", "gram").agg(F.sum(F.size("at")).alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
+    grams.groupBy("repo_id", "gram").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
     return GramIndex.read(spark, path)
 
 
@@ -111,6 +158,14 @@ def _query_grams(queries: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"query_id {kinds['query_id']}, repo_id {kinds['repo_id']}, offset int, gram bigint")
 
 
+def _places(batches):
+    for batch in batches:
+        found = [unpacked(first, data) for first, data in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+        row = pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found]))
+        page, at = (pa.array(np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)])) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(row) for c in range(4)], page, at], names=["query_id", "repo_id", "wanted", "offset", "page", "at"])
+
+
 def candidates(queries: DataFrame, index: GramIndex) -> DataFrame:
     """(query_id, repo_id, page): pages that hold the rarest grams of a query as far apart as the query does."""
     grams = _query_grams(queries).join(index.counts, ["repo_id", "gram"], "left")
@@ -119,9 +174,14 @@ def candidates(queries: DataFrame, index: GramIndex) -> DataFrame:
     # a gram that no page holds: nothing is found
     grams = grams.withColumns({"r": F.row_number().over(rarest), "lost": F.max(F.col("n").isNull()).over(whole), "all": F.count("*").over(whole)})
     grams = grams.filter(~F.col("lost") & (F.col("r") <= MOST_GRAMS)).select("query_id", "repo_id", "gram", "offset", F.least("all", F.lit(MOST_GRAMS)).alias("wanted"))
+    # written, so that Spark brings few grams to the index
+    path = scratch(queries.sparkSession)
+    grams.write.parquet(path)
+    grams = queries.sparkSession.read.parquet(path)
     folders = [r[0] for r in grams.select(F.pmod(F.xxhash64("repo_id", "gram"), F.lit(FOLDERS)).cast("int")).distinct().collect()]  # FOLDERS at most
-    met = index.grams.filter(F.col("folder").isin(folders)).join(grams, ["repo_id", "gram"])
-    places = met.select("query_id", "repo_id", "wanted", "offset", F.inline(F.arrays_zip("page", "at")))
+    met = index.grams.filter(F.col("folder").isin(folders)).join(grams, ["repo_id", "gram"]).select("query_id", "repo_id", "wanted", "offset", "first", "places")
+    kind = lambda c: met.schema[c].dataType.simpleString()
+    places = met.mapInArrow(_places, f"query_id {kind('query_id')}, repo_id {kind('repo_id')}, wanted {kind('wanted')}, offset int, page bigint, at bigint")
     starts = places.groupBy("query_id", "repo_id", "page", "wanted", (F.col("at") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"))
     return starts.filter("n = wanted").select("query_id", "repo_id", "page").distinct()
 

@@ -180,6 +180,19 @@ def test_grams_give_the_pages_that_a_scan_gives(spark, tmp_path, monkeypatch):
     assert exact <= near <= 1.2 * exact + 5
 
 
+def test_places_take_few_bytes():
+    rng = np.random.default_rng(8)
+    page = np.sort(rng.integers(1 << 40, (1 << 40) + 300, 2000))
+    at = np.concatenate([np.sort(rng.choice(100_000, n, replace=False)) for n in np.unique(page, return_counts=True)[1]])
+    starts = np.array([0, 1, 700, 701, 1500])
+    rows = literal.packed(page, at, starts).to_pylist()
+    ends = [*starts[1:], 2000]
+    for a, b, data in zip(starts, ends, rows):
+        p, q = literal.unpacked(int(page[a]), data)
+        assert p.tolist() == page[a:b].tolist() and q.tolist() == at[a:b].tolist()
+    assert sum(map(len, rows)) < 4 * len(page)
+
+
 def test_grams_of_no_pages(spark, tmp_path):
     index = literal.build_grams(spark.createDataFrame([], "repo_id long, filename string, content string"), f"file://{tmp_path}/g")
     asked = spark.createDataFrame([(1, 1, "abc"), (2, 1, "a")], "query_id int, repo_id long, q string")
