@@ -98,11 +98,12 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
 HOT_KEYS, SALTS = 100_000, 64
 
 
-def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread: Column) -> DataFrame:
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread: Column, hashed: bool = False) -> DataFrame:
     """Inner join of rows with the written table `keyed`: one row for each key, with n, the number of its rows (about).
 
     The rows of a hot key are spread over SALTS tasks by `spread`; keys that have more than one in
-    HOT_KEYS of the rows are few, so they are broadcast.
+    HOT_KEYS of the rows are few, so they are broadcast. hashed: a partition of `keyed` fits a task's
+    memory, so it is looked up there and the rows need not be sorted.
     """
     total = keyed.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(1000, total // HOT_KEYS)
@@ -110,7 +111,8 @@ def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread: Column) ->
     listed = F.broadcast(keyed.filter(hot).select(F.col(key).alias("__hot")))
     salted = rows.join(listed, F.col(key) == F.col("__hot"), "left")
     salted = salted.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.lit(SALTS)).cast("int"))).drop("__hot")
-    return salted.join(keyed.withColumn("__salt", F.explode(salts)), [key, "__salt"]).drop("__salt")
+    looked_up = keyed.withColumn("__salt", F.explode(salts))
+    return salted.join(looked_up.hint("shuffle_hash") if hashed else looked_up, [key, "__salt"]).drop("__salt")
 
 
 def ascii_lower(text):

@@ -7,9 +7,10 @@ and the suffixes there agree in half its length and more. An array is a table of
 cut to DEPTH bytes, in buckets by hash and in each bucket in the order of the bytes; suffixes that agree
 so far are one entry, with the least and the largest of their places.
 
-A new batch of documents gets such an array. It is merge-scanned against the arrays there are for
-suffixes that agree in DEPTH bytes (both lie in the same buckets and the same order, so nothing is
-shuffled), and arrays of equal rank merge, so that a suffix moves a logarithmic number of times.
+A new batch of documents gets such an array, and arrays of equal rank merge, so that a suffix moves a
+logarithmic number of times. The few arrays there are after the last batch are merge-scanned against
+each other for suffixes that agree in DEPTH bytes (all lie in the same buckets and the same order, so
+nothing is shuffled).
 
 The matches are then settled exactly. The strings that an anchor stands for are grouped into cells of
 32 neighbours; a cell whose bytes occur twice as a whole is settled, and only cells that share their
@@ -38,7 +39,9 @@ DEPTH = 32
 #: Documents arrive in batches of about this many bytes of text, in four batches at least.
 BATCH_BYTES, LEAST_BATCHES = 64 << 30, 4
 #: Bytes of text whose anchors are looked for at once; a longer text is taken in stretches.
-STRETCH_BYTES = 1 << 20
+STRETCH_BYTES = 1 << 18
+#: Bytes of texts whose matches are settled at once, unless one text is longer.
+SETTLED_BYTES = 1 << 18
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, prefixes: Prefixes):
@@ -48,15 +51,14 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
     long = ends - starts >= length
     if not long.any():
         return (np.zeros(0, np.int64),) * 3
-    at = np.arange(grams, dtype=np.uint64)
-    ranked = mix(prefixes.of(at.astype(np.int64), GRAM), 51) & np.uint64(0xFFFFFFFF00000000) | at
-    padded = np.full(-(-grams // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:grams] = ranked
-    blocks = padded.reshape(-1, span)
-    up = np.minimum.accumulate(blocks, axis=1).ravel()
-    down = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least, size = prefixes.every(GRAM), 1
+    least &= np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(grams, dtype=np.uint64)
+    while 2 * size <= span:  # least of 1, 2, 4 ... grams; two such runs that overlap make a window
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
     windows = grams - span + 1
-    least = np.minimum(down[:windows], up[span - 1 : span - 1 + windows]) & np.uint64(0xFFFFFFFF)
+    least = np.minimum(least[:windows], least[span - size : span - size + windows])
+    least &= np.uint64(0xFFFFFFFF)
     step = np.zeros(windows + 1, np.int32)
     np.add.at(step, starts[long], 1)
     np.add.at(step, ends[long] - length + 1, -1)
@@ -98,6 +100,23 @@ def _emit_suffixes(length: int, schema: T.StructType):
     return run
 
 
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The rows as a table in buckets by the key and in its order, so that joins by the key don't shuffle them."""
+    name, path = f"suffixes_{uuid.uuid4().hex}", shared_dir(rows.sparkSession)
+    rows.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = rows.sparkSession.table(name)
+    out.kbspark_folder, out.kbspark_table = path, name
+    return out
+
+
+def _drop(*tables: DataFrame) -> None:
+    """Deletes what _bucketed() wrote."""
+    for df in tables:
+        df.sparkSession.sql(f"DROP TABLE {df.kbspark_table}")
+    discard(*tables)
+    free_shuffles(tables[0].sparkSession)
+
+
 class SuffixLevels:
     """The family of arrays: tables (suffix, lo, hi, n) of the least and largest place and the number of rows of each suffix; sizes double from rank to rank."""
 
@@ -105,22 +124,23 @@ class SuffixLevels:
         self.spark = spark
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[int, DataFrame]] = []
-        self.matches: list[DataFrame] = []
 
-    def add(self, suffixes: DataFrame) -> None:
-        """suffixes: (suffix, place) of one batch. Makes its array, scans it against all others and merges equal ranks."""
+    def add(self, suffixes: DataFrame, last: bool = False) -> None:
+        """suffixes: (suffix, place) of one batch. Makes its array and merges equal ranks; not for the last batch, as no scan of a later one gains by it."""
         new = suffixes.groupBy("suffix").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count("*").alias("n"))
         rank, new = 0, self._array(new)
-        while self.levels and self.levels[-1][0] == rank:  # one scan finds what both hold and merges them
+        while not last and self.levels and self.levels[-1][0] == rank:
             _, old = self.levels.pop()
             merged = self._array(self._merged(old, new))
-            self._drop(old, new)
+            _drop(old, new)
             rank, new = rank + 1, merged
-        for _, level in self.levels:
-            both = new.join(level.select("suffix", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("n").alias("n2")), "suffix")
-            self.matches.append(written(both.filter("least(lo, lo2) != greatest(hi, hi2)").select("suffix", (F.col("n") + F.col("n2")).alias("n"))))
         self.levels.append((rank, new))
 
+    @staticmethod
+    def _scanned(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select("suffix", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("n").alias("n2"))
+        return a.join(b, "suffix").filter("least(lo, lo2) != greatest(hi, hi2)").select("suffix", (F.col("n") + F.col("n2")).alias("n"))
+
     @staticmethod
     def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
         b = b.select("suffix", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("n").alias("n2"))
@@ -128,37 +148,27 @@ class SuffixLevels:
         return a.join(b, "suffix", "full_outer").select("suffix", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"), n.alias("n"))
 
     def _array(self, rows: DataFrame) -> DataFrame:
-        name, path = f"suffixes_{uuid.uuid4().hex}", shared_dir(self.spark)
-        rows.write.format("parquet").bucketBy(self.buckets, "suffix").sortBy("suffix").option("path", path).saveAsTable(name)
-        out = self.spark.table(name)
-        out.kbspark_folder, out.kbspark_table = path, name
-        return out
-
-    def _drop(self, *levels: DataFrame) -> None:
-        for level in levels:
-            self.spark.sql(f"DROP TABLE {level.kbspark_table}")
-        discard(*levels)
-        free_shuffles(self.spark)
+        return _bucketed(rows, "suffix", self.buckets)
 
     def matched(self) -> DataFrame:
-        """(suffix, n): the suffixes found in two places, in any array or scan, and about how often."""
+        """(suffix, n): the suffixes found in two places, in any array or scan of two, and about how often."""
+        arrays = [level for _, level in self.levels]
         out = None
-        for found in [*(level.filter("lo != hi").select("suffix", "n") for _, level in self.levels), *self.matches]:
+        for found in [*(a.filter("lo != hi").select("suffix", "n") for a in arrays), *(self._scanned(a, b) for i, a in enumerate(arrays) for b in arrays[:i])]:
             out = found if out is None else out.union(found)
         return out.groupBy("suffix").agg(F.sum("n").alias("n"))
 
     def discard(self) -> None:
-        """Deletes the arrays and the scans' results."""
-        discard(*self.matches)
-        self._drop(*(level for _, level in self.levels))
+        """Deletes the arrays."""
+        _drop(*(level for _, level in self.levels))
 
 
-def _lists(column: pa.Array, *fields: str):
-    """The rows of a list<struct> column as tuples of NumPy arrays."""
-    flat, ends = column.flatten(), np.cumsum(np.asarray(pa.compute.list_value_length(column)))
-    values = [np.asarray(flat.field(f)) for f in fields]
-    for a, b in zip(np.r_[0, ends[:-1]], ends):
-        yield tuple(v[a:b] for v in values)
+def _lists(batch: pa.RecordBatch):
+    """Of a batch (t, text, list of numbers): all texts' bytes, where each text begins, each number's row and the numbers."""
+    texts = batch.column(1).to_pylist()
+    starts = np.cumsum([0, *map(len, texts)])
+    rows = np.repeat(np.arange(len(texts)), np.asarray(pa.compute.list_value_length(batch.column(2))))
+    return np.frombuffer(b"".join(texts), np.uint8), starts, rows, np.asarray(batch.column(2).flatten())
 
 
 def _unpacked(anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,52 +177,59 @@ def _unpacked(anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
     return at, at - anchor // length % length, at - anchor % length
 
 
+def _each(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1 ... n of them, for each of the rows."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
 def _emit_cells(length: int):
     def run(batches):
-        for batch in slices(batches, 1):
-            for t, text, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                at, first, last = _unpacked(np.asarray(packed.values), length)
-                prefixes = Prefixes(np.frombuffer(text, np.uint8))
-                low, high = (at - last) // CELL, (at - first) // CELL
-                n = high - low + 1
-                anchor, a, b = (np.repeat(x, n) for x in (at, first, last))
-                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                begin, end = np.maximum(a, anchor - block * CELL - CELL + 1), np.minimum(b, anchor - block * CELL)
-                core = mix(prefixes.of(anchor - block * CELL, length - CELL + 1), 54) + mix(block.astype(np.uint64), 55)
-                # the bytes of all strings of the cell, and which of the cell's strings there are
-                whole = mix(prefixes.of(begin, end - begin + length), 56) + mix(((anchor - begin) * 65536 + anchor - end).astype(np.uint64), 57)
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(core), pa.binary()), *[pa.array(mix(x, 58).view(np.int64)) for x in (core, whole)], pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["t", "core", "whole", "begin", "end"])
+        for batch in slices(batches, 1, SETTLED_BYTES):
+            data, starts, rows, packed = _lists(batch)
+            at, first, last = _unpacked(packed, length)
+            low, high = (at - last) // CELL, (at - first) // CELL
+            n = high - low + 1
+            block, rows = _each(low, n), np.repeat(rows, n)
+            anchor, a, b = (np.repeat(x, n) + starts[rows] for x in (at, first, last))
+            begin, end = np.maximum(a, anchor - block * CELL - CELL + 1), np.minimum(b, anchor - block * CELL)
+            prefixes = Prefixes(data)
+            core = mix(prefixes.of(anchor - block * CELL, length - CELL + 1), 54) + mix(block.astype(np.uint64), 55)
+            # the bytes of all strings of the cell, and which of the cell's strings there are
+            whole = mix(prefixes.of(begin, end - begin + length), 56) + mix(((anchor - begin) * 65536 + anchor - end).astype(np.uint64), 57)
+            cell = (begin - starts[rows]) * CELL + end - begin
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *[pa.array(mix(x, 58).view(np.int64)) for x in (core, whole)], pa.array(cell)], names=["t", "core", "whole", "cell"])
 
     return run
 
 
 def _emit_strings(length: int):
     def run(batches):
-        for batch in slices(batches, 1):
-            for t, text, (begin, end) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2), "begin", "end")):
-                n = (end - begin + 1).astype(np.int64)
-                s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin.astype(np.int64), n)
-                s = np.unique(s)
-                found = mix(Prefixes(np.frombuffer(text, np.uint8)).of(s, length), 59)
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(s), pa.binary()), pa.array(found.view(np.int64)), pa.array(s.astype(np.int32))], names=["t", "string", "s"])
+        for batch in slices(batches, 1, SETTLED_BYTES):
+            data, starts, rows, cell = _lists(batch)
+            s = np.unique(_each(cell // CELL + starts[rows], cell % CELL + 1))
+            found = mix(Prefixes(data).of(s, length), 59)
+            rows = np.searchsorted(starts, s, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(found.view(np.int64)), pa.array((s - starts[rows]) * CELL)], names=["t", "string", "cell"])
 
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, kept_bytes: bool):
     def run(batches):
-        for batch in slices(batches, 1):
-            rows = []
-            for text, (begin, end) in zip(batch.column(1).to_pylist(), _lists(batch.column(2), "begin", "end")):
-                edge = np.zeros(len(text) + 1, np.int32)
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, end + length, -1)
-                cover = np.cumsum(edge[:-1]) > 0
-                kept = np.frombuffer(text, np.uint8)[~cover].tobytes()
-                rows.append((int(cover.sum()), int((np.diff(np.r_[False, cover]) & cover).sum()), hashlib.sha256(kept).hexdigest(), kept))
+        for batch in slices(batches, 1, SETTLED_BYTES):
+            data, starts, rows, cell = _lists(batch)
+            begin = cell // CELL + starts[rows]
+            edge = np.zeros(len(data) + 1, np.int32)
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + cell % CELL + length, -1)
+            cover = np.cumsum(edge[:-1]) > 0
+            opens = cover & ~np.r_[False, cover[:-1]]
+            opens[starts[:-1]] = cover[starts[:-1]]  # a run ends with its text
+            removed, spans = (np.add.reduceat(x, starts[:-1], dtype=np.int64) for x in (cover, opens))
+            kept = [data[a:b][~cover[a:b]].tobytes() for a, b in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.binary())],
-                names=["t", "removed", "spans", "sha", "kept"],
+                [batch.column(0), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), *([pa.array(kept, pa.binary())] if kept_bytes else [])],
+                names=["t", "removed", "spans", "cut_sha", *(["kept"] if kept_bytes else [])],
             )
 
     return run
@@ -246,43 +263,44 @@ def remove_repeats(docs: DataFrame, length: int = 400, batches: int | None = Non
 
     family = SuffixLevels(spark)
     for b in range(batches):
-        family.add(suffixes.filter(F.col("batch") == b).select("suffix", F.xxhash64("t", "anchor").alias("place")))
+        family.add(suffixes.filter(F.col("batch") == b).select("suffix", F.xxhash64("t", "anchor").alias("place")), last=b == batches - 1)
     # suffixes meet again by digest: two that share one only add something to compare
     matched = family.matched().groupBy(F.xxhash64("suffix").alias("key")).agg(F.sum("n").alias("n"))
     matched = written(matched)
     family.discard()
-    hits = salted_join(suffixes.select(F.xxhash64("suffix").alias("key"), "t", "doc_id", "anchor"), matched, "key", F.xxhash64("t", "anchor"))
+    hits = salted_join(suffixes.select(F.xxhash64("suffix").alias("key"), "t", "doc_id", "anchor"), matched, "key", F.xxhash64("t", "anchor"), hashed=True)
     around = written(hits.groupBy("t").agg(F.min("doc_id").alias("__first"), F.collect_set("anchor").alias("around")))
     discard(suffixes, matched)
     free_shuffles(spark)
     # one of the rows that hold the text, or those that share its id
     one = texts.select("t", F.col("doc_id"), "text").join(around.withColumnRenamed("t", "__t"), (F.col("t") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__first")))
-    held = written(one.select("t", "text", "around").dropDuplicates(["t"]))
+    held = _bucketed(one.select("t", "text", "around").dropDuplicates(["t"]), "t", family.buckets)
     discard(around)
     free_shuffles(spark)
 
-    cells = written(in_arrow(held.select("t", "text", "around"), _emit_cells(length), "t binary, core bigint, whole bigint, begin int, end int"))
-    wholes = written(cells.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("t").alias("one")))
+    # a cell's first string, and how far from it the last begins, in one number
+    cells = written(in_arrow(held.select("t", "text", "around"), _emit_cells(length), "t binary, core bigint, whole bigint, cell bigint"))
+    wholes = written(cells.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.xxhash64("t")).alias("one")))
     free_shuffles(spark)
     cores = written(wholes.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).filter("n > 1"))
-    known = salted_join(wholes.withColumnRenamed("n", "times"), cores.select("core", F.col("kinds").alias("n")), "core", F.col("whole"))
+    known = salted_join(wholes.withColumnRenamed("n", "times"), cores.select("core", F.col("kinds").alias("n")), "core", F.col("whole"), hashed=True)
     known = written(known.select(F.col("core").alias("__core"), "whole", "one", F.col("times").alias("n"), F.col("n").alias("kinds")))
     discard(wholes, cores)
     free_shuffles(spark)
-    judged = salted_join(cells, known, "whole", F.xxhash64("t", "begin")).filter("core = __core")
-    judged = written(judged.select("t", "begin", "end", (F.col("n") > 1).alias("settled"), F.expr("kinds > 1 and (n = 1 or t = one)").alias("open")))
+    judged = salted_join(cells, known, "whole", F.xxhash64("t", "cell"), hashed=True).filter("core = __core")
+    judged = written(judged.select("t", "cell", (F.col("n") > 1).alias("settled"), F.expr("kinds > 1 and (n = 1 or xxhash64(t) = one)").alias("open")))
     discard(cells, known)
     free_shuffles(spark)
-    opened = judged.filter("open").groupBy("t").agg(F.collect_list(F.struct("begin", "end")).alias("cells"))
-    strings = written(in_arrow(held.join(opened, "t").select("t", "text", "cells"), _emit_strings(length), "t binary, string bigint, s int"))
+    opened = judged.filter("open").groupBy("t").agg(F.collect_list("cell").alias("cells"))
+    strings = written(in_arrow(held.join(opened, "t").select("t", "text", "cells"), _emit_strings(length), "t binary, string bigint, cell bigint"))
     twice = written(strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1"))
     free_shuffles(spark)
-    singles = salted_join(strings, twice, "string", F.xxhash64("t", "s")).select("t", F.col("s").alias("begin"), F.col("s").alias("end"))
-    spans = judged.filter("settled").select("t", "begin", "end").union(singles).groupBy("t").agg(F.collect_set(F.struct("begin", "end")).alias("cuts"))
-    cut = in_arrow(held.join(spans, "t").select("t", "text", "cuts"), _remove(length), "t binary, removed bigint, spans bigint, sha string, kept binary")
-    cut = cut.select("t", "removed", "spans", F.col("sha").alias("cut_sha"), "kept") if kept_bytes else cut.select("t", "removed", "spans", F.col("sha").alias("cut_sha"))
+    singles = salted_join(strings, twice, "string", F.xxhash64("t", "cell"), hashed=True).select("t", "cell")
+    spans = judged.filter("settled").select("t", "cell").union(singles).groupBy("t").agg(F.collect_list("cell").alias("cuts"))
+    cut = in_arrow(held.join(spans, "t").select("t", "text", "cuts"), _remove(length, kept_bytes), "t binary, removed bigint, spans bigint, cut_sha string" + ", kept binary" * kept_bytes)
     cut = written(cut)
-    discard(held, judged, strings, twice)
+    discard(judged, strings, twice)
+    _drop(held)
 
     copies = base.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1")
     found = base.join(copies, "t", "left").join(cut, "t", "left")

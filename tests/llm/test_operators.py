@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +263,42 @@ def brute_repeats(texts, length):
     return out
 
 
+def test_anchors_are_the_least_grams_of_each_first_half():
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (100, 99, 350, 0, 700)] + [b"x" * 300]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    prefixes = hashing.Prefixes(data, rough=True)
+    assert prefixes.every(32).tolist() == prefixes.of(np.arange(len(data) - 31), 32).tolist()
+    at, first, last = suffixes.anchors(data, ends - [len(t) for t in texts], ends, 100, prefixes)
+    got = {s: a for a, f, l in zip(at.tolist(), first.tolist(), last.tolist()) for s in range(f, l + 1)}
+    ranks = (prefixes.every(32) >> np.uint64(32)).tolist()
+    starts = [s for t, end in zip(texts, ends.tolist()) for s in range(end - len(t), end - 99)]
+    assert got == {s: min(range(s, s + 19), key=lambda i: (ranks[i], i)) for s in starts}
+
+
+def test_texts_of_a_batch_are_settled_at_once():
+    texts = [bytes([65 + i]) * 150 for i in range(20)]
+    anchor = pa.array([[(10 * 100 + 10) * 100 + 3]] * 20, pa.list_(pa.int64()))  # the strings from 0 to 7
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([i]) for i in range(20)]), pa.array(texts), anchor], names=["t", "text", "around"])
+    (cells,) = suffixes._emit_cells(100)([batch])
+    assert cells.num_rows == 20 and set(cells.column("cell").to_pylist()) == {7} and len(set(cells.column("whole").to_pylist())) == 20
+    cuts = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[7]] * 20)], names=["t", "text", "cuts"])
+    (strings,) = suffixes._emit_strings(100)([cuts])
+    assert strings.num_rows == 160 and strings.column("cell").to_pylist()[:8] == [32 * s for s in range(8)]
+    (cut,) = suffixes._remove(100, True)([cuts])
+    assert cut.column("removed").to_pylist() == [107] * 20 and cut.column("spans").to_pylist() == [1] * 20
+    assert cut.column("kept").to_pylist() == [t[107:] for t in texts]
+
+
+def test_last_batch_is_scanned_not_merged(spark):
+    family = suffixes.SuffixLevels(spark)
+    for b in range(4):
+        family.add(spark.createDataFrame([(bytes([k]) * 3, b * 10 + k) for k in (b, b + 1, 9 * (b % 3 == 0))], "suffix binary, place long"), last=b == 3)
+    assert [r for r, _ in family.levels] == [1, 0, 0]
+    assert {r.suffix[0] for r in family.matched().collect()} == {0, 1, 2, 3, 9}
+    family.discard()
+
+
 @pytest.mark.parametrize("length", [100, 400])
 def test_long_repeats(docs, rows, length):
     got = suffixes.remove_repeats(docs, length).collect()
