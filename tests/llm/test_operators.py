@@ -317,6 +317,42 @@ def test_long_repeats_over_stretches_and_levels(spark, monkeypatch):
     assert got == dict(enumerate(brute_repeats(texts, 150)))
 
 
+def brute_passages(texts, words):
+    runs = []
+    for t in texts:
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        runs.append({(t or "").encode()[a[0] : b[1]] for a, b in zip(spans, spans[words - 1 :])})
+    seen = Counter(r for own in runs for r in own)
+    return [any(seen[r] > 1 for r in own) for own in runs]
+
+
+@pytest.mark.parametrize("stretch", [700, 1 << 18])
+def test_passages_shorter_than_a_repeat(spark, monkeypatch, stretch):
+    monkeypatch.setattr(suffixes, "STRETCH_BYTES", stretch)
+    rng = random.Random(11)
+    prose = lambda n, letters: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, letters))) for _ in range(n))
+    texts = [prose(400, 9), prose(51, 9) + "\n", prose(50, 9), "", None, "x" * 900, "word " * 300]
+    texts += [texts[0], texts[1], texts[2]]  # copies: of 50 words they hold no passage
+    for n, letters in [(50, 9), (51, 9), (55, 9), (70, 9), (50, 2), (51, 2), (58, 3), (51, 6)]:
+        for end in (False, True):  # inside, and at either end of a text; each in two texts with others around
+            passage = prose(n, letters)
+            texts += [f"{prose(60, 9)} {passage}" if end else f"{prose(300, 4)} {passage} {prose(90, 9)}", f"{passage} {prose(100, 9)}"]
+    glued, twice, wide = prose(51, 9), prose(80, 9), prose(60, 9)
+    texts += [f"y{glued} {prose(9, 9)}", f"{prose(9, 9)} {glued}", f"{twice} {prose(60, 9)} {twice}"]  # no whole words in one; twice in one text
+    texts += [f"{prose(5, 9)} {wide}", f"{prose(5, 9)} " + wide.replace(" ", "  ")]  # other bytes between the words
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffixes.remove_repeats(df, passage_words=51).orderBy("doc_id").collect()
+    assert [r.has_passage for r in got] == brute_passages(texts, 51)
+    assert [tuple(r)[1:5] for r in got] == brute_repeats(texts, 400)
+    assert sum(r.has_passage and not r.n_removed for r in got) > 10
+
+
+def test_repeats_tell_passages_of_over_fifty_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got = queries.op6_suffix_dedup(spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()
+    assert [r.has_passage for r in got] == brute_passages([r.text for r in docs], 51)
+
+
 def test_repeats_of_nothing(empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
